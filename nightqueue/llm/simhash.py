@@ -72,7 +72,7 @@ def planes(values: np.ndarray) -> np.ndarray:
     lanes = -(-len(values) // 64) * 64
     bits = np.zeros((lanes, BITS), np.uint8)
     bits[: len(values)] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u8")
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def near(values: np.ndarray, radius: int) -> np.ndarray:

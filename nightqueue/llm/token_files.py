@@ -15,6 +15,7 @@ import hashlib
 import os
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .arrow_rows import slices, texts
 from .store import shared_dir
-from .vocab import Chunks, read_tokenizer, special_split
+from .vocab import Chunks, read_tokenizer, special_split, word_finder
 
-MEMO_CHUNKS = 600_000
+#: Chunks and words that a worker remembers, each in two generations of this size.
+MEMO_ROWS = 400_000
 #: How the Parquet writer lays files out; any of them can be overridden.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -37,7 +39,10 @@ LAYOUT = {
 
 
 class LibraryCoder:
-    """The tokenizers library, asked once for each chunk of text that a worker meets."""
+    """The tokenizers library, asked once for each word that a worker meets.
+
+    Chunks of text and their words are remembered in two generations: when the younger is full it
+    becomes the older, and what is met again moves back."""
 
     def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,25 +51,52 @@ class LibraryCoder:
 
         self.library = Tokenizer.from_buffer(raw)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.split, self.chunks = special_split(self.special), Chunks(public_tokenizers.PATTERN)
+        self.split, self.chunks, self.words = special_split(self.special), Chunks(public_tokenizers.PATTERN), word_finder(public_tokenizers.PATTERN)
         self.memo: dict[str, bytes] = {}
-
-    def _ask(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.old: dict[str, bytes] = {}
+        self.word_memo: dict[str, bytes] = {}
+        self.word_old: dict[str, bytes] = {}
+
+    def _ask(self, words: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, words) -> dict[str, bytes]:
+        """The memo of words, with all of `words` in it."""
+        known, before = self.word_memo, self.word_old
+        new = {w for w in words if w not in known}
+        back = {w: before[w] for w in new if w in before}
+        ask = [w for w in new if w not in back]
+        known.update(back)
+        if ask:
+            known.update(zip(ask, self._ask(ask)))
+        return known
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts chunks that the younger memo lacks into it."""
+        old = self.old
+        found = {c: old[c] for c in chunks if c in old}
+        cut = {c: self.words(self.chunks.glue + c) for c in chunks if c not in found}
+        known = self._words({w for ws in cut.values() for w in ws})
+        self.memo.update(found)
+        self.memo.update({c: b"".join([known[w] for w in ws]) for c, ws in cut.items()})
 
     def packed(self, text: str) -> bytes:
-        memo, parts = self.memo, []
+        parts = []
         for k, piece in enumerate(self.split(text)):
             if k % 2:
                 parts.append(self.special[piece].to_bytes(4, "little"))
                 continue
+            if len(self.memo) > MEMO_ROWS:
+                self.memo, self.old = {}, self.memo
+            if len(self.word_memo) > MEMO_ROWS:
+                self.word_memo, self.word_old = {}, self.word_memo
             head, rest = self.chunks.cut(piece)
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
-            if new := list({c for c in rest if c not in memo}):
-                memo.update(zip(new, self._ask([self.chunks.glue + c for c in new])))
+            memo = self.memo
+            if new := {c for c in rest if c not in memo}:
+                self._learn(new)
             if head:
-                parts += self._ask([head])
+                words = self.words(head)
+                parts += map(self._words(words).__getitem__, words)
             parts += map(memo.__getitem__, rest)
         return b"".join(parts)
 

@@ -12,19 +12,26 @@ to many fingerprints are counted at once by carry-save adders that overflow abov
 row of words is given up once all its lanes have overflowed. Of the links in a bucket only a spanning
 star per class leaves the task; none between classes is lost.
 
+`near_texts` groups texts by the similarity of their word shingles instead, 0.8 of five words if not
+said otherwise. Long fingerprints estimate it: of `width` words of 64 bits each, over distinct
+shingles. Buckets come from the bytes of a short fingerprint over word pairs, which moves less under
+small edits: two texts meet where two of its eight bytes agree. All that meet are compared bit-sliced
+by their long fingerprints.
+
 Texts without words have the fingerprint zero and link like others. Rows without a doc_id get a
 fingerprint, no component and take no part in links. Repeated rows and ids share a component.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .arrow_rows import slices
 from .components import components
@@ -36,23 +43,57 @@ BITS = 64
 HASHES = 65_536
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The fingerprint of a whole text as a signed 64-bit integer."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of the shingles, repeats included; fewer words than that make one shingle."""
     if not w:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(w) < words:
         shingles = iter([b" ".join(w)])
     else:
         shingles = map(b" ".join, zip(*(w[i:] for i in range(words))))
     digest = xxhash.xxh64_intdigest
-    values = np.array([digest(s, SEED) for s in shingles], np.uint64)
+    return np.array([digest(s, SEED) for s in shingles], np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as a signed 64-bit integer."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(values), HASHES):
         ones += np.unpackbits(values[i : i + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(values), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The fingerprint of a whole text as a signed 64-bit integer."""
+    return majority(shingle_hashes(split(text), words))
+
+
+def mixed(values: np.ndarray, k: int) -> np.ndarray:
+    """Another hash of hashes for each k: a multiply-and-shift finalizer over a moved start."""
+    x = values + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def long_fingerprint(w: list[bytes], words: int, width: int) -> bytes:
+    """`width` words of majority bits over the distinct shingles."""
+    values = np.unique(shingle_hashes(w, words))
+    return np.array([majority(mixed(values, k)) for k in range(width)], np.int64).tobytes()
+
+
+def radius_of(similarity: float, width: int, spare: float = 1.6) -> int:
+    """The bits of a long fingerprint that may differ at this share of common shingles: what is
+    expected there and `spare` standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = BITS * width
+    return math.floor(bits * p + spare * math.sqrt(bits * p * (1 - p)))
+
+
 def fingerprints(df: DataFrame, words: int = 3, text_col: str = "text", out_col: str = "fp") -> DataFrame:
     """Replaces the text by its fingerprint (a long); other columns stay."""
     kept = [c for c in df.columns if c not in (text_col, out_col)]
@@ -67,16 +108,22 @@ def fingerprints(df: DataFrame, words: int = 3, text_col: str = "text", out_col:
     return src.mapInArrow(body, StructType([*(df.schema[c] for c in kept), StructField(out_col, LongType())]))
 
 
+def table_of(values: np.ndarray) -> np.ndarray:
+    """A row of words for each fingerprint; single words are rows of one."""
+    return values[:, None] if values.ndim == 1 else values
+
+
 def planes(values: np.ndarray) -> np.ndarray:
-    """64 rows of words: bit j of row b is bit b of value j."""
-    lanes = -(-len(values) // 64) * 64
-    bits = np.zeros((lanes, BITS), np.uint8)
-    bits[: len(values)] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """A row of words for each bit: bit j of row b is bit b of fingerprint j (a row of 64-bit words)."""
+    lanes, size = -(-len(values) // 64) * 64, values.shape[1]
+    bits = np.zeros((lanes, BITS * size), np.uint8)
+    bits[: len(values)] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8 * size), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def near(values: np.ndarray, radius: int) -> np.ndarray:
     """Rows of words: bit j of row i tells that values i and j differ in at most `radius` bits."""
+    values = table_of(values)
     n, plane = len(values), planes(values)
     wide = plane.shape[1]
     out = np.zeros((n, wide), np.uint64)
@@ -91,8 +138,8 @@ def near(values: np.ndarray, radius: int) -> np.ndarray:
         own = values[rows].astype(np.uint64)
         count = [np.full((len(rows), wide), everyone if begin >> k & 1 else np.uint64(0)) for k in range(counters)]
         over = np.tile(~valid, (len(rows), 1))
-        for b in range(BITS):
-            mask = np.where(own >> np.uint64(b) & np.uint64(1), everyone, np.uint64(0))
+        for b in range(len(plane)):
+            mask = np.where(own[:, b // BITS] >> np.uint64(b % BITS) & np.uint64(1), everyone, np.uint64(0))
             carry = plane[b][None, :] ^ mask[:, None]
             for k in range(counters):
                 count[k], carry = count[k] ^ carry, count[k] & carry
@@ -136,34 +183,40 @@ def star(values: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int,
 
 def small_pairs(group: np.ndarray, values: np.ndarray, nodes: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
     """Links inside many small groups (runs of equal `group`, at most `most` rows each), by distance in the order."""
-    links = []
+    links, values = [], table_of(values).astype(np.uint64)
     for step in range(1, most):
         same = group[step:] == group[:-step]
         if not same.any():
             break
         at = np.flatnonzero(same)
-        at = at[np.bitwise_count(values[at].astype(np.uint64) ^ values[at + step].astype(np.uint64)) <= radius]
+        at = at[np.bitwise_count(values[at] ^ values[at + step]).sum(1, dtype=np.int64) <= radius]
         links += zip(nodes[at].tolist(), nodes[at + step].tolist())
     return links
 
 
 def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 1024) -> DataFrame:
     """a, b: links that connect all fingerprints (fp, node: distinct longs) within `radius`, a spanning set."""
-    n = radius + 2
+    return met_links(nodes, radius + 2, "fp", radius, bucket_rows)
+
+
+def met_links(nodes: DataFrame, n: int, compared: str, radius: int, bucket_rows: int) -> DataFrame:
+    """Links of the nodes that agree in two of `n` blocks of fp and differ in at most `radius` bits of
+    the column `compared` (a long, or words as binary)."""
     edges = [round(i * BITS / n) for i in range(n + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     pick = [F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j]))) for i, j in combinations(range(n), 2)]
-    rows = saved(nodes.select("fp", "node", F.posexplode(F.array(*pick)).alias("band", "key")), "bands")
+    rows = saved(nodes.select(F.col(compared).alias("bits"), "node", F.posexplode(F.array(*pick)).alias("band", "key")), "bands")
     size = saved(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("k")), "buckets")
-    met = rows.join(size, ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    met = rows.join(size, ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("c")))
-    met = met.withColumn("o", F.explode(others)).select("fp", "node", F.xxhash64("band", "key", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
+    met = met.withColumn("o", F.explode(others)).select("bits", "node", F.xxhash64("band", "key", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
 
     def body(batches):
         held = None
         def found(rows):
-            group, values, own = (rows.column(c).to_numpy() for c in ("g", "fp", "node"))
+            group, own, values = rows.column("g").to_numpy(), rows.column("node").to_numpy(), rows.column("bits")
+            values = values.to_numpy() if pa.types.is_int64(values.type) else np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(own), -1)
             heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             sizes = np.diff(np.r_[heads, len(group)])
             few = np.repeat(sizes <= 32, sizes)
@@ -199,6 +252,28 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str
     return met.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
+def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, component (smallest id reachable over texts that share `similarity` of their distinct
+    `words`-word shingles, as their long fingerprints estimate it): one row per row of df.
+
+    Texts without words are copies of each other. Rows without an id get no component."""
+
+    def body(batches):
+        for whole in batches:
+            for batch in slices(whole, "__text__"):
+                cut = [split(t) for t in batch.column("__text__").to_pylist()]
+                short = pa.array([majority(shingle_hashes(w, 2)) for w in cut], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), short, pa.array([long_fingerprint(w, words, width) for w in cut], pa.binary())], names=["id", "fp", "wide"])
+
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"))
+    each = saved(src.mapInArrow(body, StructType([src.schema["id"], StructField("fp", LongType()), StructField("wide", BinaryType())])), "long-fingerprints")
+    nodes = saved(each.where("id IS NOT NULL").groupBy("fp", "wide").agg(F.min("id").alias("node")), "nodes")
+    # an id that two different texts carry is one node in the components, as it should be
+    roots = saved(components(met_links(nodes, 8, "wide", radius_of(similarity, width), bucket_rows)), "roots")
+    groups = saved(nodes.join(roots, "node", "left").select("fp", "wide", F.coalesce("root", "node").alias("component")), "groups")
+    return each.join(groups, ["fp", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
 def hex_digits(fp: str = "fp"):
     """The fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))

@@ -77,3 +77,50 @@ def test_hot_bucket_is_cut_without_losing_links(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).count() == 0
+
+
+def edited(rng, words, edits):
+    copy = list(words)
+    for at in rng.sample(range(len(copy)), edits):
+        copy[at] = f"new{rng.randrange(10**6)}"
+    return copy
+
+
+def share(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_texts_find_copies_and_leave_others(spark):
+    rng = random.Random(5)
+    rows, twins = [], []
+    for i in range(200):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randrange(150, 900))]
+        copy = edited(rng, base, max(1, len(base) // 100))
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(copy))]
+        twins.append((10 * i, 10 * i + 1, share(base, copy)))
+        half = base[: len(base) // 2] + [f"w{rng.randrange(3000)}" for _ in range(len(base) // 2)]
+        rows.append((10 * i + 5, " ".join(half)))
+    rows += [(9000, ""), (9001, None), (9002, " "), (None, rows[0][1]), (9003, rows[1][1].upper()), (9004, "one two"), (9005, "One two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("component", F.lit("clash"))
+    got = simhash.near_texts(df).collect()
+    assert len(got) == len(rows)
+    root = {r["id"]: r["component"] for r in got}
+    assert root[None] is None
+    near = [(a, b) for a, b, s in twins if s >= 0.85]
+    assert len(near) > 150 and sum(root[a] == root[b] for a, b in near) >= 0.95 * len(near)
+    assert all(root[10 * i + 5] == 10 * i + 5 for i in range(200)) and all(root[10 * i] == 10 * i for i in range(200))
+    assert root[9001] == root[9002] == 9000 and root[9003] == root[1] and root[9005] == 9004
+
+
+def test_near_texts_in_a_hot_group(spark):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = {tuple(r) for r in simhash.near_texts(df, bucket_rows=32).collect()}
+    assert small == {tuple(r) for r in simhash.near_texts(df).collect()} and {c for _, c in small} == {0}
+
+
+def test_near_texts_of_nothing(spark):
+    assert simhash.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import unicodedata
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,9 @@ from .vocab import Chunks, MergeTable, read_tokenizer, special_split, word_finde
 #: Marks the last symbol of a word where the vocabulary has word ends.
 _END = 0x10000
 #: Chunks of text that a worker remembers before it starts anew: bounds its memory.
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 300_000
+#: Pairs of tokens whose border it remembers.
+MEMO_PAIRS = 400_000
 
 
 class PrefixCoder:
@@ -49,18 +52,23 @@ class PrefixCoder:
         kinds = {n["type"] for n in norm.get("normalizers", [norm] if norm else [])}
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         self.to_symbol = {b: c for b, c in enumerate(t.alphabet)}
+        self._right: dict[int, list[tuple[int, float]]] = {}
+        self._left: dict[int, list[tuple[int, float]]] = {}
+        self._fits: dict[tuple[int, int], bool] = {}
+        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """Made when a word is first encoded: workers that only decode go without."""
+        t, out = self.table, ahocorasick.Automaton()
         symbol = {i: c for i, c in zip(t.byte_ids, t.alphabet)}
         if t.suffix:
             symbol |= {i: chr(ord(c) + _END) for i, c in zip(t.last_byte_ids, t.alphabet)}
-        self.matcher = ahocorasick.Automaton()
         for token in t.vocab.values():
             s = "".join(symbol[b] for b in t.base(token))
-            self.matcher.add_word(s, (token, len(s)))
-        self.matcher.make_automaton()
-        self._right: dict[int, list[tuple[int, float]]] = {}
-        self._left: dict[int, list[tuple[int, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+            out.add_word(s, (token, len(s)))
+        out.make_automaton()
+        return out
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, float]]:
         """The tokens at one edge of a token's merge tree, base first, each with the rank at which it is used up."""
@@ -92,7 +100,7 @@ class PrefixCoder:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > MEMO_PAIRS:
                 self._fits.clear()
             self._fits[a, b] = found
         return found

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_rows import slices, texts
+from .memos import take
 from .vocab import Chunks, MergeTable, read_tokenizer, special_split, word_finder
 
 #: Marks the last symbol of a word where the vocabulary has word ends.
@@ -170,37 +171,43 @@ _CODERS: dict[str, PrefixCoder] = {}
 
 def coder(raw: bytes) -> PrefixCoder:
     """The worker's coder of a tokenizer file, made once per Python worker."""
+    take("bpe_prefix", _CODERS.clear)
     key = hashlib.sha1(raw).hexdigest()
     if key not in _CODERS:
         _CODERS[key] = PrefixCoder(raw)
     return _CODERS[key]
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, each) -> DataFrame:
-    """Adds the column `out`, computed batch by batch from `column`."""
-    kept = [c for c in df.columns if c not in (column, out)]
+def _mapped(df: DataFrame, column: str, outs: dict[str, str], each) -> DataFrame:
+    """Adds the columns `outs` (names to types), computed batch by batch from `column`."""
+    kept = [c for c in df.columns if c != column and c not in outs]
     src = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("__in__"))
+    kinds = [pa.binary() if kind == "binary" else pa.string() for kind in outs.values()]
 
     def body(batches):
         for whole in batches:
             for batch in slices(whole, "__in__"):
-                made = pa.array(each(batch), pa.binary() if kind == "binary" else pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), made], names=[*kept, out])
+                made = [pa.array(x, kind) for x, kind in zip(each(batch), kinds)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], names=[*kept, *outs])
 
     fields = [df.schema[c] for c in kept]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` {kind}"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{out}` {kind}" for out, kind in outs.items()])
     return src.mapInArrow(body, schema)
 
 
-def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Replaces `text_col` by `out_col`: the ids as packed little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Replaces `text_col` by `out_col`: the ids as packed little-endian unsigned 32-bit integers.
+
+    With `decoded_col` the ids are decoded in the same pass, as `decode` does in one of its own: then
+    one Python worker a task is enough, and the ids go to it once."""
     raw = df.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def each(batch):
         own = coder(raw.value)
-        return [own.packed(t) for t in texts(batch, "__in__")]
+        ids = [own.packed(t) for t in texts(batch, "__in__")]
+        return [ids, [own.text(i) for i in ids]] if decoded_col else [ids]
 
-    return _mapped(df, text_col, out_col, "binary", each)
+    return _mapped(df, text_col, {out_col: "binary"} | ({decoded_col: "string"} if decoded_col else {}), each)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -209,6 +216,6 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: st
 
     def each(batch):
         own = coder(raw.value)
-        return [own.text(x or b"") for x in batch.column("__in__").to_pylist()]
+        return [[own.text(x or b"") for x in batch.column("__in__").to_pylist()]]
 
-    return _mapped(df.withColumn("__ids__", F.col(ids_col)), "__ids__", out_col, "string", each)
+    return _mapped(df.withColumn("__ids__", F.col(ids_col)), "__ids__", {out_col: "string"}, each)

@@ -19,8 +19,7 @@ def tokenizer(name: str) -> str:
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer("word_bpe_49k.json")
-    ids = bpe_prefix.encode(docs, path)
-    both = bpe_prefix.decode(ids, path)
+    both = bpe_prefix.encode(docs, path, decoded_col="decoded")
     return both.select("doc_id", F.octet_length("ids").cast("long").alias("__bytes"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")).select("doc_id", (F.col("__bytes") / 4).cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
 
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_rows import slices, texts
+from .memos import take
 from .vocab import Chunks, MergeTable, read_tokenizer, special_split, word_finder
 
 MEMO_CHUNKS = 1_000_000
@@ -107,6 +108,7 @@ _MERGERS: dict[str, RankMerger] = {}
 
 
 def merger(raw: bytes) -> RankMerger:
+    take("token_count", _MERGERS.clear)
     key = hashlib.sha1(raw).hexdigest()
     if key not in _MERGERS:
         _MERGERS[key] = RankMerger(raw)

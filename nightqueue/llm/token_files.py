@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .arrow_rows import slices, texts
+from .memos import take
 from .store import shared_dir
 from .vocab import Chunks, read_tokenizer, special_split, word_finder
 
@@ -105,6 +106,7 @@ _CODERS: dict[str, LibraryCoder] = {}
 
 
 def _coder(raw: bytes) -> LibraryCoder:
+    take("token_files", _CODERS.clear)
     key = hashlib.sha1(raw).hexdigest()
     if key not in _CODERS:
         _CODERS[key] = LibraryCoder(raw)

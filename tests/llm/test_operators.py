@@ -42,6 +42,8 @@ def test_bpe_equals_the_library(docs, empty, path):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want
         assert r["decoded"] == lib.decode(want, skip_special_tokens=False)
     assert bpe_prefix.encode(empty, path).count() == 0
+    both = bpe_prefix.encode(docs, path, decoded_col="decoded").collect()
+    assert {(r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in both} == {(r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got}
 
 
 def test_counts_equal_the_library(docs, empty):

@@ -12,11 +12,13 @@ to many fingerprints are counted at once by carry-save adders that overflow abov
 row of words is given up once all its lanes have overflowed. Of the links in a bucket only a spanning
 star per class leaves the task; none between classes is lost.
 
-`near_texts` groups texts by the similarity of their word shingles instead, 0.8 of five words if not
-said otherwise. Long fingerprints estimate it: of `width` words of 64 bits each, over distinct
-shingles. Buckets come from the bytes of a short fingerprint over word pairs, which moves less under
-small edits: two texts meet where two of its eight bytes agree. All that meet are compared bit-sliced
-by their long fingerprints.
+`near_texts` groups texts by the similarity of their distinct word shingles instead, exactly: 0.8 of
+five words if not said otherwise. In any order of all shingles, two texts that share that much share
+one of the first n - ceil(0.8 n) + 1 of their n shingles; the order is by hash, with the shingles that
+many texts begin with moved to the end, and texts that share one of these first shingles meet. First
+each text is checked against few centres of those it meets; then all that meet and aren't in one group
+yet are compared, where lengths and parity bitmaps (lower bounds of the difference) don't exclude the
+pair. Every pair is checked by its whole shingle sets before it links.
 
 Texts without words have the fingerprint zero and link like others. Rows without a doc_id get a
 fingerprint, no component and take no part in links. Repeated rows and ids share a component.
@@ -31,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .arrow_rows import slices
 from .components import components
@@ -72,26 +74,28 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return majority(shingle_hashes(split(text), words))
 
 
-def mixed(values: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of hashes for each k: a multiply-and-shift finalizer over a moved start."""
-    x = values + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+def shingle_set(w: list[bytes], words: int) -> np.ndarray:
+    """The distinct shingles' hashes as signed integers, ascending."""
+    return np.unique(shingle_hashes(w, words).view(np.int64))
 
 
-def long_fingerprint(w: list[bytes], words: int, width: int) -> bytes:
-    """`width` words of majority bits over the distinct shingles."""
-    values = np.unique(shingle_hashes(w, words))
-    return np.array([majority(mixed(values, k)) for k in range(width)], np.int64).tobytes()
+def set_key(values: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(values.tobytes(), SEED) - (1 << 63)
 
 
-def radius_of(similarity: float, width: int, spare: float = 1.6) -> int:
-    """The bits of a long fingerprint that may differ at this share of common shingles: what is
-    expected there and `spare` standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = BITS * width
-    return math.floor(bits * p + spare * math.sqrt(bits * p * (1 - p)))
+def first_shingles(values: np.ndarray, similarity: float, hot: np.ndarray) -> np.ndarray:
+    """The shingles of which a text of this similarity must share one: by hash, those in `hot` (ascending) last."""
+    n = len(values)
+    if n and len(hot):
+        late = hot[np.minimum(np.searchsorted(hot, values), len(hot) - 1)] == values
+        values = np.r_[values[~late], values[late]]
+    return values[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def parity(values: np.ndarray, width: int) -> bytes:
+    """Bit i tells whether the hashes that fall to it are odd in number: sets differ in at least as many hashes as bits."""
+    ones = np.bincount((values.view(np.uint64) % np.uint64(BITS * width)).astype(np.int64), minlength=BITS * width)
+    return np.packbits(ones & 1, bitorder="little").tobytes()
 
 
 def fingerprints(df: DataFrame, words: int = 3, text_col: str = "text", out_col: str = "fp") -> DataFrame:
@@ -194,6 +198,23 @@ def small_pairs(group: np.ndarray, values: np.ndarray, nodes: np.ndarray, radius
     return links
 
 
+def whole_groups(batches):
+    """Batches that are sorted by g, cut so that no group is in two of them."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        group = batch.column("g").to_numpy()
+        last = int(np.searchsorted(group, group[-1]))
+        if last:
+            yield batch.slice(0, last)
+        held = batch.slice(last)
+    if held is not None:
+        yield held
+
+
 def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 1024) -> DataFrame:
     """a, b: links that connect all fingerprints (fp, node: distinct longs) within `radius`, a spanning set."""
     return met_links(nodes, radius + 2, "fp", radius, bucket_rows)
@@ -213,7 +234,6 @@ def met_links(nodes: DataFrame, n: int, compared: str, radius: int, bucket_rows:
     met = met.withColumn("o", F.explode(others)).select("bits", "node", F.xxhash64("band", "key", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
 
     def body(batches):
-        held = None
         def found(rows):
             group, own, values = rows.column("g").to_numpy(), rows.column("node").to_numpy(), rows.column("bits")
             values = values.to_numpy() if pa.types.is_int64(values.type) else np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(own), -1)
@@ -226,18 +246,8 @@ def met_links(nodes: DataFrame, n: int, compared: str, radius: int, bucket_rows:
             a, b = zip(*set(out)) if out else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            if not batch.num_rows:
-                continue
-            group = batch.column("g").to_numpy()
-            last = int(np.searchsorted(group, group[-1]))
-            if last:
-                yield found(batch.slice(0, last))
-            held = batch.slice(last)
-        if held is not None:
-            yield found(held)
+        for rows in whole_groups(batches):
+            yield found(rows)
 
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(body, "a long, b long")
 
@@ -252,26 +262,115 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str
     return met.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000) -> DataFrame:
     """id, component (smallest id reachable over texts that share `similarity` of their distinct
-    `words`-word shingles, as their long fingerprints estimate it): one row per row of df.
-
-    Texts without words are copies of each other. Rows without an id get no component."""
-
-    def body(batches):
-        for whole in batches:
-            for batch in slices(whole, "__text__"):
-                cut = [split(t) for t in batch.column("__text__").to_pylist()]
-                short = pa.array([majority(shingle_hashes(w, 2)) for w in cut], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), short, pa.array([long_fingerprint(w, words, width) for w in cut], pa.binary())], names=["id", "fp", "wide"])
+    `words`-word shingles): one row per row of df.
 
+    Texts without words are copies of each other. Rows without an id get no component. Shingles that
+    over `hot_texts` texts begin with go last, at most `most_hot` of them; `width` words make a bitmap.
+    None of these three changes the result."""
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"))
-    each = saved(src.mapInArrow(body, StructType([src.schema["id"], StructField("fp", LongType()), StructField("wide", BinaryType())])), "long-fingerprints")
-    nodes = saved(each.where("id IS NOT NULL").groupBy("fp", "wide").agg(F.min("id").alias("node")), "nodes")
+    id_field = src.schema["id"]
+
+    def made(docs, columns, types):
+        def body(batches):
+            for whole in batches:
+                for batch in slices(whole, "__text__"):
+                    sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
+                    keys = pa.array([set_key(v) for v in sets], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=["id", "key", "n", *types])
+
+        return docs.mapInArrow(body, StructType([id_field, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
+
+    longs = pa.list_(pa.int64())
+    none = np.zeros(0, np.int64)
+    each = saved(made(src, lambda sets: [pa.array([None if set_key(v) % 4 else first_shingles(v, similarity, none) for v in sets], longs)], {"first": ArrayType(LongType())}), "first-shingles")
+    nodes = saved(each.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node")), "nodes")
+    # a quarter of the texts tells which are hot; any choice gives an order that holds for all texts
+    quarter = each.where("first IS NOT NULL").join(nodes, "key").where("id = node").select(F.explode("first").alias("h"))
+    often = quarter.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4)
+    hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(most_hot).collect()], np.int64))
+    sent = df.sparkSession.sparkContext.broadcast(hot)
+    again = made(src.where("id IS NOT NULL"), lambda sets: [pa.array([first_shingles(v, similarity, sent.value) for v in sets], longs), pa.array([parity(v, width) for v in sets], pa.binary())], {"first": ArrayType(LongType()), "bits": BinaryType()})
+    begin = saved(again.join(nodes, "key").where("id = node").dropDuplicates(["key"]).select("key", "n", "first", "bits"), "first-shingles")
+    rows = begin.select("key", F.explode("first").alias("h"))
+    several = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("centre")).where("c > 1").drop("c")
+    rows = saved(rows.join(several, "h"), "meetings")
+    about = begin.select("key", "n", "bits")
+
+    def checked(pairs):
+        known = pairs.join(about.toDF("a", "na", "xa"), "a").join(about.toDF("b", "nb", "xb"), "b")
+
+        def body(batches):
+            for t in batches:
+                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u8").reshape(t.num_rows, width) for c in ("xa", "xb"))
+                n, m = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+                yield t.select(["a", "b"]).filter(pa.array(may_share(n, m, x, y, similarity)))
+
+        pairs = saved(known.mapInArrow(body, "a long, b long"), "pairs")
+        members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select(F.col("node").alias("id")).distinct()
+        sets = saved(made(src.join(members, "id", "left_semi"), lambda sets: [pa.array(sets, longs)], {"shingles": ArrayType(LongType())}).drop("id"), "shingle-sets")
+        both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return saved(both.where(common * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct(), "checked")
+
+    centres = rows.where("key <> centre").groupBy("key").agg(F.collect_set("centre").alias("all"))
+    linked = checked(centres.select(F.col("key").alias("a"), F.explode(F.slice(F.array_sort("all"), 1, 3)).alias("b")))
+    roots = saved(components(linked), "roots").toDF("key", "root")
+    apart = saved(rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "apart")
+    mixed = saved(apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "mixed")
+    met = apart.join(mixed, "h").join(about, "key")
+    linked = linked.union(checked(met_pairs(met, similarity).distinct()))
+    named = linked.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     # an id that two different texts carry is one node in the components, as it should be
-    roots = saved(components(met_links(nodes, 8, "wide", radius_of(similarity, width), bucket_rows)), "roots")
-    groups = saved(nodes.join(roots, "node", "left").select("fp", "wide", F.coalesce("root", "node").alias("component")), "groups")
-    return each.join(groups, ["fp", "wide"], "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    roots = saved(components(named), "roots")
+    groups = saved(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component")), "groups")
+    return each.select("id", "key").join(groups, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+def may_share(n, m, x, y, similarity: float) -> np.ndarray:
+    """False where sets of n and m shingles, by their lengths and parity bitmaps, can't share `similarity`."""
+    differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
+
+
+def met_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """a, b (keys, a < b) of the rows (key, n, h, k, root, bits) that meet in h, have different roots, and
+    may share `similarity`. The rows of h are cut into k chunks, and every two chunks meet in a task."""
+    met = met.withColumn("c", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+    others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("c")))
+    met = met.withColumn("o", F.explode(others)).select("key", "n", "root", "bits", F.xxhash64("h", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
+
+    def found(rows):
+        group, key, n, root = (rows.column(c).to_numpy() for c in ("g", "key", "n", "root"))
+        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(key), -1)
+        n = n.astype(np.int64)
+        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
+        few, out = np.repeat(sizes <= 32, sizes), []
+
+        def keep(a, b):
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+
+        some = np.flatnonzero(few)
+        for step in range(1, 32):
+            i, j = some[:-step], some[step:]
+            same = group[i] == group[j]
+            if not same.any():
+                break
+            i, j = i[same], j[same]
+            i, j = (x[root[i] != root[j]] for x in (i, j))
+            at = may_share(n[i], n[j], bits[i], bits[j], similarity)
+            keep(key[i[at]], key[j[at]])
+        ends = np.cumsum(sizes)
+        for begin, end in zip((ends - sizes)[sizes > 32], ends[sizes > 32]):
+            for i in range(begin, end - 1):
+                j = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+                j = j[may_share(n[i], n[j], bits[i], bits[j], similarity)]
+                keep(np.full(len(j), key[i]), key[j])
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(lambda batches: map(found, whole_groups(batches)), "a long, b long")
 
 
 def hex_digits(fp: str = "fp"):

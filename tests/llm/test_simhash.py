@@ -124,3 +124,45 @@ def test_near_texts_in_a_hot_group(spark):
 
 def test_near_texts_of_nothing(spark):
     assert simhash.near_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def planted(rng, i):
+    """A text and copies of it: with a passage appended or replaced, a line repeated, words changed here and there."""
+    word = lambda: f"w{rng.randrange(3000)}"
+    base = [word() for _ in range(rng.randrange(80, 300))]
+    n = len(base)
+    fresh = lambda k: [f"x{i}y{rng.randrange(10**6)}" for _ in range(k)]
+    at, size = rng.randrange(n // 2), rng.randrange(1, n // 4)
+    return [base, base + fresh(size), base[:at] + fresh(size) + base[at + size :], base + base[:12] * (2 * n // 12), edited(rng, base, rng.randrange(1, max(2, n // 30)))]
+
+
+def brute_groups(rows, similarity=0.8):
+    sets, root = {}, {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        sets[i], root[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set(), i
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def test_near_texts_equal_brute_force_on_planted_passages(spark):
+    rng = random.Random(11)
+    line = [f"l{j}" for j in range(30)]
+    rows = [(10 * i + j, " ".join(w if i % 3 else line + w)) for i in range(60) for j, w in enumerate(planted(rng, i))]
+    rows += [(2000 + i, " ".join(line[: rng.randrange(20, 31)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_groups(rows)
+    assert dict(map(tuple, simhash.near_texts(df, hot_texts=8, bucket_rows=16).collect())) == want
+    assert dict(map(tuple, simhash.near_texts(df).collect())) == want
+    repeated = [10 * i + 3 for i in range(60)]
+    assert all(want[r] == r - 3 for r in repeated)

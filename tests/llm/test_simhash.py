@@ -166,3 +166,19 @@ def test_near_texts_equal_brute_force_on_planted_passages(spark):
     assert dict(map(tuple, simhash.near_texts(df).collect())) == want
     repeated = [10 * i + 3 for i in range(60)]
     assert all(want[r] == r - 3 for r in repeated)
+
+
+def test_pipeline_stage_deletes_what_brute_force_deletes(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = [(10 * i, " ".join(f"w{rng.randrange(3000)}" for _ in range(100))) for i in range(80)]
+    # appended or replaced words leave shares between 0.6 and 0.95, on both sides of 0.8
+    for i in range(80):
+        w, k = rows[i][1].split(), rng.randrange(3, 45)
+        rows += [(10 * i + 1, " ".join(w + [f"x{j}" for j in range(i * 100, i * 100 + k)])), (10 * i + 2, " ".join(edited(rng, w, rng.randrange(1, 6))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    groups = brute_groups(rows)
+    assert sorted(map(tuple, kept)) == sorted((i, t) for i, t in rows if groups[i] == i)
+    assert 80 < len(kept) < len(rows)

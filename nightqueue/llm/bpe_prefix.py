@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from .arrow_rows import slices, texts
 from .memos import take
-from .vocab import Chunks, MergeTable, read_tokenizer, special_split, word_finder
+from .vocab import MergeTable, read_tokenizer, unknown_here
+from .words import GLUED, SPACE, Cutter, Memo, classes, encoded
 
 #: Marks the last symbol of a word where the vocabulary has word ends.
 _END = 0x10000
-#: Chunks of text that a worker remembers before it starts anew: bounds its memory.
-MEMO_CHUNKS = 300_000
+#: Words that a worker remembers before it starts anew: bounds its memory.
+MEMO_WORDS = 500_000
 #: Pairs of tokens whose border it remembers.
 MEMO_PAIRS = 400_000
 
@@ -39,24 +40,36 @@ class PrefixCoder:
     """Words to ids for one tokenizer file."""
 
     def __init__(self, raw: bytes):
-        self.table = t = MergeTable(raw)
-        self.split = special_split(t.special)
+        self.raw, self.table = raw, MergeTable(raw)
+        t = self.table
         pre = t.spec["pre_tokenizer"]
         steps = pre.get("pretokenizers", [pre])
-        pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
-        self.words, self.chunks = word_finder(pattern), Chunks(pattern)
+        pattern = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), GLUED)
         norm = t.spec.get("normalizer") or {}
         kinds = {n["type"] for n in norm.get("normalizers", [norm] if norm else [])}
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
+        self.cutter = Cutter(pattern, t.special, self.normal if kinds else None)
+        self.bare = pattern != GLUED
+        self.memo = Memo(self.learn, most=MEMO_WORDS)
         self.to_symbol = {b: c for b, c in enumerate(t.alphabet)}
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
         self._fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def normalizer(self):
+        """The library's own, for characters that Python doesn't know yet."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_buffer(self.raw).normalizer
+
+    def normal(self, piece: str) -> str:
+        if not piece.isascii():
+            if unknown_here(piece):
+                return self.normalizer.normalize_str(piece)
+            if self.nfc:
+                piece = unicodedata.normalize("NFC", piece)
+        return piece.replace("Σ", "σ").lower() if self.lower else piece
 
     @cached_property
     def matcher(self) -> ahocorasick.Automaton:
@@ -124,30 +137,16 @@ class PrefixCoder:
             at = back[at]
         return ids[::-1]
 
-    def chunk(self, chunk: str) -> bytes:
-        return np.array([i for w in self.words(chunk) for i in self.word_ids(w)], "<u4").tobytes()
-
-    def packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        memo, parts = self.memo, []
-        for k, piece in enumerate(self.split(text)):
-            if k % 2:
-                parts.append(self.table.special[piece].to_bytes(4, "little"))
-                continue
-            if self.nfc and not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece)
-            if self.lower:
-                piece = piece.replace("Σ", "σ").lower()
-            head, rest = self.chunks.cut(piece)
-            if head:
-                parts.append(self.chunk(head))
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
-            for c in rest:
-                if c not in memo:
-                    memo[c] = self.chunk(self.chunks.glue + c)
-            parts += map(memo.__getitem__, rest)
-        return b"".join(parts)
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        kind, special = classes(), self.table.special
+        found = [[special[w]] if w in special else [] if self.bare and kind[ord(w[0])] == SPACE else self.word_ids(w) for w in words]
+        return np.array([i for ids in found for i in ids], "<i4"), np.array([len(ids) for ids in found], np.int64)
+
+    def packed(self, batch: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        values, sizes = encoded(self.cutter, self.memo, batch)
+        whole, ends = values.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [whole[a:b] for a, b in zip([0, *ends], ends)]
 
     def text(self, ids: bytes) -> str:
         """What the library's decode gives with special tokens kept; ids that the file doesn't have are left out."""
@@ -204,7 +203,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col:
 
     def each(batch):
         own = coder(raw.value)
-        ids = [own.packed(t) for t in texts(batch, "__in__")]
+        ids = own.packed(texts(batch, "__in__"))
         return [ids, [own.text(i) for i in ids]] if decoded_col else [ids]
 
     return _mapped(df, text_col, {out_col: "binary"} | ({decoded_col: "string"} if decoded_col else {}), each)

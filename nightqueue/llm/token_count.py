@@ -3,7 +3,7 @@
 All new words of a batch lie one after another in a flat array of token ids. In each round every
 word finds the lowest rank among its adjacent pairs, and all words merge all places of their pair
 at once (a run of equal symbols pairs up from its left). Words without a pair leave; what is left
-of each is its count. Counts of words seen before come from a bounded memo.
+of each is its count. Counts of words met before come from a bounded memo.
 
 Null text counts as empty: 0 bytes, 0 tokens. Empty tables give empty results. Input columns named
 like an output column are replaced; all others but the text are kept.
@@ -12,25 +12,26 @@ like an output column are replaced; all others but the text are kept.
 from __future__ import annotations
 
 import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_rows import slices, texts
 from .memos import take
-from .vocab import Chunks, MergeTable, read_tokenizer, special_split, word_finder
+from .vocab import MergeTable, read_tokenizer
+from .words import GLUED, Cutter, Memo, encoded
 
-MEMO_CHUNKS = 1_000_000
+#: New words that are merged at a time.
+RUN = 50_000
 NONE = np.iinfo(np.int64).max
 
 
 class RankMerger:
     def __init__(self, raw: bytes):
-        import public_tokenizers
-
         table = MergeTable(raw)
-        self.split = special_split(table.special)
-        self.words, self.chunks = word_finder(public_tokenizers.PATTERN), Chunks(public_tokenizers.PATTERN)
+        self.special = table.special
+        self.cutter, self.memo = Cutter(GLUED, table.special), Memo(self.learn)
         self.base = np.array(table.byte_ids, np.int64)
         self.width = max(table.vocab.values()) + 1
         keys = np.array([a * self.width + b for a, b in table.pair_rank], np.int64)
@@ -40,7 +41,6 @@ class RankMerger:
         self.merged = np.zeros(len(ranks), np.int64)
         for rank, token in table.pair_rank.values():
             self.merged[rank] = token
-        self.memo: dict[str, int] = {}
 
     def pair_ranks(self, ids: np.ndarray, same: np.ndarray) -> np.ndarray:
         """The rank of each symbol with the next one of its word; NONE where there is no such merge."""
@@ -50,8 +50,6 @@ class RankMerger:
 
     def counts(self, words: list[bytes]) -> np.ndarray:
         """The number of tokens of each word, none of them empty."""
-        if not words:
-            return np.zeros(0)
         sizes = np.array([len(w) for w in words], np.int64)
         ids = self.base[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), sizes)
@@ -77,31 +75,17 @@ class RankMerger:
             ids, owner = ids[keep], owner[keep]
         return out
 
-    def tokens(self, batch: list[str]) -> list[int]:
-        memo, found, out = self.memo, [], [0] * len(batch)
-        if len(memo) > MEMO_CHUNKS:
-            memo.clear()
-        glue, new = self.chunks.glue, {}
-        for row, text in enumerate(batch):
-            for k, piece in enumerate(self.split(text)):
-                if k % 2:
-                    out[row] += 1
-                    continue
-                head, rest = self.chunks.cut(piece)
-                if head:  # under a key that no chunk has, as it stands without the glue
-                    rest.append("\0head " + head)
-                    new["\0head " + head] = self.words(head)
-                new.update((c, self.words(glue + c)) for c in rest if c not in memo and c not in new)
-                found.append((row, rest))
-        chunks = list(new)
-        for i in range(0, len(chunks), 50_000):
-            part = chunks[i : i + 50_000]
-            words = [w.encode("utf-8", "surrogatepass") for c in part for w in new[c]]
-            owner = np.repeat(np.arange(len(part)), [len(new[c]) for c in part])
-            memo.update(zip(part, np.bincount(owner, self.counts(words), len(part)).astype(int).tolist()))
-        for row, chunks in found:
-            out[row] += sum(map(memo.__getitem__, chunks))
-        return out
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.counts([w.encode("utf-8", "surrogatepass") for w in words[i : i + RUN]]) for i in range(0, len(words), RUN)]
+        values = np.concatenate(found).astype(np.int32)
+        values[[i for i, w in enumerate(words) if w in self.special]] = 1
+        return values, np.ones(len(words), np.int64)
+
+    def tokens(self, batch: list[str]) -> np.ndarray:
+        counts, words = encoded(self.cutter, self.memo, batch)
+        before = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+        ends = np.cumsum(words)
+        return before[ends] - before[ends - words]
 
 
 _MERGERS: dict[str, RankMerger] = {}
@@ -125,7 +109,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text_col: str = "text", lim
         own = merger(raw.value)
         for whole in batches:
             for batch in slices(whole, "__in__"):
-                n = pa.array(own.tokens(texts(batch, "__in__")), pa.int64())
+                n = pa.array(own.tokens(texts(batch, "__in__")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), batch.column("__bytes__"), n], names=[*kept, "n_bytes", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))

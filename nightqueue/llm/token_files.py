@@ -15,7 +15,6 @@ import hashlib
 import os
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +23,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .arrow_rows import slices, texts
 from .memos import take
 from .store import shared_dir
-from .vocab import Chunks, read_tokenizer, special_split, word_finder
+from .vocab import read_tokenizer
+from .words import GLUED, Cutter, Memo, encoded, gathered
 
-#: Chunks and words that a worker remembers, each in two generations of this size.
-MEMO_ROWS = 400_000
 #: How the Parquet writer lays files out; any of them can be overridden.
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -40,66 +38,39 @@ LAYOUT = {
 
 
 class LibraryCoder:
-    """The tokenizers library, asked once for each word that a worker meets.
+    """The tokenizers library, asked once for each word that a worker meets."""
 
-    Chunks of text and their words are remembered in two generations: when the younger is full it
-    becomes the older, and what is met again moves back."""
+    #: New words that the library gets as one text, with line feeds between them.
+    RUN = 100
 
     def __init__(self, raw: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(raw)
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.split, self.chunks, self.words = special_split(self.special), Chunks(public_tokenizers.PATTERN), word_finder(public_tokenizers.PATTERN)
-        self.memo: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.word_memo: dict[str, bytes] = {}
-        self.word_old: dict[str, bytes] = {}
-
-    def _ask(self, words: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _words(self, words) -> dict[str, bytes]:
-        """The memo of words, with all of `words` in it."""
-        known, before = self.word_memo, self.word_old
-        new = {w for w in words if w not in known}
-        back = {w: before[w] for w in new if w in before}
-        ask = [w for w in new if w not in back]
-        known.update(back)
-        if ask:
-            known.update(zip(ask, self._ask(ask)))
-        return known
-
-    def _learn(self, chunks: set[str]) -> None:
-        """Puts chunks that the younger memo lacks into it."""
-        old = self.old
-        found = {c: old[c] for c in chunks if c in old}
-        cut = {c: self.words(self.chunks.glue + c) for c in chunks if c not in found}
-        known = self._words({w for ws in cut.values() for w in ws})
-        self.memo.update(found)
-        self.memo.update({c: b"".join([known[w] for w in ws]) for c, ws in cut.items()})
-
-    def packed(self, text: str) -> bytes:
-        parts = []
-        for k, piece in enumerate(self.split(text)):
-            if k % 2:
-                parts.append(self.special[piece].to_bytes(4, "little"))
-                continue
-            if len(self.memo) > MEMO_ROWS:
-                self.memo, self.old = {}, self.memo
-            if len(self.word_memo) > MEMO_ROWS:
-                self.word_memo, self.word_old = {}, self.word_memo
-            head, rest = self.chunks.cut(piece)
-            memo = self.memo
-            if new := {c for c in rest if c not in memo}:
-                self._learn(new)
-            if head:
-                words = self.words(head)
-                parts += map(self._words(words).__getitem__, words)
-            parts += map(memo.__getitem__, rest)
-        return b"".join(parts)
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.cutter, self.memo = Cutter(GLUED, special), Memo(self.learn)
+        (self.mark,) = self.library.encode("\n", add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids and how many each has. A line feed ends any word that isn't white space itself, and is one token."""
+        blank = np.array([w.isspace() for w in words])
+        plain, alone = ([w for w, b in zip(words, blank.tolist()) if b == white] for white in (False, True))
+        runs = ["\n".join(plain[i : i + self.RUN]) for i in range(0, len(plain), self.RUN)]
+        found = [e.ids for e in self.library.encode_batch_fast([*runs, *alone], add_special_tokens=False)]
+        values = np.array([i for ids in found[: len(runs)] for i in (*ids, self.mark)], "<i4")
+        ends = np.flatnonzero(values == self.mark)
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins[~blank] = np.r_[0, ends + 1][:-1]
+        sizes[~blank] = ends - begins[~blank]
+        sizes[blank] = [len(ids) for ids in found[len(runs) :]]
+        begins[blank] = len(values) + np.cumsum(sizes[blank]) - sizes[blank]
+        values = np.r_[values, np.array([i for ids in found[len(runs) :] for i in ids], "<i4")]
+        return gathered(values, begins, sizes)[0], sizes
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after another, and how many each text has."""
+        return encoded(self.cutter, self.memo, batch)
 
 
 _CODERS: dict[str, LibraryCoder] = {}
@@ -121,25 +92,29 @@ def write_token_files(df: DataFrame, tokenizer_path: str, path: str, end_id: int
     src = df.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text_col), F.lit("")).alias("__text__")).repartitionByRange(id_col).sortWithinPartitions(id_col, "__text__")
 
     def body(batches):
-        own = _coder(raw.value)
-        end, row = int(end_id).to_bytes(4, "little"), 0
+        own, row = _coder(raw.value), 0
         for whole in batches:
             for batch in slices(whole, "__text__"):
-                packed = [own.packed(t) + end for t in texts(batch, "__text__")]
-                sizes = np.array([len(p) // 4 for p in packed], np.int64)
+                values, sizes = own.encode(texts(batch, "__text__"))
+                ids = np.insert(values, np.cumsum(sizes), end_id)
+                sizes = sizes + 1
                 offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 rows = pa.array(np.arange(row, row + len(sizes)))
                 row += len(sizes)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), rows, pa.array(sizes), ids], names=[*kept, "row_no", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), rows, pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=[*kept, "row_no", "n_tokens", "ids"])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept] + ["row_no long", "n_tokens long", "ids array<int>"])
     src.mapInArrow(body, schema).write.options(**(LAYOUT | (layout or {}))).parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """The documents of the files; without `ids` only the metadata pages are read."""
+def read_token_files(spark: SparkSession, path: str, ids: bool = True, first=None, last=None, id_col: str = "doc_id") -> DataFrame:
+    """The documents of the files, all or those from `first` to `last`: files, row groups and pages of others
+    are skipped by their statistics. Without `ids` only the metadata pages are read."""
     df = spark.read.parquet(path)
+    if first is not None:
+        df = df.where(F.col(id_col) >= F.lit(first))
+    if last is not None:
+        df = df.where(F.col(id_col) <= F.lit(last))
     return df if ids else df.drop("ids")
 
 

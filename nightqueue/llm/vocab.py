@@ -1,16 +1,12 @@
-"""Reading of public tokenizer files: merges as number tables, special strings and word patterns."""
+"""Reading of public tokenizer files: merges as number tables, special strings, and what Python's Unicode tables lack."""
 
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from functools import lru_cache
 
-import regex
-
-#: What \\s means to the tokenizer files' pattern engine: the code points with the property White_Space.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+import numpy as np
 
 
 def read_tokenizer(path: str) -> bytes:
@@ -62,61 +58,16 @@ class MergeTable:
         return out
 
 
+#: Combining marks whose order Python's tables and the library's normalizer disagree on.
+REORDERED = (0x1DF6, 0x1E4EC, 0x1E4ED)
+
+
 @lru_cache(1)
-def odd_numbers() -> str:
-    """Numeric letters and other numbers as a class body: Python's \\w has them, its \\d doesn't."""
-    odd = [c for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")]
-    runs: list[list[int]] = []
-    for c in odd:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(re.escape(chr(a)) + ("-" + re.escape(chr(b)) if b > a else "") for a, b in runs)
-
-
-@lru_cache(4)
-def word_finder(pattern: str):
-    """findall of a tokenizer file's word pattern.
-
-    Patterns made of letter, number and space classes run on the standard `re` engine, which is
-    twice as fast, after its classes are spelled out; any other pattern runs on `regex`."""
-    letter = rf"[^\W\d_{odd_numbers()}]"
-    number = rf"[\d{odd_numbers()}]"
-    other = rf"(?:[^\w{SPACE}]|_)"
-    out = pattern.replace(r"[\p{L}]", letter).replace(r"[\p{N}]", number)
-    out = out.replace(r"\p{L}", letter).replace(r"\p{N}", number)
-    for mark in (rf"[^\s{letter}{number}]", r"[^\s\p{L}\p{N}]"):
-        out = out.replace(mark, other)
-    out = out.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-    if r"\p" in out:
-        return regex.compile(pattern).findall
-    return re.compile(out).findall
-
-
-def special_split(specials: dict[str, int]):
-    """Splits a text at special strings, longest first; odd places of the result are specials."""
-    if not specials:
-        return lambda text: [text]
-    names = sorted(specials, key=len, reverse=True)
-    cut = re.compile("(" + "|".join(map(re.escape, names)) + ")").split
-    return lambda text: cut(text) if any(s in text for s in names) else [text]
-
-
-class Chunks:
-    """Cuts texts where any word of a tokenizer pattern ends, into chunks that repeat often enough to remember.
-
-    Words never span white space except that some patterns glue one space to the word after it. So a
-    text is cut before every space that a visible character follows (glued), or at all white space.
-    `head` holds what comes before the first cut; each chunk of `rest` stands for glue + chunk."""
-
-    def __init__(self, pattern: str):
-        self.glue = " " if " ?" in pattern else ""
-        self._odd = re.compile(f" [{SPACE}]| $").search if self.glue else re.compile("[\x1c-\x1f]").search
-        self._slow = re.compile(f" (?=[^{SPACE}])").split if self.glue else re.compile(f"[{SPACE}]+").split
-
-    def cut(self, text: str) -> tuple[str, list[str]]:
-        if self.glue:
-            rest = self._slow(text) if self._odd(text) else text.split(" ")
-            return rest[0], rest[1:]
-        return "", [c for c in self._slow(text) if c] if self._odd(text) else text.split()
+def unassigned() -> np.ndarray:
+    """Whether Python's Unicode tables lack each code point, or order it otherwise."""
+    return np.array([c in REORDERED or unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def unknown_here(text: str) -> bool:
+    """Whether a text has characters that only the library normalizes as it does."""
+    return bool(unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())

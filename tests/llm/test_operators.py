@@ -46,6 +46,48 @@ def test_bpe_equals_the_library(docs, empty, path):
     assert {(r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in both} == {(r["doc_id"], bytes(r["ids"]), r["decoded"]) for r in got}
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_every_character_encodes_as_in_the_library(path):
+    """Code points up to U+1FFFF and the last plane, assigned or not, between letters, numbers, blanks and marks."""
+    lib, raw = Tokenizer.from_file(path), open(path, "rb").read()
+    points = [chr(c) for c in [*range(0x20000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    rows = ["".join(f"a{c}b 1{c} {c}'s{c}Á{c}\u0301" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    coder = bpe_prefix.PrefixCoder(raw)
+    counts = token_count.RankMerger(raw).tokens(rows) if path == BYTE else None
+    for i, (ids, want) in enumerate(zip(coder.packed(rows), lib.encode_batch_fast(rows, add_special_tokens=False))):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, rows[i]
+        assert counts is None or counts[i] == len(want.ids)
+
+
+def test_long_texts_are_cut_at_seams(monkeypatch):
+    from nightqueue.llm import words
+
+    monkeypatch.setattr(words, "GROUP_CHARS", 40)
+    lib, raw = Tokenizer.from_file(BYTE), open(BYTE, "rb").read()
+    rows = [*(t or "" for t in TEXTS[:60]), "the end  of it's all " * 40, "", "x" * 500, "<|endoftext|>" * 9]
+    values, sizes = token_files.LibraryCoder(raw).encode(rows)
+    assert [v.tolist() for v in np.split(values, np.cumsum(sizes)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_token_files_give_ranges_and_metadata_alone(spark, tmp_path):
+    """Ids lie in dictionary pages, page indexes are there, and a reader of few documents or of metadata reads less."""
+    import pyarrow.parquet as pq
+
+    rows = [(i, " ".join(f"word{random.randrange(50)}" for _ in range(40))) for i in range(4000)]
+    path = str(tmp_path / "ids")
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, path, layout={"parquet.block.size": str(64 << 10)})
+    files = sorted(tmp_path.glob("ids/*.parquet"))
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    columns = {c.path_in_schema.split(".")[0]: c for c in (meta[0].row_group(0).column(k) for k in range(4))}
+    assert any("DICTIONARY" in e for e in columns["ids"].encodings) and any("DELTA" in e for e in columns["doc_id"].encodings)
+    assert all(c.has_offset_index and c.has_column_index for c in columns.values())
+    assert sum(m.num_row_groups for m in meta) > len(files)
+    some = token_files.read_token_files(spark, path, first=1000, last=1010)
+    assert sorted(r["doc_id"] for r in some.collect()) == list(range(1000, 1011))
+    assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,1000), LessThanOrEqual(doc_id,1010)]" in some._jdf.queryExecution().toString()
+    assert "ids" not in token_files.read_token_files(spark, path, ids=False).columns
+
+
 def test_counts_equal_the_library(docs, empty):
     lib = Tokenizer.from_file(BYTE)
     for r in token_count.count_tokens(docs, BYTE, limit=10).collect():

@@ -1,7 +1,7 @@
 """Exact ranking metrics, conformal thresholds and deterministic splits.
 
-Global orders run as two-phase prefix sums over range partitions, not in one task. Splits order rows
-by an integer hash of (id, rep), so that any engine can repeat them."""
+Global orders, and orders within classes or tags, run as two-phase prefix sums over range partitions,
+not in one task. Splits order rows by an integer hash of (id, rep), so that any engine can repeat them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.tables import saved
+
 #: Fixed choices of the split hash.
 HASH_MUL, HASH_REP, HASH_MOD = 2654435761, 40503, 1000003
 
@@ -18,58 +20,66 @@ def split_hash(idc: str = "id", rep=None) -> Column:
     return F.pmod(F.col(idc).cast("long") * F.lit(HASH_MUL) + r.cast("long") * F.lit(HASH_REP), F.lit(HASH_MOD))
 
 
-def running(df: DataFrame, order: list[Column], values: dict[str, Column], by: str | None = None) -> DataFrame:
-    """Adds inclusive running sums of `values` in the given total order (within `by`, if given)."""
-    for name, v in values.items():
-        df = df.withColumn(name, v)
-    if by is not None:
-        w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*[c for c in df.columns if c not in values], *[F.sum(n).over(w).alias(n) for n in values])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id())
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy("__p").agg(*[F.sum(x).alias(x) for x in values]).select("__p", *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"__{x}") for x in values])
-    w = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = parts.select(*[c for c in parts.columns if c not in values], *[F.sum(x).over(w).alias(x) for x in values])
-    met = inside.join(F.broadcast(totals), "__p")  # one row per shuffle partition
-    return met.select(*[c for c in df.columns if c not in values], *[(F.col(x) + F.col(f"__{x}")).alias(x) for x in values])
+Keys = str | list[str] | None
 
 
-def _keys(by: str | None) -> list[str]:
-    return [by] if by else []
+def _keys(by: Keys) -> list[str]:
+    return [by] if isinstance(by, str) else list(by or [])
 
 
-def thresholds(scored: DataFrame, by: str | None = None) -> DataFrame:
+def running(df: DataFrame, order: list[Column], values: dict[str, Column], by: Keys = None) -> DataFrame:
+    """Adds inclusive running sums of `values` in the given total order (within `by`, if given).
+
+    Rows are dealt to ranges of (by, order) and written with the number of their range: range bounds are
+    sampled anew whenever a plan runs, so totals and rows must come from one run. A group of any size is
+    spread over as many ranges as it fills. Null groups are groups."""
+    keys = _keys(by)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*[c for c in df.columns if c not in values], *[v.alias(x) for x, v in values.items()])
+    parts = saved(rows.repartitionByRange(n, *[F.col(k) for k in keys], *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys, "__p").agg(*[F.sum(x).alias(x) for x in values])
+    totals = totals.select(F.col("__p").alias("__q"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(x).over(before), F.lit(0)).alias(f"__{x}") for x in values])
+    w = Window.partitionBy(*keys, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = parts.withColumns({x: F.sum(x).over(w) for x in values})
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = inside.join(totals if keys else F.broadcast(totals), same)  # without groups: one row per shuffle partition
+    return met.select(*[c for c in rows.columns if c not in values], *[(F.col(x) + F.col(f"__{x}")).alias(x) for x in values])
+
+
+def thresholds(scored: DataFrame, by: Keys = None) -> DataFrame:
     """p, pos, neg per distinct score, and tp, fp from the highest score down to it."""
     g = scored.groupBy(*_keys(by), "p").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum((1 - F.col("y")).cast("long")).alias("neg"))
     return running(g, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
 
 
-def roc_auc(scored: DataFrame, by: str | None = None) -> DataFrame:
+def roc_auc(scored: DataFrame, by: Keys = None) -> DataFrame:
     t = thresholds(scored, by)
     g = t.groupBy(*_keys(by)).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("u"))
     return g.select(*_keys(by), F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("u") / F.col("n_pos") / F.col("n_neg")).alias("roc_auc"))
 
 
-def average_precision(scored: DataFrame, by: str | None = None) -> DataFrame:
+def average_precision(scored: DataFrame, by: Keys = None) -> DataFrame:
     t = thresholds(scored, by)
     g = t.groupBy(*_keys(by)).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
     return g.select(*_keys(by), F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")).alias("average_precision"))
 
 
-def recall_point(scored: DataFrame, target: float = 0.99, by: str | None = None, weight: Column | None = None) -> DataFrame:
+def recall_point(scored: DataFrame, target: float = 0.99, by: Keys = None, weight: Column | None = None) -> DataFrame:
     """The first row, in order (p desc, id), at which the recall target is met: threshold, recall, excluded negatives, precision."""
     w = F.lit(1.0) if weight is None else weight
     rows = scored.withColumn("__w", w)
     tot = rows.groupBy(*_keys(by)).agg(F.sum(F.when(F.col("y") == 1, F.col("__w")).otherwise(0.0)).alias("np"), F.sum(F.when(F.col("y") == 0, F.col("__w")).otherwise(0.0)).alias("nn"))
     r = running(rows, [F.col("p").desc(), F.col("id")], {"tp": F.when(F.col("y") == 1, F.col("__w")).otherwise(0.0), "fp": F.when(F.col("y") == 0, F.col("__w")).otherwise(0.0)}, by)
-    met = r.join(F.broadcast(tot), by) if by else r.crossJoin(F.broadcast(tot))  # one row of totals
+    met = r.join(tot, _keys(by)) if by else r.crossJoin(F.broadcast(tot))  # one row of totals
     need = F.ceil(F.lit(target) * F.col("np")) if weight is None else F.lit(target) * F.col("np")
     hit = met.where(F.col("tp") >= need - F.lit(1e-9))
     best = F.max(F.struct("p", -F.col("id"), "tp", "fp", "np", "nn"))
     g = hit.groupBy(*_keys(by)).agg(best.alias("m"))
     m = lambda c: F.col(f"m.{c}")
-    return g.select(*_keys(by), m("p").alias("threshold"), (m("tp") / m("np")).alias("recall"), ((m("nn") - m("fp")) / m("nn")).alias("excluded"), (m("tp") / (m("tp") + m("fp"))).alias("precision"))
+    return g.select(*_keys(by), m("p").alias("threshold"), F.try_divide(m("tp"), m("np")).alias("recall"), F.try_divide(m("nn") - m("fp"), m("nn")).alias("excluded"), F.try_divide(m("tp"), m("tp") + m("fp")).alias("precision"))
 
 
 def prior_shift(scored: DataFrame, share: float = 0.08, target: float = 0.99) -> DataFrame:
@@ -86,21 +96,20 @@ def evaluate(scored: DataFrame, by: str = "tag", target: float = 0.99) -> DataFr
     return n.join(roc_auc(scored, by), by).join(average_precision(scored, by), by).join(recall_point(scored, target, by), by)
 
 
-def conformal_threshold(scored: DataFrame, alpha: float, by: str | None = None) -> DataFrame:
+def conformal_threshold(scored: DataFrame, alpha: float, by: Keys = None) -> DataFrame:
     """The positive score of rank max(floor((n + 1) alpha) - 1, 0) from below; 0 without positives."""
     pos = scored.where("y = 1")
     tot = scored.groupBy(*_keys(by)).agg(F.sum(F.col("y").cast("long")).alias("n"))
     r = running(pos, [F.col("p").asc(), F.col("id")], {"k": F.lit(1)}, by)
     rank = F.greatest(F.floor((F.col("n") + 1) * F.lit(alpha)) - 1, F.lit(0)) + 1
-    met = tot.join(r, by, "left") if by else tot.join(r, F.lit(True), "left")
+    met = tot.join(r, _keys(by), "left") if by else r.crossJoin(F.broadcast(tot))  # one row of totals
     return met.groupBy(*_keys(by)).agg(F.coalesce(F.max(F.when(F.col("k") == rank, F.col("p"))), F.lit(0.0)).alias("threshold"))
 
 
 def conformal_repeated(scored: DataFrame, alpha: float, n_splits: int = 40, least: int = 5) -> DataFrame:
     """Mean and deviation over stratified halves: threshold from one, recall and exclusion on the other."""
     rep = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    w = Window.partitionBy("rep", "y").orderBy(split_hash("id", "rep"), "id")
-    rep = rep.withColumn("half", F.row_number().over(w) % 2)
+    rep = running(rep, [split_hash("id", "rep"), F.col("id")], {"half": F.lit(1)}, ["rep", "y"]).withColumn("half", F.col("half") % 2)
     cal = rep.where("half = 0")
     enough = cal.groupBy("rep").agg(F.sum(F.col("y").cast("long")).alias("np")).where(F.col("np") >= least).select("rep")
     thr = conformal_threshold(cal.join(enough, "rep", "left_semi"), alpha, "rep")
@@ -119,22 +128,31 @@ def stratified_folds(rows: DataFrame, k: int = 5, reps: int = 6) -> DataFrame:
     """rep and fold of each row; k is at most the smaller class's size."""
     small = rows.groupBy("y").count().agg(F.min("count")).first()[0] or 1
     rep = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    w = Window.partitionBy("rep", "y").orderBy(split_hash("id", "rep"), "id")
-    return rep.withColumn("fold", (F.row_number().over(w) - 1) % max(1, min(k, small)))
+    rows = running(rep, [split_hash("id", "rep"), F.col("id")], {"fold": F.lit(1)}, ["rep", "y"])
+    return rows.withColumn("fold", ((F.col("fold") - 1) % max(1, min(k, small))).cast("int"))
 
 
 def stratified_holdout(rows: DataFrame, share: float) -> DataFrame:
     """Adds is_test: the last share of each class in hash order."""
-    w = Window.partitionBy("y").orderBy(split_hash("id"), "id")
-    n = F.count("*").over(Window.partitionBy("y"))
-    return rows.withColumn("is_test", F.row_number().over(w) > F.floor(n * F.lit(1 - share)))
+    return _last_share(rows, [share])
+
+
+def three_way_split(rows: DataFrame, test: float = 0.2, valid: float = 0.15) -> DataFrame:
+    """Adds part: train, valid or test, with the given shares of each class in hash order."""
+    cut = _last_share(rows, [test, test + valid], ("__t", "__v"))
+    return cut.withColumn("part", F.when(F.col("__t"), "test").when(F.col("__v"), "valid").otherwise("train")).drop("__t", "__v")
+
+
+def _last_share(rows: DataFrame, shares: list[float], names: tuple[str, ...] = ("is_test",)) -> DataFrame:
+    sizes = F.broadcast(rows.groupBy(F.col("y").alias("__y")).agg(F.count("*").alias("__n")))  # one row per class
+    ranked = running(rows, [split_hash("id"), F.col("id")], {"__k": F.lit(1)}, "y").join(sizes, F.col("y").eqNullSafe(F.col("__y")))
+    return ranked.withColumns({c: F.col("__k") > F.floor(F.col("__n") * F.lit(1 - s)) for c, s in zip(names, shares)}).drop("__k", "__n", "__y")
 
 
 def balance_classes(rows: DataFrame) -> DataFrame:
     """As many rows of each class as the smallest has, in hash order (a sampling operator)."""
     least = rows.groupBy("y").count().agg(F.min("count")).first()[0] or 0
-    w = Window.partitionBy("y").orderBy(split_hash("id"), "id")
-    return rows.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= least).drop("__k")
+    return running(rows, [split_hash("id"), F.col("id")], {"__k": F.lit(1)}, "y").where(F.col("__k") <= least).drop("__k")
 
 
 def site_frequency(rows: DataFrame, c: str = "obscode_first") -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import MAIN_BELT, SITES
-from .metrics import stratified_folds
+from ..sources.tables import saved
+from .metrics import conformal_repeated, stratified_folds, stratified_holdout
 
 #: Rows below which the logistic pipeline is used, not trees.
 SMALL = 200
@@ -65,7 +66,7 @@ def scored(df: DataFrame, model: PipelineModel, cols: list[str], keep: tuple[str
 
 def oof_scores(df: DataFrame, cols: list[str], k: int = 3, small: bool = True) -> DataFrame:
     """Every row scored by a model that its fold didn't train."""
-    folds = stratified_folds(df, k, 1).drop("rep").cache()
+    folds = saved(stratified_folds(df, k, 1).drop("rep"), "folds")
     n = folds.agg(F.max("fold")).first()[0] or 0
     out = None
     for f in range(n + 1):
@@ -74,6 +75,41 @@ def oof_scores(df: DataFrame, cols: list[str], k: int = 3, small: bool = True) -
     return out
 
 
+def oof_conformal(df: DataFrame, cols: list[str], alpha: float, k: int = 3, n_splits: int = 40) -> DataFrame:
+    """The conformal step on out-of-fold scores: no score comes from a model that saw its row."""
+    return conformal_repeated(saved(oof_scores(df, cols, k), "oof"), alpha, n_splits)
+
+
+def save_artifact(path: str, model: PipelineModel, cols: list[str], freq: DataFrame, n: int, mode: str) -> None:
+    """A model with all that scoring needs: its columns, the sites' training shares, rows and mode."""
+    spark = freq.sparkSession
+    model.write().overwrite().save(f"{path}/model")
+    freq.write.mode("overwrite").parquet(f"{path}/site_frequency")
+    spark.createDataFrame([(cols, n, mode)], "columns array<string>, n long, mode string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load_artifact(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], DataFrame]:
+    about = spark.read.schema("columns array<string>, n long, mode string").json(f"{path}/about").first()
+    return PipelineModel.load(f"{path}/model"), about["columns"], spark.read.parquet(f"{path}/site_frequency")
+
+
+def compare_vectors(rows: DataFrame, seeds: tuple[int, ...] = (1, 2, 3), share: float = 0.25, rounds: int = 10) -> DataFrame:
+    """tag, seed, id, y, p of held-out rows: a logistic on the score alone, trees on motion and on pixels, and
+    a logistic over all three. rows: id, y, d2, x_img and x_mot (vectors). Each seed holds out another share."""
+    out = None
+    for seed in seeds:
+        cut = saved(stratified_holdout(rows.withColumn("__id", F.col("id")).withColumn("id", F.xxhash64("id", F.lit(seed)) % 1_000_003), share).withColumn("id", F.col("__id")).drop("__id"), "holdout")
+        train, test = weighted(cut.where(~F.col("is_test"))), cut.where("is_test")
+        fits = {"score": ["d2"], "motion": ["x_mot"], "pixels": ["x_img"], "fused": ["d2", "x_mot", "x_img"]}
+        for tag, cols in fits.items():
+            vector = VectorAssembler(inputCols=cols, outputCol="v")
+            last = GBTClassifier(featuresCol="v", maxDepth=4, maxIter=rounds, weightCol="weight", seed=seed) if tag in ("motion", "pixels") else LogisticRegression(featuresCol="v", weightCol="weight", regParam=0.01)
+            model = Pipeline(stages=[vector, last]).fit(train)
+            part = model.transform(test).select(F.lit(tag).alias("tag"), F.lit(seed).alias("seed"), "id", "y", vector_to_array("probability")[1].alias("p"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def score_queue(features: DataFrame, model: PipelineModel | None = None, cols: list[str] | None = None) -> DataFrame:
     """Probabilities of a model, or of the feed's score where there is none; highest first."""
     if model is None:
@@ -81,9 +117,11 @@ def score_queue(features: DataFrame, model: PipelineModel | None = None, cols: l
     return model.transform(missing_flags(features, cols)).withColumn("p", vector_to_array("probability")[1]).select(*features.columns, "p")
 
 
-def late_fusion(scores: DataFrame, feats: DataFrame, cols: list[str], key: str = "id", small: bool = True) -> DataFrame:
-    """A model over an image logit, the feed score, magnitude and motion, joined by subject."""
+def late_fusion(scores: DataFrame, feats: DataFrame, cols: list[str], key: str = "id", small: bool = True, zero_is_missing: tuple[str, ...] = ()) -> DataFrame:
+    """A model over an image logit, the feed score, magnitude and motion, joined by subject; 0 in `zero_is_missing` means none."""
     rows = feats.join(scores, key)
+    for c in zero_is_missing:
+        rows = rows.withColumn(c, F.nullif(F.col(c).cast("double"), F.lit(0.0)))
     return scored(rows, fit_vetting(rows, cols, small), cols)
 
 

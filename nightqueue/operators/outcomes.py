@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 #: Phrasings of negative outcomes.
@@ -15,24 +15,57 @@ EXCLUDED = ("comet", "linked", "other")
 KEY = ["trksub", "outcome_class", "designation"]
 
 
+def circular(line) -> Column:
+    """The code of the first circular that a line names, or null."""
+    after = F.slice(F.split(line, "MPEC"), F.lit(2), F.size(F.split(line, "MPEC")))
+    codes = F.transform(after, lambda x: F.regexp_extract(F.ltrim(x, F.lit(" \t*[]")), "^[0-9]{4}-[A-Z][0-9]{1,3}", 0))
+    return F.get(F.filter(codes, lambda x: x != ""), F.lit(0))
+
+
 def classify_outcomes(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Adds trksub, outcome_class, designation and mpec; lines of no known form go."""
-    line = F.trim(F.regexp_replace(F.trim(line_col), r"^[- ]+", ""))
-    rows = lines.withColumn("__mpec", F.regexp_extract(line, r"MPEC[\s*\[\]]*(\d{4}-[A-Z]\d{1,3})", 1)).withColumn("__l", F.regexp_replace(line, r"(?i)\s*\[?\s*(?:see\b|MPEC\b).*$", ""))
-    got = lambda p, k: F.regexp_extract("__l", p, k)
-    comet, pair = r"^(Comet\s+.+?)\s*=\s*(\S+)\s+\((.+?)\)$", r"^(.+?)\s*=\s*(\S+)\s+\((.+?)\)$"
-    reason = r"^(\S+)\s+(" + "|".join(REASONS) + r")\s*\((.+?)\)$"
-    other = r"^(\S+)\s+(.+?)\s*\((.+?)\)$"
-    mpec = F.nullif(F.col("__mpec"), F.lit(""))
-    desig = F.trim(got(pair, 1))
-    is_comet, is_pair, is_reason = (F.col("__l").rlike(p) for p in (comet, pair, reason))
-    linked = desig.rlike(r"^\S+$")
-    is_other = F.col("__l").rlike(other) & (F.length(got(other, 1)) <= 8)
-    rows = rows.withColumn("trksub", F.when(is_comet, got(comet, 2)).when(is_pair, got(pair, 2)).when(is_reason, got(reason, 1)).when(is_other, got(other, 1)))
-    rows = rows.withColumn("outcome_class", F.when(is_comet, "comet").when(is_pair, F.when(linked, "linked").when(mpec.isNotNull(), "neo").otherwise("designated_other")).when(is_reason, F.regexp_replace(got(reason, 2), " ", "_")).when(is_other, "other"))
-    rows = rows.withColumn("designation", F.when(is_comet, got(comet, 1)).when(is_pair, desig).when(is_reason, "").when(is_other, got(other, 2)))
-    rows = rows.withColumn("mpec", F.when(is_comet | is_pair, mpec))
-    return rows.where("trksub IS NOT NULL").drop("__mpec", "__l")
+    """Adds trksub, outcome_class, designation and mpec; lines of no known form go.
+
+    A line is a statement and a time in brackets; a remark about a circular may follow. The statement is
+    `designation = object` or `object reason`; lines of another shape are `other` where the object is short."""
+    return outcome_forms(lines, line_col).where("trksub IS NOT NULL")
+
+
+def unparsed_outcomes(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """The lines that classify_outcomes leaves out, for a quarantine table."""
+    return outcome_forms(lines, line_col).where("trksub IS NULL").select(*lines.columns)
+
+
+def outcome_forms(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """classify_outcomes with nulls for lines of no known form."""
+    line = F.ltrim(F.trim(line_col), F.lit("- "))
+    head = F.rtrim(F.get(F.split(line, r"(?i)(?:see|mpec)\b", 2), F.lit(0)))
+    whole = F.rtrim(F.when(head.endswith("["), F.left(head, F.length(head) - 1)).otherwise(head))
+    # one-element arrays keep the optimizer from copying each step into all uses of it
+    step = lambda **made: F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()])))
+    rows = lines.select(*lines.columns, step(text=whole, mpec=circular(line)).alias("__a"))
+    text, mpec = F.col("__a.text"), F.col("__a.mpec")
+    timed = text.endswith(")")
+    # designation = object (time): the sign is the first that has such a right side, or else the last
+    sides = [(F.substring_index(text, "=", 1), F.substring(text, F.instr(text, "=") + 1, F.length(text))), (F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "=", -1)) - 1), F.substring_index(text, "=", -1))]
+    fits = [timed & text.contains("=") & (F.trim(a) != "") & F.ltrim(b).rlike(r"^\S+\s+\(.") for a, b in sides]
+    side = F.when(fits[0], F.struct(F.trim(sides[0][0]).alias("desig"), F.trim(sides[0][1]).alias("rest"))).when(fits[1], F.struct(F.trim(sides[1][0]).alias("desig"), F.trim(sides[1][1]).alias("rest")))
+    # object reason (time)
+    token = F.get(F.split(text, r"\s+", 2), F.lit(0))
+    said = F.get(F.split(text, r"\s+", 2), F.lit(1))
+    rows = rows.select(*lines.columns, "__a", step(pair=side, token=token, said=said).alias("__b"))
+    said = F.col("__b.said")
+    brief = F.coalesce(*[F.when(timed & said.startswith(r) & F.ltrim(F.substring(said, len(r) + 1, 10_000)).startswith("("), F.lit(r)) for r in REASONS])
+    what = F.rtrim(F.substring_index(said, "(", 1))
+    rows = rows.select(*lines.columns, "__a", "__b", step(reason=brief, other=F.when(timed & said.contains("(") & (what != "") & (F.length("__b.token") <= 8), what)).alias("__c"))
+    desig, pair, reason, other = F.col("__b.pair.desig"), F.col("__b.pair").isNotNull(), F.col("__c.reason").isNotNull(), F.col("__c.other").isNotNull()
+    comet = desig.rlike(r"^Comet\s")
+    kind = F.when(comet, "comet").when(~desig.rlike(r"\s"), "linked").when(mpec.isNotNull(), "neo").otherwise("designated_other")
+    return rows.select(
+        *lines.columns,
+        F.when(pair, F.get(F.split("__b.pair.rest", r"\s+", 2), F.lit(0))).when(reason | other, F.col("__b.token")).alias("trksub"),
+        F.when(pair, kind).when(reason, F.replace("__c.reason", F.lit(" "), F.lit("_"))).when(other, "other").alias("outcome_class"),
+        F.when(pair, desig).when(reason, "").when(other, F.col("__c.other")).alias("designation"), F.when(pair, mpec).alias("mpec"),
+    )
 
 
 def upgrade_designated(rows: DataFrame) -> DataFrame:
@@ -85,12 +118,18 @@ def label_summary(states: DataFrame) -> DataFrame:
     return states.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"), F.count_if(F.col("state") == "unresolved").alias("unresolved"), F.count_if(F.col("state") == "excluded").alias("excluded"))
 
 
-def training_frame(labeled: DataFrame, backfill: DataFrame | None = None) -> DataFrame:
-    """Captured rows, then backfill rows of other objects; columns that one side lacks are null."""
+def training_frame(labeled: DataFrame, backfill: DataFrame | None = None, guard_col: str | None = None) -> DataFrame:
+    """Captured rows, then backfill rows of other objects; columns that one side lacks are null.
+
+    With `guard_col` the backfill only stays if rows that have this sub-score carry both labels: else
+    having one would tell the label."""
     own = labeled if "source" in labeled.columns else labeled.withColumn("source", F.lit("capture"))
     if backfill is None:
         return own
-    return own.unionByName(backfill.join(labeled.select("trksub"), "trksub", "left_anti"), allowMissingColumns=True)
+    both = own.unionByName(backfill.join(labeled.select("trksub"), "trksub", "left_anti"), allowMissingColumns=True)
+    if guard_col is None or leak_guard(both, guard_col).first()["ok"]:
+        return both
+    return both.where(~F.col("source").eqNullSafe("backfill"))
 
 
 def leak_guard(df: DataFrame, score_col: str = "d2_NEO_noid") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.columns import SLOPE_FLOOR, followup_status, size_m, wrap_hours
+from ..functions.columns import SLOPE_FLOOR, followup_status, rate_parts, size_m, wrap_hours
+
 
 def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
@@ -62,6 +63,14 @@ def motion_rate(history: DataFrame, key: str = "trksub") -> DataFrame:
     return g.select(key, F.col("ra_h1").alias("ra_h"), F.col("dec_deg1").alias("dec_deg"), F.col("stamp1").alias("stamp"), (wrap_hours(F.col("ra_h1") - F.col("ra_h2")) / d).alias("ra_rate"), ((F.col("dec_deg1") - F.col("dec_deg2")) / d).alias("dec_rate"))
 
 
+def motion_or_tracklet(rates: DataFrame, tracks: DataFrame, key: str = "trksub") -> DataFrame:
+    """motion_rate, with the rate and angle of the object's tracklet where there are fewer than two positions; 0 without either."""
+    met = rates.join(tracks.select(key, "sky_rate_deg_day", "motion_pa_deg"), key, "left")
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    east, north = rate_parts(known(F.col("sky_rate_deg_day")), known(F.col("motion_pa_deg")), "dec_deg")
+    return met.select(*[c for c in rates.columns if c not in ("ra_rate", "dec_rate")], F.coalesce("ra_rate", east / 15).alias("ra_rate"), F.coalesce("dec_rate", north).alias("dec_rate"))
+
+
 def vetting_rows(snap: DataFrame) -> DataFrame:
     """First postings with tier, size and probability: the rows of the queue."""
     f = first_posting(snap)

@@ -53,10 +53,12 @@ def earliest_site_obs(obs: DataFrame, code: str, y0: int, y1: int, key: str = "t
     return ok.groupBy(key).agg(m.alias("m")).select(key, "m.date", "m.ra", "m.dec")
 
 
-def by_source(rows: DataFrame, priority: list[str], key: str = "trksub") -> DataFrame:
-    """All rows of each object's best source, in the given order of sources."""
+def by_source(rows: DataFrame, priority: list[str], least: int = 1, key: str = "trksub") -> DataFrame:
+    """All rows of each object's best source, in the given order of sources; a source counts from `least` rows on."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col("source"))
-    return rows.withColumn("__r", rank).withColumn("__b", F.min("__r").over(Window.partitionBy(key))).where("__r = __b").drop("__r", "__b")
+    enough = rows.groupBy(key, "source").agg(F.count("*").alias("n"), F.first(rank).alias("r")).where(F.col("n") >= least)
+    best = enough.groupBy(key).agg(F.min(F.struct("r", "source"))["source"].alias("source"))
+    return rows.join(best, [key, "source"], "left_semi")
 
 
 def match_exposures(obs: DataFrame, exposures: DataFrame, radius: float, key: str = "trksub") -> DataFrame:

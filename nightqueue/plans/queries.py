@@ -10,7 +10,7 @@ from ..functions import columns as C
 from ..operators import images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
 from ..sources import readers as R
 from ..streaming import streams as ST
-from .views import view, with_views
+from .views import VIEWS, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,18 +90,24 @@ def position_history(spark, d):
     return S.position_history(view(spark, d, "snap"))
 
 
+def _motion(spark, d) -> DataFrame:
+    """Histories in which every third object has kept its last position only, with tracklets to fall back on."""
+    hist = S.position_history(view(spark, d, "snap").where("trksub % 3 > 0")).unionByName(S.position_history(S.first_posting(view(spark, d, "snap").where("trksub % 3 = 0")).select("trksub", "stamp", "tie", "ra_h", "dec_deg")))
+    return S.motion_or_tracklet(S.motion_rate(hist), T.tracklet_features(view(spark, d, "obs")))
+
+
 @query(f"WITH {HIST}, {RATE} SELECT trksub, ra_h, dec_deg, stamp, round(ra_rate, 4) AS ra_rate, round(dec_rate, 4) AS dec_rate FROM rate")
 def motion_rate(spark, d):
     return rounded(S.motion_rate(S.position_history(view(spark, d, "snap"))), 4)
 
 
 @query(f"""WITH {HIST}, {RATE}, x AS (SELECT *, (epoch_us(TIMESTAMP '2024-02-05 00:00:00') - epoch_us(stamp)) / 86400e6 AS age, ra_h + ra_rate * least((epoch_us(TIMESTAMP '2024-02-05 00:00:00') - epoch_us(stamp)) / 86400e6, 7) AS r FROM rate)
-SELECT trksub, round(((r % 24) + 24) % 24, 3) AS ra, round(greatest(-90, least(90, dec_deg + dec_rate * least(age, 7))), 3) AS dec, age > 7 AS stale FROM x WHERE abs(ra_rate) < 100""")
+SELECT trksub, round(((r % 24) + 24) % 24, 3) AS ra, CASE WHEN dec_rate IS NOT NULL THEN round(greatest(-90, least(90, dec_deg + dec_rate * least(age, 7))), 3) END AS dec, age > 7 AS stale FROM x""")
 def extrapolate(spark, d):
-    rate = S.motion_rate(S.position_history(view(spark, d, "snap"))).where(F.abs("ra_rate") < 100)
+    rate = S.motion_rate(S.position_history(view(spark, d, "snap")))
     age = (F.unix_micros(F.lit("2024-02-05 00:00:00").cast("timestamp")) - F.unix_micros(F.col("stamp").cast("timestamp"))) / 86400e6
-    x = rate.select("trksub", C.extrapolate("ra_h", "dec_deg", "ra_rate", "dec_rate", age).alias("x"))
-    return x.select("trksub", F.round("x.ra", 3).alias("ra"), F.round("x.dec", 3).alias("dec"), F.col("x.stale").alias("stale"))
+    x = rate.select("trksub", "dec_rate", C.extrapolate("ra_h", "dec_deg", "ra_rate", "dec_rate", age).alias("x"))
+    return x.select("trksub", F.round("x.ra", 3).alias("ra"), F.when(F.col("dec_rate").isNotNull(), F.round("x.dec", 3)).alias("dec"), F.col("x.stale").alias("stale"))
 
 
 NEWEST = "newest AS (SELECT DISTINCT trksub FROM snap WHERE stamp = (SELECT max(stamp) FROM snap))"
@@ -154,7 +160,7 @@ def feed_text_parse(spark, d):
 def feed_recover(spark, d):
     s = view(spark, d, "snap")
     one = F.format_string('{"Temp_Desig": "%d", "Score": %s, "NObs": 1, "NObs": %d', F.col("trksub"), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.col("nobs"))
-    files = s.groupBy((F.col("tie") % 50).alias("file")).agg(F.array_join(F.collect_list(one), ", ").alias("value"))
+    files = s.groupBy((F.col("tie") / 200).cast("long").alias("file")).agg(F.array_join(F.collect_list(one), ", ").alias("value"))
     return R.recover_feed(files, ["Temp_Desig", "Score", "NObs"]).select("Temp_Desig", "Score", "NObs")
 
 
@@ -178,13 +184,16 @@ def obs80_parse(spark, d):
     return rounded(R.parse_obs80(_obs_lines(view(spark, d, "obs")), keep=("trksub", "line_no")))
 
 
-@query("SELECT concat('P', CAST(trksub AS VARCHAR)) AS desig, CASE WHEN trksub % 4 = 0 THEN NULL ELSE round((trksub % 90) / 100.0, 6) END AS d2_rms, d2_NEO_raw, coalesce(d2_NEO_noid, 0) AS d2_NEO_noid, coalesce(d2_JFC_noid, 0) AS d2_JFC_noid FROM d2")
+SCORES = [f"d2_{c}_{k}" for c in C.ORBIT_CLASSES for k in ("raw", "noid")]
+
+
+@query("SELECT concat('P', CAST(trksub AS VARCHAR)) AS desig, CASE WHEN trksub % 4 = 0 THEN NULL ELSE round((trksub % 90) / 100.0, 6) END AS d2_rms, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in SCORES) + " FROM d2")
 def score_text_parse(spark, d):
     v = view(spark, d, "d2")
     nums = [F.coalesce(F.col(f"d2_{c}_{k}"), F.lit(0)).cast("string") for c in C.ORBIT_CLASSES for k in ("raw", "noid")]
     line = F.concat_ws(" ", F.concat(F.lit("P"), F.col("trksub")), F.when(F.col("trksub") % 4 == 0, "**").otherwise(F.format_string("%.2f", (F.col("trksub") % 90) / 100.0)), *nums)
     junk = v.select(F.lit("heading line without scores").alias("line")).limit(1)
-    return R.parse_scores(v.select(line.alias("line")).union(junk)).select("desig", "d2_rms", "d2_NEO_raw", "d2_NEO_noid", "d2_JFC_noid")
+    return R.parse_scores(v.select(line.alias("line")).union(junk))
 
 
 def _outcome_pages(spark, d) -> DataFrame:
@@ -193,7 +202,7 @@ def _outcome_pages(spark, d) -> DataFrame:
     t = F.concat(F.lit("T"), k)
     forms = [F.concat(F.lit("2026 A"), k % 50, F.lit(" = "), t, F.lit(" (July 1.5 UT) [MPEC 2026-N"), k % 90 + 1, F.lit("]")), F.concat(F.lit("2026 B"), k % 50, F.lit(" = "), t, F.lit(" (July 1.5 UT)")), F.concat(F.lit("X"), k, F.lit(" = "), t, F.lit(" (July 1.5 UT)")), F.concat(F.lit("Comet C/2026 A1 = "), t, F.lit(" (July 1.5 UT) see MPEC 2026-A1")), F.concat(F.lit("- "), t, F.lit(" does not exist (July 1.5 UT)")), F.concat(t, F.lit(" was not a minor planet (July 1.5 UT)")), F.concat(t, F.lit(" vanished slowly (July 1.5 UT)")), F.concat(t, F.lit("longname vanished (July 1.5 UT)")), F.concat(t, F.lit(" has no time mark"))]
     line = F.coalesce(*[F.when(k % 9 == i, f) for i, f in enumerate(forms)])
-    return o.groupBy((k % 40).alias("page")).agg(F.concat(F.lit("<html><ul><li>"), F.array_join(F.collect_list(line), "</li><li><b>"), F.lit("</b></ul>")).alias("value"))
+    return o.groupBy((k / 500).cast("long").alias("page")).agg(F.concat(F.lit("<html><ul><li>"), F.array_join(F.collect_list(line), "</li><li><b>"), F.lit("</b></ul>")).alias("value"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS k, concat('T', CAST(o_orderkey AS VARCHAR)) AS t FROM orders)
@@ -222,7 +231,7 @@ def subject_index(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
     md = F.map_from_arrays(F.array(F.lit("#feedback_2_answer"), F.lit("!sKeyword")), F.array((i % 3).cast("string"), F.when(i % 2 == 0, "rjct").otherwise("ok")))
     loc = F.transform(F.sequence(F.lit(0), i % 4), lambda n: F.create_map(F.lit("image/png"), F.concat(F.lit("http://x/"), i.cast("string"))))
-    pages = docs.groupBy((i % 20).alias("page")).agg(F.collect_list(F.struct(i.cast("string").alias("id"), md.alias("metadata"), loc.alias("locations"))).alias("subjects"))
+    pages = docs.groupBy((i / 500).cast("long").alias("page")).agg(F.collect_list(F.struct(i.cast("string").alias("id"), md.alias("metadata"), loc.alias("locations"))).alias("subjects"))
     return R.flatten_subjects(pages).select("subject_id", "is_real", "label_source", "n_frames", "first_url")
 
 
@@ -264,9 +273,20 @@ trk AS (SELECT trksub, n AS nobs_tracklet, dt AS arc_days_tracklet, sqrt(pow(dra
 least(((lon - sun - 180) % 360 + 360) % 360, 360 - ((lon - sun - 180) % 360 + 360) % 360) AS opposition_dist_deg, gc AS gc_rms_arcsec, mag_mean, mag_range, site AS obscode_first, CASE WHEN dt > 0.5 THEN 1 ELSE 0 END AS multi_night FROM e3)"""
 
 
-@query(f"""WITH {TRK} SELECT trksub, nobs_tracklet, round(arc_days_tracklet, 4) AS arc_days_tracklet, round(sky_rate_deg_day, 4) AS sky_rate_deg_day, round(motion_pa_deg, 4) AS motion_pa_deg, round(ecl_lat_deg, 4) AS ecl_lat_deg, round(solar_elong_deg, 4) AS solar_elong_deg, round(opposition_dist_deg, 4) AS opposition_dist_deg, round(gc_rms_arcsec, 4) AS gc_rms_arcsec, round(mag_mean, 4) AS mag_mean, round(mag_range, 4) AS mag_range, obscode_first, multi_night FROM trk WHERE arc_days_tracklet > 0.001""")
+@query(f"""WITH {TRK} SELECT trksub, nobs_tracklet, round(arc_days_tracklet, 4) AS arc_days_tracklet, CASE WHEN sky_rate_deg_day > 1000 THEN round(sky_rate_deg_day, 0) ELSE round(sky_rate_deg_day, 4) END AS sky_rate_deg_day, round(motion_pa_deg, 4) AS motion_pa_deg, round(ecl_lat_deg, 4) AS ecl_lat_deg, round(solar_elong_deg, 4) AS solar_elong_deg, round(opposition_dist_deg, 4) AS opposition_dist_deg, round(gc_rms_arcsec, 4) AS gc_rms_arcsec, round(mag_mean, 4) AS mag_mean, round(mag_range, 4) AS mag_range, obscode_first, multi_night FROM trk""")
 def tracklet_features(spark, d):
-    return rounded(T.tracklet_features(view(spark, d, "obs")).where("arc_days_tracklet > 0.001"), 4)
+    t = T.tracklet_features(view(spark, d, "obs"))
+    # an arc without length makes rates of up to 1e8, of which four places would be noise
+    return rounded(t.withColumn("sky_rate_deg_day", F.when(F.col("sky_rate_deg_day") > 1000, F.round("sky_rate_deg_day", 0)).otherwise(F.col("sky_rate_deg_day"))), 4)
+
+
+LAST = HIST.replace("FROM snap WINDOW", "FROM kept WINDOW")
+
+
+@query(f"""WITH {FIRST}, kept AS (SELECT trksub, stamp, tie, ra_h, dec_deg FROM snap WHERE trksub % 3 > 0 UNION ALL SELECT trksub, stamp, tie, ra_h, dec_deg FROM first WHERE trksub % 3 = 0), {LAST}, {RATE}, {TRK}
+SELECT r.trksub, ra_h, dec_deg, stamp, round(coalesce(ra_rate, coalesce(sky_rate_deg_day, 0) * sin(radians(coalesce(motion_pa_deg, 0))) / greatest(cos(radians(dec_deg)), 0.05) / 15), 3) AS ra_rate, round(coalesce(dec_rate, coalesce(sky_rate_deg_day, 0) * cos(radians(coalesce(motion_pa_deg, 0)))), 3) AS dec_rate FROM rate r LEFT JOIN trk ON r.trksub = trk.trksub""")
+def motion_fallback(spark, d):
+    return rounded(_motion(spark, d), 3)
 
 
 @query("""WITH w AS (SELECT *, 40.0 * (trksub % 90) AS e FROM obs), i AS (SELECT *, bool_or(t BETWEEN e - 120 AND e + 2) OVER (PARTITION BY trksub) AS any_in FROM w), k AS (SELECT * FROM i WHERE NOT any_in OR t BETWEEN e - 120 AND e + 2),
@@ -282,20 +302,30 @@ def earliest_site_obs(spark, d):
 
 
 @query("""WITH x AS (SELECT o_orderkey AS exposure, CAST(o_orderdate AS DATE) AS date, (o_custkey * 37 % 36000) / 100.0 AS era, (o_custkey * 71 % 16000) / 100.0 - 80 AS edec, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey AS VARCHAR) END AS stamp FROM orders),
-o AS (SELECT trksub, date, ra, dec FROM obs WHERE line_no = 1)
+o AS (SELECT trksub, date, ra, dec FROM obs)
 SELECT trksub, m.e AS exposure, m.s AS stamp FROM (SELECT trksub, min(struct_pack(e := exposure, s := stamp)) AS m FROM o JOIN x ON o.date = x.date AND stamp <> '' AND degrees(2 * asin(sqrt(least(1, pow(sin(radians(dec - edec) / 2), 2) + cos(radians(dec)) * cos(radians(edec)) * pow(sin(radians(ra - era) / 2), 2))))) <= 25 GROUP BY trksub)""")
 def exposure_match(spark, d):
     k = F.col("o_custkey")
     x = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("exposure"), F.col("o_orderdate").cast("date").alias("date"), (k * 37 % 36000 / 100.0).alias("ra"), (k * 71 % 16000 / 100.0 - 80).alias("dec"), F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderkey").cast("string")).alias("stamp"))
-    return T.match_exposures(view(spark, d, "obs").where("line_no = 1").select("trksub", "date", "ra", "dec"), x, 25.0)
+    return T.match_exposures(view(spark, d, "obs").select("trksub", "date", "ra", "dec"), x, 25.0)
 
 
-@query("WITH u AS (SELECT trksub, line_no, CASE WHEN trksub % 2 = 0 AND line_no % 2 = 0 THEN 'api' ELSE 'circular' END AS source FROM obs WHERE trksub % 3 > 0 OR line_no > 1) SELECT trksub, source, count(*) AS n FROM u WHERE source = CASE WHEN trksub IN (SELECT trksub FROM u WHERE source = 'circular') THEN 'circular' ELSE 'api' END GROUP BY trksub, source")
+@query("""WITH u AS (SELECT trksub, CASE WHEN trksub % 3 = 0 OR trksub % 2 = 0 AND line_no % 2 = 0 THEN 'api' ELSE 'circular' END AS source FROM obs), g AS (SELECT trksub, source, count(*) AS n FROM u GROUP BY trksub, source HAVING count(*) >= 2)
+SELECT * FROM g WHERE source = 'circular' OR trksub NOT IN (SELECT trksub FROM g WHERE source = 'circular')""")
 def tracklet_union(spark, d):
-    o = view(spark, d, "obs").where("trksub % 3 > 0 OR line_no > 1")
-    api = (F.col("trksub") % 2 == 0) & (F.col("line_no") % 2 == 0)
+    o = view(spark, d, "obs")
+    api = (F.col("trksub") % 3 == 0) | (F.col("trksub") % 2 == 0) & (F.col("line_no") % 2 == 0)
     u = o.where(~api).withColumn("source", F.lit("circular")).unionByName(o.where(api).withColumn("source", F.lit("api")))
-    return T.by_source(u, ["circular", "api"]).groupBy("trksub", "source").agg(F.count("*").alias("n"))
+    return T.by_source(u, ["circular", "api"], least=2).groupBy("trksub", "source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT trksub, line_no FROM obs WHERE trksub % 4 > 0 AND 66 - line_no % 40 > 40")
+def object_lines(spark, d):
+    o = view(spark, d, "obs")
+    who = F.when(F.col("trksub") % 4 > 0, F.concat(F.lit("#"), F.lpad(F.col("trksub").cast("string"), 12, "0"))).otherwise("#no object    ")
+    line = F.rpad(F.concat(who, F.lit(" observed")), (66 - F.col("line_no") % 40).cast("int"), "x")
+    lines = o.select("line_no", F.concat(F.lit("#"), F.lpad(F.col("trksub").cast("string"), 12, "0")).alias("name"), "trksub", line.alias("raw"))
+    return R.mentions(lines, key="name").select("trksub", "line_no")
 
 
 # ---- outcomes and labels ----
@@ -330,6 +360,24 @@ def outcome_resolve(spark, d):
     return O.resolve_outcomes(_log(spark, d)).select("trksub", "outcome_class", "designation", "mpec")
 
 
+@query(f"""WITH {LOG}, {RES}, w AS (SELECT o.trksub, line_no, t, datediff('day', DATE '2000-01-01', CAST(stamp AS DATE)) + 0.0 AS e FROM obs o JOIN (SELECT trksub, stamp FROM res) r ON o.trksub = r.trksub), i AS (SELECT *, t BETWEEN e - 1200 AND e + 2 AS inside FROM w)
+SELECT trksub, line_no FROM (SELECT *, bool_or(inside) OVER (PARTITION BY trksub) AS any_in FROM i) WHERE inside OR NOT any_in""")
+def outcome_window(spark, d):
+    ends = O.resolve_outcomes(_log(spark, d)).select("trksub", (F.datediff(F.col("stamp").cast("date"), F.lit("2000-01-01").cast("date")) + 0.0).alias("window_end"))
+    return T.in_posting_window(view(spark, d, "obs").join(ends, "trksub"), days=1200).select("trksub", "line_no")
+
+
+@query("""WITH g AS (SELECT o_orderkey // 500 AS page, count(*) FILTER (o_orderkey % 9 < 8) AS n_lines FROM orders GROUP BY 1) SELECT page, n_lines, n_lines = 0 AS suspect FROM g""")
+def page_quality(spark, d):
+    pages = _outcome_pages(spark, d)
+    return R.page_quality(pages, R.outcome_lines(pages, keep=("page",)))
+
+
+@query("SELECT concat('T', CAST(o_orderkey AS VARCHAR), 'longname vanished (July 1.5 UT)') AS line FROM orders WHERE o_orderkey % 9 = 7 UNION ALL SELECT concat('T', CAST(o_orderkey AS VARCHAR), ' vanished slowly (July 1.5 UT)') FROM orders WHERE o_orderkey % 9 = 6 AND length(CAST(o_orderkey AS VARCHAR)) > 7")
+def outcome_quarantine(spark, d):
+    return O.unparsed_outcomes(R.outcome_lines(_outcome_pages(spark, d)).select("line"))
+
+
 @query(f"WITH {LOG} SELECT outcome_class, count(*) AS n FROM log GROUP BY 1")
 def outcome_histogram(spark, d):
     return O.outcome_histogram(_log(spark, d))
@@ -358,10 +406,10 @@ def epoch_guard(spark, d):
 BACK = f"back AS (SELECT trksub, 1 AS y, d2_NEO_noid FROM d2 WHERE trksub % 2 = 0), tr AS (SELECT trksub, y, 'capture' AS source, NULL AS d2_NEO_noid FROM lab WHERE state = 'labeled' UNION ALL SELECT trksub, y, 'backfill', d2_NEO_noid FROM back WHERE trksub NOT IN (SELECT trksub FROM lab WHERE state = 'labeled'))"
 
 
-def _training(spark, d) -> DataFrame:
+def _training(spark, d, guard_col: str | None = None) -> DataFrame:
     lab = O.label_state(_features(spark, d), O.resolve_outcomes(_log(spark, d))).where("state = 'labeled'").select("trksub", "y")
     back = view(spark, d, "d2").where("trksub % 2 = 0").select("trksub", F.lit(1).alias("y"), F.lit("backfill").alias("source"), "d2_NEO_noid")
-    return O.training_frame(lab, back).select("trksub", "y", "source", "d2_NEO_noid")
+    return O.training_frame(lab, back, guard_col).select("trksub", "y", "source", "d2_NEO_noid")
 
 
 @query(f"WITH {FIRST}, {LOG}, {RES}, {LAB}, {BACK} SELECT trksub, y, source, d2_NEO_noid FROM tr")
@@ -374,17 +422,22 @@ def leak_guard(spark, d):
     return O.leak_guard(_training(spark, d))
 
 
+@query(f"WITH {FIRST}, {LOG}, {RES}, {LAB}, {BACK} SELECT trksub, y, source, d2_NEO_noid FROM tr WHERE source = 'capture' OR (SELECT count(DISTINCT y) = 2 FROM tr WHERE d2_NEO_noid IS NOT NULL)")
+def guarded_training(spark, d):
+    return _training(spark, d, guard_col="d2_NEO_noid")
+
+
 @query(f"WITH {FIRST}, {LOG}, {RES}, {LAB}, {BACK} SELECT count(DISTINCT trksub) AS n_labeled, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg, (SELECT count(*) FROM log) AS n_outcomes FROM tr")
 def growth_counts(spark, d):
     n = _log(spark, d).agg(F.count("*").alias("n_outcomes"))
     g = _training(spark, d).agg(F.countDistinct("trksub").alias("n_labeled"), F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
-    return g.join(n)
+    return g.crossJoin(F.broadcast(n))  # one row each
 
 
-@query(f"WITH {FIRST}, {TRK} SELECT f.trksub, f.score, nobs_tracklet, round(sky_rate_deg_day, 4) AS sky_rate_deg_day, d2_NEO_noid FROM first f LEFT JOIN trk ON f.trksub = trk.trksub LEFT JOIN d2 ON f.trksub = d2.trksub")
+@query(f"WITH {FIRST}, {TRK} SELECT f.trksub, f.score, nobs_tracklet, CASE WHEN sky_rate_deg_day > 1000 THEN round(sky_rate_deg_day, 0) ELSE round(sky_rate_deg_day, 4) END AS sky_rate_deg_day, d2_NEO_noid FROM first f LEFT JOIN trk ON f.trksub = trk.trksub LEFT JOIN d2 ON f.trksub = d2.trksub")
 def feature_assembly(spark, d):
     t = O.feature_table(_features(spark, d), T.tracklet_features(view(spark, d, "obs")), view(spark, d, "d2").drop("obscode_first"))
-    return t.select("trksub", "score", "nobs_tracklet", F.round("sky_rate_deg_day", 4).alias("sky_rate_deg_day"), "d2_NEO_noid")
+    return t.select("trksub", "score", "nobs_tracklet", F.when(F.col("sky_rate_deg_day") > 1000, F.round("sky_rate_deg_day", 0)).otherwise(F.round("sky_rate_deg_day", 4)).alias("sky_rate_deg_day"), "d2_NEO_noid")
 
 
 @query("WITH b AS (SELECT trksub, first(concat('X', CAST((trksub * 3 + line_no) % 500 AS VARCHAR)) ORDER BY t, line_no) AS desig FROM obs GROUP BY trksub) SELECT b.trksub, b.desig, d2_NEO_raw FROM b JOIN (SELECT concat('X', CAST(trksub AS VARCHAR)) AS desig, d2_NEO_raw FROM d2) s ON b.desig = s.desig")
@@ -394,9 +447,9 @@ def score_bridge(spark, d):
     return O.bridge_scores(scores, obs).select("trksub", "desig", "d2_NEO_raw")
 
 
-@query("SELECT DISTINCT trksub FROM snap WHERE trksub NOT IN (SELECT trksub FROM obs WHERE trksub % 5 = 0) ORDER BY 1 LIMIT 50")
+@query("SELECT DISTINCT trksub FROM snap WHERE trksub NOT IN (SELECT trksub FROM obs WHERE trksub % 5 = 0) ORDER BY 1")
 def worklist_missing(spark, d):
-    return O.missing_work(view(spark, d, "snap"), view(spark, d, "obs").where("trksub % 5 = 0"), limit=50)
+    return O.missing_work(view(spark, d, "snap"), view(spark, d, "obs").where("trksub % 5 = 0"))
 
 
 @query("SELECT doc_id, source, count(*) OVER () AS n_matches FROM documents WHERE lower(text) LIKE '%the an%'")
@@ -453,10 +506,13 @@ def prior_shift(spark, d):
     return rounded(M.prior_shift(view(spark, d, "scored")))
 
 
-@query("""WITH g AS (SELECT tag, p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY tag, p), th AS (SELECT *, sum(pos) OVER (PARTITION BY tag ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY tag ORDER BY p DESC) AS fp FROM g)
-SELECT tag, CAST(sum(pos) + sum(neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(neg * (tp - pos / 2.0)) / sum(pos) / sum(neg), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM th GROUP BY tag HAVING sum(pos) > 0 AND sum(neg) > 0""")
+@query("""WITH g AS (SELECT tag, p, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY tag, p), th AS (SELECT *, sum(pos) OVER (PARTITION BY tag ORDER BY p DESC) AS tp, sum(neg) OVER (PARTITION BY tag ORDER BY p DESC) AS fp FROM g),
+m AS (SELECT tag, CAST(sum(pos) + sum(neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS n_pos, round(sum(neg * (tp - pos / 2.0)) / sum(pos) / sum(neg), 6) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM th GROUP BY tag HAVING sum(pos) > 0 AND sum(neg) > 0),
+r AS (SELECT tag, p, sum(y) OVER o AS tp, sum(1 - y) OVER o AS fp, row_number() OVER o AS i, sum(y) OVER (PARTITION BY tag) AS np, sum(1 - y) OVER (PARTITION BY tag) AS nn FROM scored WINDOW o AS (PARTITION BY tag ORDER BY p DESC, id ROWS UNBOUNDED PRECEDING)),
+pt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY i) AS k FROM r WHERE tp >= ceil(0.99 * np) - 1e-9) WHERE k = 1)
+SELECT m.*, round(p, 6) AS threshold, round(tp / np, 6) AS recall, round((nn - fp) / nn, 6) AS excluded, round(tp / (tp + fp), 6) AS precision FROM m JOIN pt ON m.tag = pt.tag""")
 def baseline_eval(spark, d):
-    return rounded(M.evaluate(view(spark, d, "scored")).select("tag", "n", "n_pos", "roc_auc", "average_precision"))
+    return rounded(M.evaluate(view(spark, d, "scored")))
 
 
 @query("WITH r AS (SELECT p, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS n FROM scored WHERE y = 1) SELECT coalesce(max(p), 0) AS threshold FROM r WHERE k = greatest(floor((n + 1) * 0.05) - 1, 0) + 1")
@@ -518,10 +574,10 @@ def site_frequency(spark, d):
     return rounded(M.site_frequency(view(spark, d, "d2")))
 
 
-@query(f"WITH {SITE} SELECT trksub, {BELT} AS mb_sum, d2_NEO_noid - ({BELT}) AS neo_minus_mb, d2_NEO_noid - d2_NEO_raw AS noid_minus_raw, d2_NEO_noid - d2_MC_noid AS neo_minus_mc, CAST(coalesce(d2.obscode_first, '') = 'G96' AS INT)::DOUBLE AS site_G96, CAST(coalesce(d2.obscode_first, '') = 'I41' AS INT)::DOUBLE AS site_I41, round(site_freq, 6) AS site_freq FROM d2 JOIN sf ON coalesce(d2.obscode_first, '') = sf.obscode_first")
+@query(f"WITH {SITE} SELECT trksub, {BELT} AS mb_sum, d2_NEO_noid - ({BELT}) AS neo_minus_mb, d2_NEO_noid - d2_NEO_raw AS noid_minus_raw, d2_NEO_noid - d2_MC_noid AS neo_minus_mc, " + ", ".join(f"CAST(coalesce(d2.obscode_first, '') = '{x}' AS INT)::DOUBLE AS site_{x}" for x in C.SITES) + f", round(site_freq, 6) AS site_freq FROM d2 JOIN sf ON coalesce(d2.obscode_first, '') = sf.obscode_first")
 def augment_features(spark, d):
     v = view(spark, d, "d2")
-    return rounded(ML.augment(v, M.site_frequency(v)).select("trksub", "mb_sum", "neo_minus_mb", "noid_minus_raw", "neo_minus_mc", "site_G96", "site_I41", "site_freq"))
+    return rounded(ML.augment(v, M.site_frequency(v)).select("trksub", "mb_sum", "neo_minus_mb", "noid_minus_raw", "neo_minus_mc", *[f"site_{x}" for x in C.SITES], "site_freq"))
 
 
 # ---- images ----
@@ -589,19 +645,10 @@ def _stream(spark, d, name: str, text: str) -> DataFrame:
     """A view over a table that is read as a stream of its files."""
     static = spark.read.parquet(f"{d}/{name}.parquet")
     rows = spark.readStream.schema(static.schema).parquet(f"{d}/{name}.parquet*")
-    expr = text.split("SELECT ", 1)[1].rsplit(f" FROM {name}", 1)[0]
-    parts, depth, start = [], 0, 0
-    for i, ch in enumerate(expr):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            parts.append(expr[start:i])
-            start = i + 1
-    return rows.selectExpr(*parts, expr[start:])
+    return spark.sql(text.replace(f"FROM {name}", "FROM {rows}"), rows=rows)
 
 
 def _snap_stream(spark, d) -> DataFrame:
-    from .views import VIEWS
-
     return _stream(spark, d, "events", VIEWS["snap"]).withColumn("stamp", F.col("stamp").cast("timestamp"))
 
 
@@ -618,8 +665,6 @@ def stream_evolution(spark, d):
 
 @query("SELECT DISTINCT trksub, outcome_class, designation FROM event")
 def stream_outcome_dedup(spark, d):
-    from .views import VIEWS
-
     return ST.drain(ST.outcome_stream(_stream(spark, d, "orders", VIEWS["event"]), O.KEY).select(*O.KEY))
 
 
@@ -630,14 +675,44 @@ def stream_enriched(spark, d):
     return out.select("trksub", "tie", "c_mktsegment", "followup_status", F.round("size_m", 3).alias("size_m"))
 
 
-@query("SELECT CAST(date_trunc('day', stamp) AS TIMESTAMP) AS day, count(*) AS n_rows, round(avg(unseen), 6) AS mean_unseen, max(score) AS top_score FROM snap GROUP BY 1")
+@query("SELECT CAST(date_trunc('day', stamp) AS TIMESTAMP) AS day, count(*) AS n_rows, round(avg(unseen), 6) AS mean_unseen, max(score) AS top_score FROM snap GROUP BY 1 HAVING day + INTERVAL 1 DAY <= (SELECT max(stamp) - INTERVAL 2 DAY FROM snap)")
 def stream_daily_window(spark, d):
-    out = ST.drain(ST.daily_stream(_snap_stream(spark, d)), "complete")
+    out = ST.drain(ST.daily_stream(_snap_stream(spark, d)))
     return rounded(out.withColumn("day", F.col("day").cast("timestamp_ntz")))
 
 
 # ---- models: no SQL says them ----
 
+
+@query("SELECT vec_id AS id, len(embedding) AS n_img, round(list_sum(embedding::DOUBLE[]), 5) AS s_img, round(list_sum(embedding[1:8]::DOUBLE[]), 5) AS s_mot FROM embeddings")
+def matrix_vectors(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = R.matrix_vectors(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").alias("x_img"), F.slice("embedding", 1, 8).alias("x_mot")), ("x_img", "x_mot"))
+    total = lambda c: F.round(F.aggregate(vector_to_array(c), F.lit(0.0), lambda a, x: a + x), 5)
+    return rows.select(F.col("vec_id").alias("id"), F.size(vector_to_array("x_img")).cast("long").alias("n_img"), total("x_img").alias("s_img"), total("x_mot").alias("s_mot"))
+
+
+@query()
+def image_comparison(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    rows = e.select(F.col("vec_id").alias("id"), (F.col("label") % 2).cast("long").alias("y"), (F.col("label") / 10.0 + F.col("vec_id") % 7 / 10.0).alias("d2"), F.col("embedding").alias("x_img"), F.slice("embedding", 1, 8).alias("x_mot"))
+    scored = ML.compare_vectors(R.matrix_vectors(rows, ("x_img", "x_mot")), rounds=2)
+    by_seed = M.roc_auc(scored.withColumn("by", F.struct("tag", "seed")), "by")
+    return rounded(by_seed.groupBy(F.col("by.tag").alias("tag")).agg(F.count("roc_auc").alias("n_seeds"), F.avg("roc_auc").alias("auc_mean"), F.stddev_pop("roc_auc").alias("auc_std")))
+
+
+@query()
+def oof_conformal(spark, d):
+    return rounded(ML.oof_conformal(_model_rows(spark, d), COLS, 0.1))
+
+
+@query()
+def queue_by_model(spark, d):
+    rows = _model_rows(spark, d)
+    return rounded(ML.score_queue(rows, ML.fit_vetting(rows, COLS, small=True), COLS).select("id", "p"))
+
+
 COLS = ["a", "b", "c"]
 
 
@@ -667,9 +742,9 @@ def oof_scores(spark, d):
 @query()
 def fusion_scores(spark, d):
     logits = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 100 / 100.0).alias("logit"))
-    return rounded(ML.late_fusion(logits, _model_rows(spark, d), [*COLS, "logit"]))
+    return rounded(ML.late_fusion(logits, _model_rows(spark, d), [*COLS, "logit"], zero_is_missing=("a",)))
 
 
 @query()
 def model_comparison(spark, d):
-    return rounded(M.evaluate(ML.compare_models(_model_rows(spark, d), {"score": ["a"], "motion": ["b"], "fused": COLS})).select("tag", "n", "n_pos", "roc_auc", "average_precision"))
+    return rounded(M.evaluate(ML.compare_models(_model_rows(spark, d), {"score": ["a"], "motion": ["b"], "fused": COLS})))

@@ -19,7 +19,7 @@ VIEWS = {
     "obs": f"""SELECT l_orderkey AS trksub, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_quantity, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax) AS line_no,
       {{days:l_shipdate}} + l_quantity / {D} AS t, (l_partkey * 37 % 36000) / {D} AS ra, (l_suppkey * 71 % 16000) / {D} - 80 AS dec, CASE WHEN l_discount = 0 THEN NULL ELSE 17 + l_discount * 50 END AS mag,
       concat('X', l_suppkey % 12) AS obscode, CAST(l_shipdate AS DATE) AS date FROM lineitem""",
-    "event": """SELECT o_custkey % 700 AS trksub, CASE o_orderkey % 9 WHEN 0 THEN 'neo' WHEN 1 THEN 'designated_other' WHEN 2 THEN 'was_not_confirmed' WHEN 3 THEN 'linked' WHEN 4 THEN 'comet'
+    "event": """SELECT o_custkey AS trksub, CASE o_orderkey % 9 WHEN 0 THEN 'neo' WHEN 1 THEN 'designated_other' WHEN 2 THEN 'was_not_confirmed' WHEN 3 THEN 'linked' WHEN 4 THEN 'comet'
       WHEN 5 THEN 'other' WHEN 6 THEN 'does_not_exist' WHEN 7 THEN 'was_a_star' ELSE 'neo' END AS outcome_class, CASE WHEN o_orderkey % 9 IN (0, 1, 8) THEN concat('D', o_orderkey % 50) ELSE '' END AS designation,
       CASE WHEN o_orderkey % 9 IN (0, 8) THEN concat('M', o_orderkey % 40) END AS mpec, o_orderdate AS stamp, o_orderkey AS line_no FROM orders""",
     "scored": """SELECT d.doc_id AS id, CAST(l.quality AS BIGINT) AS y, (d.n_chars % 997) / CAST(997 AS DOUBLE) AS p, d.doc_id * 7 % 1000 AS disc, d.lang AS tag FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",

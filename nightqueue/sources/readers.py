@@ -60,30 +60,65 @@ def read_obs_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
     return raw.select("trksub", F.lit(source).alias("source"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "raw")).where("trim(raw) <> ''")
 
 
+#: First column and width of the fields of an 80-column line.
+PLACES = {"desig": (6, 7), "y": (16, 4), "mo": (21, 2), "d": (24, 9), "rh": (33, 2), "rm": (36, 2), "rs": (39, 6), "sign": (45, 1), "dd": (46, 2), "dm": (49, 2), "ds": (52, 5), "mag": (66, 5), "obscode": (78, 3)}
+
+
 def parse_obs80(lines: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed observations of 80- or 75-column lines: desig, t, ra, dec, mag, obscode; others are left out."""
+    """Typed observations of 80- or 75-column lines: desig, t, ra, dec, mag, obscode; others are left out.
+
+    Fields are cut and cast once, in a step of their own; later steps only see numbers."""
     full = F.when(F.col(raw).rlike(r"^\S"), F.concat(F.lit("     "), F.col(raw))).otherwise(F.col(raw))
-    cut = lambda a, n: F.trim(F.substring("__l", a, n))
-    whole = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))
-    rows = lines.where(F.length(raw) >= 70).withColumn("__l", full)
-    y, mo, d = whole(cut(16, 4)), whole(cut(21, 2)), num(cut(24, 9))
-    ra = 15.0 * (whole(cut(33, 2)) + whole(cut(36, 2)) / 60 + num(cut(39, 6)) / 3600)
-    sign = F.when(F.substring("__l", 45, 1) == "-", -1.0).otherwise(1.0)
-    dec = sign * (whole(cut(46, 2)) + whole(cut(49, 2)) / 60 + num(cut(52, 5)) / 3600)
-    first = F.when(mo.between(1, 12), F.make_date(y, mo, F.lit(1)))
-    t = F.datediff(first, F.lit("2000-01-01").cast("date")) + d - 1
-    out = rows.select(*keep, cut(6, 7).alias("desig"), t.alias("t"), ra.alias("ra"), dec.alias("dec"), num(cut(66, 5)).alias("mag"), cut(78, 3).alias("obscode"))
+    cut = F.struct(*[F.trim(F.substring("__l", a, n)).alias(c) for c, (a, n) in PLACES.items()])
+    # the array keeps the optimizer from copying the cuts into every use
+    rows = lines.where(F.length(raw) >= 70).select(*keep, full.alias("__l")).select(*keep, F.explode(F.array(cut)).alias("f"))
+    whole = lambda c: F.when(F.col(f"f.{c}").rlike("^[0-9]+$"), F.col(f"f.{c}").try_cast("int"))
+    numbers = F.struct(*[whole(c).alias(c) for c in ("y", "mo", "rh", "rm", "dd", "dm")], *[num(F.col(f"f.{c}")).alias(c) for c in ("d", "rs", "ds", "mag")])
+    rows = rows.select(*keep, "f.desig", "f.obscode", "f.sign", F.explode(F.array(numbers)).alias("x"))
+    x = lambda c: F.col(f"x.{c}")
+    first = F.when(x("mo").between(1, 12), F.make_date(x("y"), x("mo"), F.lit(1)))
+    t = F.datediff(first, F.lit("2000-01-01").cast("date")) + x("d") - 1
+    ra = 15.0 * (x("rh") + x("rm") / 60 + x("rs") / 3600)
+    dec = F.when(F.col("sign") == "-", -1.0).otherwise(1.0) * (x("dd") + x("dm") / 60 + x("ds") / 3600)
+    out = rows.select(*keep, "desig", t.alias("t"), ra.alias("ra"), dec.alias("dec"), x("mag").alias("mag"), "obscode")
     return out.where("t IS NOT NULL AND ra IS NOT NULL AND dec IS NOT NULL")
 
 
+def short_line_site(raw: str = "raw") -> Column:
+    """The site of a raw line: columns 78-80, or 73-75 where the line is 75 to 79 long."""
+    return F.when(F.length(raw) >= 80, F.trim(F.substring(raw, 78, 3))).when(F.length(raw) >= 75, F.trim(F.substring(raw, 73, 3)))
+
+
+#: Beginnings of tags that end a line.
+LINE_TAGS = ("li", "/li", "br", "p", "/p", "div", "/div", "tr", "/tr", "ul", "/ul")
+
+
 def outcome_lines(pages: DataFrame, text_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Lines of outcome pages (HTML or text) that hold a time mark, in order (line_no)."""
-    text = F.regexp_replace(text_col, r"(?i)<\s*(?:li|/li|br|p|/p|div|/div|tr|/tr|ul|/ul)[^>]*>", "\n")
-    text = F.regexp_replace(text, "<[^>]+>", "")
+    """Lines of outcome pages (HTML or text) that hold a time mark, in order (line_no).
+
+    A page is cut at every opening angle bracket; what follows up to the closing one is a tag, and goes."""
+    def untagged(part, i):
+        tag, rest = F.lower(F.ltrim(F.substring_index(part, ">", 1))), F.substring(part, F.instr(part, ">") + 1, F.length(part))
+        ends = F.exists(F.array(*map(F.lit, LINE_TAGS)), lambda t: F.startswith(tag, t))
+        return F.when(i == 0, part).when(~F.contains(part, F.lit(">")), F.concat(F.lit("<"), part)).otherwise(F.concat(F.when(ends, "\n").otherwise(""), rest))
+
+    text = F.array_join(F.transform(F.split(text_col, "<"), untagged), "")
     rows = pages.select(*keep, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
     return rows.withColumn("line", F.trim("line")).where(F.col("line").contains("UT)"))
 
 
+def page_quality(pages: DataFrame, lines: DataFrame, page_col: str = "page") -> DataFrame:
+    """Per page the number of outcome lines, and whether it is suspect for having none."""
+    n = lines.groupBy(page_col).agg(F.count("*").alias("n_lines"))
+    met = pages.select(page_col).distinct().join(n, page_col, "left")
+    return met.select(page_col, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.col("n_lines").isNull().alias("suspect"))
+
+
+def mentions(lines: DataFrame, line_col: str = "raw", key: str = "trksub", longer_than: int = 40) -> DataFrame:
+    """Observation lines that name their object and are long enough to be observations."""
+    return lines.where(F.contains(line_col, F.col(key).cast("string")) & (F.length(F.trim(line_col)) > longer_than))
+
+
 def read_outcome_files(spark: SparkSession, path: str) -> DataFrame:
     """Lines of dated outcome files, with the stamp of the file name."""
     raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1).alias("stamp"), "value")
@@ -92,8 +127,9 @@ def read_outcome_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_scores(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """desig, d2_rms and 26 class scores of score text; a star in the residual means none."""
-    a = F.split(F.trim(line_col), r"\s+")
-    rows = lines.where(F.col(line_col).rlike(r"^\S+\s+[\d.*]+\s+(?:\d+\s+){25}\d+\s*$")).select(a.alias("a"))
+    n = 2 * len(ORBIT_CLASSES)
+    rows = lines.where(~F.col(line_col).rlike(r"^\s")).select(F.split(F.trim(line_col), r"\s+").alias("a")).where(F.size("a") == n + 2)
+    rows = rows.where(F.element_at("a", 2).rlike("^[0-9.*]+$") & F.forall(F.slice("a", 3, n), lambda x: x.rlike("^[0-9]+$")))
     score = [F.element_at("a", 3 + 2 * i + j).cast("int").alias(f"d2_{c}_{k}") for i, c in enumerate(ORBIT_CLASSES) for j, k in enumerate(("raw", "noid"))]
     rms = F.element_at("a", 2)
     return rows.select(F.element_at("a", 1).alias("desig"), F.when(~rms.contains("*"), num(rms)).alias("d2_rms"), *score)
@@ -116,17 +152,33 @@ def flatten_subjects(pages: DataFrame) -> DataFrame:
     return s.select(F.col("s.id").alias("subject_id"), label["is_real"].alias("is_real"), label["label_source"].alias("label_source"), F.coalesce(F.trim(F.col("s.metadata")["!sKeyword"]), F.lit("")).alias("keyword"), F.size("s.locations").alias("n_frames"), F.map_values(F.get("s.locations", F.lit(0)))[0].alias("first_url"))
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, meta: DataFrame | None = None) -> DataFrame:
     """Pixels (subject, frame, r, c, red, green, blue) of PNG frames; subjects with fewer than four frames are left out.
 
-    A pixel's place comes from its position in the image bytes, stored as rows of blue, green, red."""
+    With `meta` (a row per subject) also subjects without one, and its columns are added. Spark's image
+    source stores rows of pixels as blue, green, red bytes."""
     name = F.col("image.origin")
-    img = spark.read.format("image").load(path).select(F.element_at(F.split(name, "/"), -2).alias("subject"), F.regexp_extract(name, r"frame_(\d+)", 1).cast("int").alias("frame"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.hex("image.data").alias("x"))
+    img = spark.read.format("image").load(path).select(F.element_at(F.split(name, "/"), -2).alias("subject"), F.regexp_extract(name, r"frame_(\d+)", 1).cast("int").alias("frame"), F.col("image.width").alias("w"), F.col("image.nChannels").alias("n"), F.col("image.data").alias("x"))
     four = img.groupBy("subject").agg(F.count("*").alias("frames")).where("frames >= 4").select("subject")
-    n = F.length("x") / (2 * F.col("n"))
+    if meta is not None:
+        four = four.join(meta, "subject")
+    n = F.octet_length("x") / F.col("n")
     px = img.join(four, "subject").withColumn("i", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)))
-    byte = lambda k: F.conv(F.substring(F.col("x"), 2 * (F.col("i") * F.col("n") + k) + 1, F.lit(2)), 16, 10).cast("int")
-    return px.select("subject", "frame", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"))
+    byte = lambda k: F.conv(F.hex(F.substring(F.col("x"), F.col("i") * F.col("n") + k + 1, F.lit(1))), 16, 10).cast("int")
+    extra = [] if meta is None else [c for c in meta.columns if c != "subject"]
+    return px.select("subject", "frame", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), byte(2).alias("red"), byte(1).alias("green"), byte(0).alias("blue"), *extra)
+
+
+def read_matrices(spark: SparkSession, path: str, columns: tuple[str, ...] = ("x_img", "x_mot")) -> DataFrame:
+    """Cached matrices (a row per subject, array<double> columns) as vectors that models take; nulls in them become 0."""
+    return matrix_vectors(spark.read.parquet(path), columns)
+
+
+def matrix_vectors(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    known = lambda c: F.transform(F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
+    return rows.withColumns({c: array_to_vector(known(c)) for c in columns})
 
 
 def flatten_risk(payload: DataFrame) -> DataFrame:
@@ -148,6 +200,15 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     out.write.mode("overwrite").csv(path, header=True) if kind == "csv" else out.write.mode("overwrite").parquet(path)
 
 
+def write_outcome_log(lines: DataFrame, path: str, quarantine: str | None = None) -> None:
+    """Rebuilds the outcome log from raw lines and overwrites it; unparsed lines go to `quarantine`, if named."""
+    from ..operators.outcomes import rebuild_outcomes, unparsed_outcomes
+
+    rebuild_outcomes(lines).write.mode("overwrite").parquet(path)
+    if quarantine:
+        unparsed_outcomes(lines).write.mode("overwrite").parquet(quarantine)
+
+
 def append_new(new: DataFrame, log_path: str, keys: list[str]) -> None:
     """Appends rows whose key the log doesn't have; null keys count as equal."""
     spark = new.sparkSession

@@ -1,4 +1,7 @@
-"""Structured Streaming over the feed. Each result equals its batch twin once all input is read."""
+"""Structured Streaming over the feed. Each result equals its batch twin once all input is read.
+
+First postings and evolution keep a row of state per object for ever: an object may come back, and its
+first posting must not change. Outcome keys can be forgotten after STATE_DAYS, if asked for."""
 
 from __future__ import annotations
 
@@ -8,24 +11,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import followup_status, size_m
 from ..operators.snapshots import evolution_features
+from ..sources.tables import shared_dir
 
 #: How long an object may be unseen before its state can go; the longest stay on the page was 35 days.
 STATE_DAYS = 60
 
 
-def state_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="spark-")
-
-
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all available input into files (append) or the session's memory (complete, bounded by groups)."""
     spark, name = stream.sparkSession, f"s{uuid.uuid4().hex}"
-    at = f"{state_folder(spark)}/stream-{name}"
+    at = f"{shared_dir(spark)}/stream-{name}"
     out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{at}/state").outputMode(mode)
     if mode == "append":
         out.format("parquet").start(f"{at}/out").awaitTermination()
@@ -47,9 +42,11 @@ def evolution_stream(snap: DataFrame) -> DataFrame:
     return evolution_features(snap)
 
 
-def outcome_stream(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Each key once (append mode); the checkpoint makes it exactly once."""
-    return rows.dropDuplicates(keys)
+def outcome_stream(rows: DataFrame, keys: list[str], time_col: str | None = None, days: int = STATE_DAYS) -> DataFrame:
+    """Each key once (append mode); the checkpoint makes it exactly once. With `time_col` keys are forgotten after `days`."""
+    if time_col is None:
+        return rows.dropDuplicates(keys)
+    return rows.withWatermark(time_col, f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
 def enriched_stream(snap: DataFrame, static: DataFrame, key: str = "trksub") -> DataFrame:
@@ -58,6 +55,7 @@ def enriched_stream(snap: DataFrame, static: DataFrame, key: str = "trksub") ->
 
 
 def daily_stream(snap: DataFrame, late: str = "2 days") -> DataFrame:
-    """Postings, mean unseen and top score by day; rows later than the watermark are left out (our policy)."""
+    """Postings, mean unseen and top score by day; a day comes out (append mode) once the watermark has
+    passed its end, and rows that are later than that are left out (our policy)."""
     g = snap.withWatermark("stamp", late).groupBy(F.window("stamp", "1 day").alias("w"))
     return g.agg(F.count("*").alias("n_rows"), F.avg("unseen").alias("mean_unseen"), F.max("score").alias("top_score")).select(F.col("w.start").alias("day"), "n_rows", "mean_unseen", "top_score")

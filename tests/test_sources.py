@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from nightqueue.functions import columns as C
@@ -89,3 +90,80 @@ def test_models_choose_by_size(spark, tmp_path):
     again = ML.scored(rows, PipelineModel.load(str(tmp_path / "m")), ["a", "b"])
     assert again.where("p >= 0 AND p <= 1").count() == 60
     assert ML.model_columns(rows.withColumn("d2_x", F.lit(1)), ("a",)) == ["a", "d2_x"]
+
+
+def test_rebuild_overwrites_and_quarantines(spark, tmp_path):
+    lines = spark.createDataFrame([(0, "2026 NE1 = P1 (July 10.68 UT) [MPEC 2026-N53]"), (1, "no form at all"), (2, "X=Y2 (a=b UT)"), (3, "Comet = P3 (July 1 UT)"), (4, "- P4 does not exist(July 1 UT)"), (5, "2026 (AB) = P5 (July UT) see MPEC* [2026-A12]")], "line_no int, line string").withColumn("stamp", F.lit("20260710"))
+    for _ in range(2):
+        R.write_outcome_log(lines, str(tmp_path / "log"), str(tmp_path / "odd"))
+    got = {(r["trksub"], r["outcome_class"], r["designation"], r["mpec"]) for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert got == {("P1", "neo", "2026 NE1", "2026-N53"), ("Y2", "linked", "X", None), ("P3", "linked", "Comet", None), ("P4", "does_not_exist", "", None), ("P5", "neo", "2026 (AB)", "2026-A12")}
+    assert [r["line"] for r in spark.read.parquet(str(tmp_path / "odd")).collect()] == ["no form at all"]
+
+
+def test_pages_cut_at_tags(spark):
+    pages = spark.createDataFrame([(1, "<ul><LI class=x>a (1 UT)</li><b>b</b> (2 UT)<br/>c < d (3 UT)\r\ne (4 UT)"), (2, "<p>nothing</p>"), (3, None)], "page int, value string")
+    lines = R.outcome_lines(pages, keep=("page",))
+    assert [r["line"] for r in lines.orderBy("page", "line_no").collect()] == ["a (1 UT)", "b (2 UT)", "c < d (3 UT)", "e (4 UT)"]
+    assert {(r["page"], r["n_lines"], r["suspect"]) for r in R.page_quality(pages, lines).collect()} == {(1, 4, False), (2, 0, True), (3, 0, True)}
+
+
+def test_lines_that_name_their_object(spark):
+    rows = [("T1", "T1 " + "x" * 40), ("T1", "T2 " + "x" * 40), ("T1", "T1 short" + " " * 60), (None, "x" * 50)]
+    assert R.mentions(spark.createDataFrame(rows, "trksub string, raw string")).count() == 1
+    code = spark.createDataFrame([("a" * 72 + "I41",), ("a" * 77 + "703",), ("short",)], "raw string").select(R.short_line_site().alias("s"))
+    assert [r["s"] for r in code.collect()] == ["I41", "703", None]
+
+
+def test_frames_with_metadata(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(path, pixels):
+        chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+        raw = b"".join(b"\0" + b"".join(bytes(p) for p in row) for row in pixels)
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+    for subject, n in (("s1", 4), ("s2", 3), ("s3", 4)):
+        for k in range(n):
+            png(tmp_path / subject / f"frame_{k}.png", [[(10 * k, 1, 2), (3, 4, 5)], [(6, 7, 8), (250, 251, 252)]])
+    meta = spark.createDataFrame([("s1", 1), ("s2", 0)], "subject string, y int")
+    got = R.read_frames(spark, f"{tmp_path}/*", meta).collect()
+    assert len(got) == 16 and {r["subject"] for r in got} == {"s1"} and {r["y"] for r in got} == {1}
+    assert {(r["red"], r["green"], r["blue"]) for r in got if r["frame"] == 2} == {(20, 1, 2), (3, 4, 5), (6, 7, 8), (250, 251, 252)}
+    assert R.read_frames(spark, f"{tmp_path}/*").select("subject").distinct().count() == 2
+
+
+def test_late_rows_are_left_out_of_closed_days(spark, tmp_path):
+    rows = [[("2026-01-01 10:00:00", 1.0, 5), ("2026-01-01 11:00:00", 3.0, 9)], [("2026-01-09 00:00:00", 1.0, 1)], [("2026-01-09 01:00:00", 1.0, 1)], [("2026-01-01 12:00:00", 9.0, 99)], [("2026-01-20 00:00:00", 1.0, 1)]]
+    schema = "stamp timestamp, unseen double, score int"
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "stamp string, unseen double, score int").select(F.col("stamp").cast("timestamp"), "unseen", "score").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        for f in (tmp_path / f"in/{i}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 60 * i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {str(r["day"])[:10]: (r["n_rows"], r["mean_unseen"], r["top_score"]) for r in ST.drain(ST.daily_stream(stream)).collect()}
+    assert got == {"2026-01-01": (2, 2.0, 9), "2026-01-09": (2, 1.0, 1)}
+
+
+def test_guard_drops_a_backfill_that_tells_the_label(spark):
+    own = spark.createDataFrame([("a", 1), ("b", 0)], "trksub string, y int")
+    back = spark.createDataFrame([("c", 1, "backfill", 50), ("a", 1, "backfill", 9)], "trksub string, y int, source string, d2_NEO_noid int")
+    assert O.training_frame(own, back).count() == 3
+    assert {r["source"] for r in O.training_frame(own, back, "d2_NEO_noid").collect()} == {"capture"}
+    both = back.union(spark.createDataFrame([("d", 0, "backfill", 7)], back.schema))
+    assert O.training_frame(own, both, "d2_NEO_noid").count() == 4
+
+
+def test_out_of_fold_scores_and_artifacts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i % 2, float(i % 2) + (i % 7) / 7, None if i % 5 == 0 else 1.0, "G96") for i in range(90)], "id long, y int, a double, b double, obscode_first string")
+    got = ML.oof_scores(rows, ["a", "b"]).collect()
+    assert sorted(r["id"] for r in got) == list(range(90)) and {r["fold"] for r in got} == {0, 1, 2}
+    again = ML.oof_scores(rows.orderBy(F.desc("id")).repartition(5), ["a", "b"]).collect()
+    assert {(r["id"], round(r["p"], 6)) for r in got} == {(r["id"], round(r["p"], 6)) for r in again}
+    auc = M.roc_auc(spark.createDataFrame(got)).first()[0]
+    assert auc > M.roc_auc(rows.select("id", "y", (F.col("id") % 7 / 7.0).alias("p"))).first()[0] + 0.2
+    ML.save_artifact(str(tmp_path / "m"), ML.fit_vetting(rows, ["a", "b"]), ["a", "b"], M.site_frequency(rows), 90, "small")
+    model, cols, freq = ML.load_artifact(spark, str(tmp_path / "m"))
+    assert ML.score_queue(rows, model, cols).where("p BETWEEN 0 AND 1").count() == 90 and freq.first()["site_freq"] == 1.0

@@ -1,4 +1,4 @@
-"""SimHash near-duplicates: fingerprints, bit-sliced comparison inside bands, and groups.
+"""SimHash near-duplicates: fingerprints, bit-sliced comparison inside buckets, and groups.
 
 A fingerprint bit is 1 if it is set in over half of the XXH64 values (seed 42) of a text's word
 shingles. Two fingerprints link if at most `radius` of 64 bits differ. Equal fingerprints fall
@@ -7,21 +7,25 @@ linked fingerprints agree, so each fingerprint goes to one bucket for every two
 `bucket_rows` are cut into chunks by a hash, and every two chunks meet in a group of their own: no
 group grows with the data and no pair is left out.
 
-A task compares a bucket bit-sliced: bit planes stand vertically, 64 fingerprints to a word; distances
-to many fingerprints are counted at once by carry-save adders that overflow above the radius, and a
-row of words is given up once all its lanes have overflowed. Of the links in a bucket only a spanning
-star per class leaves the task; none between classes is lost.
+A task compares its buckets bit-sliced: the fingerprints of all of them lie one after another, bit
+planes stand vertically, 64 fingerprints to a word. Each fingerprint meets the words that its bucket
+reaches into; distances to all lanes of a word are counted at once by carry-save adders that overflow
+above the radius, and words whose lanes have all overflowed are given up. Of the links in a bucket only
+a spanning star per class leaves the task; none between classes is lost.
 
 `near_texts` groups texts by the similarity of their distinct word shingles instead, exactly: 0.8 of
 five words if not said otherwise. In any order of all shingles, two texts that share that much share
 one of the first n - ceil(0.8 n) + 1 of their n shingles; the order is by hash, with the shingles that
 many texts begin with moved to the end, and texts that share one of these first shingles meet. First
-each text is checked against few centres of those it meets; then all that meet and aren't in one group
-yet are compared, where lengths and parity bitmaps (lower bounds of the difference) don't exclude the
-pair. Every pair is checked by its whole shingle sets before it links.
-
-Texts without words have the fingerprint zero and link like others. Rows without a doc_id get a
-fingerprint, no component and take no part in links. Repeated rows and ids share a component.
+each text is checked against the two texts that lead most of its meetings; then all that meet and aren't
+in one group yet are compared bit-sliced by parity fingerprints, whose distance is a lower bound of how
+many shingles differ. Every pair is checked by its whole shingle sets (64-bit hashes) before it links.
+
+Texts without words have the fingerprint zero and link like others (in `near_texts` they are copies of
+each other). Rows without an id get a fingerprint, no component and take no part in links. Repeated rows
+share a component, and so do, in `near_duplicates`, rows with equal ids; `near_texts` groups rows by
+their texts, so that two texts under one id can fall apart. Empty tables give no rows. Extra columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -32,17 +36,21 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .arrow_rows import slices
 from .components import components
+from .packed import pack, unpack
 from .store import saved
 
 SEED = 42
 BITS = 64
 #: Hashes of a text that are counted at a time.
 HASHES = 65_536
+HASH40 = np.int64((1 << 40) - 1)
+#: Slots of the bitmap that tells tasks which texts to make whole shingle sets of: 2 MB in memory, at any size of the table.
+SLOTS = 1 << 24
 
 
 def split(text: str | None) -> list[bytes]:
@@ -92,12 +100,33 @@ def first_shingles(values: np.ndarray, similarity: float, hot: np.ndarray) -> np
     return values[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
-def parity(values: np.ndarray, width: int) -> bytes:
-    """Bit i tells whether the hashes that fall to it are odd in number: sets differ in at least as many hashes as bits."""
+def parity(values: np.ndarray, width: int | None = None) -> bytes:
+    """Bit i tells whether the hashes that fall to it are odd in number: sets differ in at least as many hashes as bits.
+
+    `width` words; if not given, a power of two that grows with the set, so that it separates sets of any size."""
+    width = width or 4 << max(0, (len(values) - 1) // 256).bit_length()
     ones = np.bincount((values.view(np.uint64) % np.uint64(BITS * width)).astype(np.int64), minlength=BITS * width)
     return np.packbits(ones & 1, bitorder="little").tobytes()
 
 
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parity fingerprints differ; the longer is folded to the length of the shorter."""
+    a, b = sorted((np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def sorted_set(values: np.ndarray) -> bytes:
+    """A shingle set by the low 40 bits of its hashes, packed as sorted differences."""
+    return pack(np.diff(np.sort(values & HASH40), prepend=0)) if len(values) else b""
+
+
+def common(x: bytes, y: bytes) -> int:
+    """How many hashes two packed sets share."""
+    if not x or not y:
+        return 0
+    return len(np.intersect1d(np.cumsum(unpack(x, "<i8")), np.cumsum(unpack(y, "<i8")), assume_unique=True))
+
+
 def fingerprints(df: DataFrame, words: int = 3, text_col: str = "text", out_col: str = "fp") -> DataFrame:
     """Replaces the text by its fingerprint (a long); other columns stay."""
     kept = [c for c in df.columns if c not in (text_col, out_col)]
@@ -114,88 +143,89 @@ def fingerprints(df: DataFrame, words: int = 3, text_col: str = "text", out_col:
 
 def table_of(values: np.ndarray) -> np.ndarray:
     """A row of words for each fingerprint; single words are rows of one."""
-    return values[:, None] if values.ndim == 1 else values
+    return (values[:, None] if values.ndim == 1 else values).astype("<u8")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
     """A row of words for each bit: bit j of row b is bit b of fingerprint j (a row of 64-bit words)."""
     lanes, size = -(-len(values) // 64) * 64, values.shape[1]
     bits = np.zeros((lanes, BITS * size), np.uint8)
-    bits[: len(values)] = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8 * size), axis=1, bitorder="little")
+    bits[: len(values)] = np.unpackbits(values.view(np.uint8).reshape(-1, 8 * size), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
-def near(values: np.ndarray, radius: int) -> np.ndarray:
-    """Rows of words: bit j of row i tells that values i and j differ in at most `radius` bits."""
+ALL = ~np.uint64(0)
+
+
+def low_bits(n: np.ndarray) -> np.ndarray:
+    """Words with their n lowest bits set, 0 <= n <= 64."""
+    return np.where(n >= 64, ALL, (np.uint64(1) << np.minimum(n, 63).astype(np.uint64)) - np.uint64(1))
+
+
+def near_pairs(values: np.ndarray, ends: np.ndarray, radius, block: int = 1 << 16):
+    """i, j (i < j) of all values in one group that differ in at most `radius` bits, in runs of pairs.
+
+    Groups are runs of rows; ends[i] is the end of row i's group. `radius` is one number, or one per row i."""
     values = table_of(values)
     n, plane = len(values), planes(values)
-    wide = plane.shape[1]
-    out = np.zeros((n, wide), np.uint64)
-    counters = max(1, radius.bit_length())
-    begin = (1 << counters) - 1 - radius
-    valid = np.full(wide, ~np.uint64(0))
-    if n % 64:
-        valid[-1] = np.uint64((1 << (n % 64)) - 1)
-    everyone = ~np.uint64(0)
-    for lo in range(0, n, 256):
-        rows = np.arange(lo, min(n, lo + 256))
-        own = values[rows].astype(np.uint64)
-        count = [np.full((len(rows), wide), everyone if begin >> k & 1 else np.uint64(0)) for k in range(counters)]
-        over = np.tile(~valid, (len(rows), 1))
+    rows = np.arange(n)
+    first, radius = (rows + 1) // 64, np.broadcast_to(np.asarray(radius, np.int64), n)
+    reach = np.maximum((ends + 63) // 64 - first, 0)
+    offset = np.cumsum(reach) - reach
+    adders = max(1, int(radius.max(initial=0)).bit_length())
+    start = (1 << adders) - 1 - radius
+    for lo in range(0, int(reach.sum()), block):
+        # entry e: row i against the 64 lanes of one word
+        e = np.arange(lo, min(lo + block, int(reach.sum())))
+        i = np.searchsorted(offset + reach, e, side="right")
+        word = first[i] + e - offset[i]
+        valid = low_bits(np.clip(ends[i] - 64 * word, 0, 64)) & ~low_bits(np.clip(i + 1 - 64 * word, 0, 64))
+        over, count = ~valid, [np.where(start[i] >> k & 1, ALL, np.uint64(0)) for k in range(adders)]
+        own = values[i]
         for b in range(len(plane)):
-            mask = np.where(own[:, b // BITS] >> np.uint64(b % BITS) & np.uint64(1), everyone, np.uint64(0))
-            carry = plane[b][None, :] ^ mask[:, None]
-            for k in range(counters):
+            mask = np.uint64(0) - (own[:, b // BITS] >> np.uint64(b % BITS) & np.uint64(1))
+            carry = plane[b][word] ^ mask
+            for k in range(adders):
                 count[k], carry = count[k] ^ carry, count[k] & carry
             over |= carry
             if b % 8 == 7:
-                live = (over != everyone).any(1)
+                live = over != ALL
                 if not live.all():
-                    if not live.any():
-                        rows = rows[:0]
+                    i, word, over, own, count = i[live], word[live], over[live], own[live], [c[live] for c in count]
+                    if not len(i):
                         break
-                    rows, own, over = rows[live], own[live], over[live]
-                    count = [c[live] for c in count]
-        if len(rows):
-            out[rows] = ~over
-    return out
-
-
-def star(values: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning links (node, smallest node of its class) among fingerprints within the radius."""
-    match = near(values, radius)
-    rows = [int.from_bytes(r.tobytes(), "little") for r in match]
-    free, links = (1 << len(values)) - 1, []
-    for i in range(len(values)):
-        if not free >> i & 1:
-            continue
-        seen, todo = 1 << i, [i]
-        while todo:
-            new = rows[todo.pop()] & ~seen
-            seen |= new
-            while new:
-                bit = new & -new
-                todo.append(bit.bit_length() - 1)
-                new ^= bit
-        free &= ~seen
-        if seen != 1 << i:
-            inside = np.flatnonzero(np.unpackbits(np.frombuffer(seen.to_bytes(-(-len(values) // 8), "little"), np.uint8), bitorder="little"))
-            root = int(nodes[inside].min())
-            links += [(int(x), root) for x in nodes[inside] if x != root]
-    return links
-
-
-def small_pairs(group: np.ndarray, values: np.ndarray, nodes: np.ndarray, radius: int, most: int) -> list[tuple[int, int]]:
-    """Links inside many small groups (runs of equal `group`, at most `most` rows each), by distance in the order."""
-    links, values = [], table_of(values).astype(np.uint64)
-    for step in range(1, most):
-        same = group[step:] == group[:-step]
-        if not same.any():
-            break
-        at = np.flatnonzero(same)
-        at = at[np.bitwise_count(values[at] ^ values[at + step]).sum(1, dtype=np.int64) <= radius]
-        links += zip(nodes[at].tolist(), nodes[at + step].tolist())
-    return links
+        if len(i):
+            entry, lane = np.nonzero(np.unpackbits((~over)[:, None].view(np.uint8), axis=1, bitorder="little"))
+            yield i[entry], 64 * word[entry] + lane
+
+
+def group_ends(group: np.ndarray) -> np.ndarray:
+    """The end of each row's run of equal values."""
+    heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    sizes = np.diff(np.r_[heads, len(group)])
+    return np.repeat(heads + sizes, sizes)
+
+
+def classes(n: int, pairs) -> np.ndarray:
+    """The smallest row that each of n rows reaches over the pairs."""
+    label = np.arange(n)
+    for i, j in pairs:
+        while True:
+            low = np.minimum(label[i], label[j])
+            if (label[i] == low).all() and (label[j] == low).all():
+                break
+            # the roots of both sides take the lower label, then all rows follow their roots
+            np.minimum.at(label, np.concatenate([label[i], label[j], i, j]), np.concatenate([low, low, low, low]))
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def star(values: np.ndarray, nodes: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (node, the first node of its class) among fingerprints of a group within the radius."""
+    label = classes(len(values), near_pairs(values, ends, radius))
+    linked = label != np.arange(len(values))
+    return nodes[linked], nodes[label[linked]]
 
 
 def whole_groups(batches):
@@ -217,39 +247,23 @@ def whole_groups(batches):
 
 def links(nodes: DataFrame, radius: int = 3, bucket_rows: int = 1024) -> DataFrame:
     """a, b: links that connect all fingerprints (fp, node: distinct longs) within `radius`, a spanning set."""
-    return met_links(nodes, radius + 2, "fp", radius, bucket_rows)
-
-
-def met_links(nodes: DataFrame, n: int, compared: str, radius: int, bucket_rows: int) -> DataFrame:
-    """Links of the nodes that agree in two of `n` blocks of fp and differ in at most `radius` bits of
-    the column `compared` (a long, or words as binary)."""
+    n = radius + 2
     edges = [round(i * BITS / n) for i in range(n + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     pick = [F.col("fp").bitwiseAND(F.lit(signed(masks[i] | masks[j]))) for i, j in combinations(range(n), 2)]
-    rows = saved(nodes.select(F.col(compared).alias("bits"), "node", F.posexplode(F.array(*pick)).alias("band", "key")), "bands")
+    rows = saved(nodes.select(F.col("fp").alias("bits"), "node", F.posexplode(F.array(*pick)).alias("band", "key")), "bands")
     size = saved(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("k")), "buckets")
     met = rows.join(size, ["band", "key"]).withColumn("c", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("c")))
     met = met.withColumn("o", F.explode(others)).select("bits", "node", F.xxhash64("band", "key", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
 
-    def body(batches):
-        def found(rows):
-            group, own, values = rows.column("g").to_numpy(), rows.column("node").to_numpy(), rows.column("bits")
-            values = values.to_numpy() if pa.types.is_int64(values.type) else np.frombuffer(b"".join(values.to_pylist()), "<u8").reshape(len(own), -1)
-            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            sizes = np.diff(np.r_[heads, len(group)])
-            few = np.repeat(sizes <= 32, sizes)
-            out = small_pairs(group[few], values[few], own[few], radius, 32)
-            for at, size in zip(heads[sizes > 32], sizes[sizes > 32]):
-                out += star(values[at : at + size], own[at : at + size], radius)
-            a, b = zip(*set(out)) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for rows in whole_groups(batches):
-            yield found(rows)
+    def found(rows):
+        group, own, values = rows.column("g").to_numpy(), rows.column("node").to_numpy(), rows.column("bits").to_numpy()
+        a, b = star(values, own, group_ends(group), radius)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return met.repartition("g").sortWithinPartitions("g").mapInArrow(body, "a long, b long")
+    return met.repartition("g").sortWithinPartitions("g").mapInArrow(lambda batches: map(found, whole_groups(batches)), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -262,81 +276,106 @@ def near_duplicates(df: DataFrame, words: int = 3, radius: int = 3, id_col: str
     return met.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 6, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000) -> DataFrame:
-    """id, component (smallest id reachable over texts that share `similarity` of their distinct
-    `words`-word shingles): one row per row of df.
+def identity(text_col: str = "text") -> list:
+    """Two hashes, 96 bits, that tell texts apart; null is its own text."""
+    text = F.col(f"`{text_col}`")
+    return [F.xxhash64(text).alias("t1"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("t2")]
+
 
-    Texts without words are copies of each other. Rows without an id get no component. Shingles that
-    over `hot_texts` texts begin with go last, at most `most_hot` of them; `width` words make a bitmap.
-    None of these three changes the result."""
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"))
-    id_field = src.schema["id"]
+def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000) -> DataFrame:
+    """id, t1, t2 (`identity` of the text), cluster (a number of the group of texts that are linked by sharing
+    `similarity` of their distinct `words`-word shingles), component (its smallest id): one row per row of df.
 
-    def made(docs, columns, types):
+    Shingles that over `hot_texts` texts begin with go last, at most `most_hot` of them; `width` words make
+    the parity fingerprint of the bit-sliced comparison. None of these three changes the result."""
+    spark = df.sparkSession
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"), *identity(text_col))
+    keep = [f for f in src.schema if f.name != "__text__"]
+
+    def made(docs, columns, types, wanted=lambda batch: batch):
+        """id, t1, t2, key and n (of the shingle set), and more columns made from the sets of wanted rows."""
         def body(batches):
             for whole in batches:
-                for batch in slices(whole, "__text__"):
+                for batch in slices(wanted(whole), "__text__"):
                     sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
                     keys = pa.array([set_key(v) for v in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=["id", "key", "n", *types])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=[*(f.name for f in keep), "key", "n", *types])
 
-        return docs.mapInArrow(body, StructType([id_field, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
+        return docs.mapInArrow(body, StructType([*keep, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
 
-    longs = pa.list_(pa.int64())
-    none = np.zeros(0, np.int64)
-    each = saved(made(src, lambda sets: [pa.array([None if set_key(v) % 4 else first_shingles(v, similarity, none) for v in sets], longs)], {"first": ArrayType(LongType())}), "first-shingles")
-    nodes = saved(each.where("id IS NOT NULL").groupBy("key").agg(F.min("id").alias("node")), "nodes")
-    # a quarter of the texts tells which are hot; any choice gives an order that holds for all texts
-    quarter = each.where("first IS NOT NULL").join(nodes, "key").where("id = node").select(F.explode("first").alias("h"))
-    often = quarter.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4)
+    longs, none = pa.list_(pa.int64()), np.zeros(0, np.int64)
+    # a quarter of the texts tells which shingles are hot; any choice gives an order that holds for all texts
+    quarter = made(src.where(F.col("id").isNotNull() & (F.pmod("t1", F.lit(4)) == 0)), lambda sets: [pa.array([first_shingles(v, similarity, none) for v in sets], longs)], {"first": ArrayType(LongType())})
+    often = saved(quarter.dropDuplicates(["key"]).select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4), "hot-shingles")
     hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(most_hot).collect()], np.int64))
-    sent = df.sparkSession.sparkContext.broadcast(hot)
-    again = made(src.where("id IS NOT NULL"), lambda sets: [pa.array([first_shingles(v, similarity, sent.value) for v in sets], longs), pa.array([parity(v, width) for v in sets], pa.binary())], {"first": ArrayType(LongType()), "bits": BinaryType()})
-    begin = saved(again.join(nodes, "key").where("id = node").dropDuplicates(["key"]).select("key", "n", "first", "bits"), "first-shingles")
-    rows = begin.select("key", F.explode("first").alias("h"))
-    several = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("key").alias("centre")).where("c > 1").drop("c")
-    rows = saved(rows.join(several, "h"), "meetings")
-    about = begin.select("key", "n", "bits")
+    sent = spark.sparkContext.broadcast(hot)
+    signs = {"first": ArrayType(LongType()), "bits": BinaryType(), "wide": BinaryType()}
+    each = saved(made(src, lambda sets: [pa.array([first_shingles(v, similarity, sent.value) for v in sets], longs), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], signs), "signs")
+    known = each.where("id IS NOT NULL")
+    # one row of df for each key, whose text gives the shingle set again, and the key's fingerprints
+    nodes = saved(known.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "n", "bits", "wide")).alias("x")).select("key", "x.*"), "nodes")
+    meet = Window.partitionBy("h")
+    rows = known.select("key", "first").dropDuplicates(["key"]).select("key", F.explode("first").alias("h"))
+    rows = saved(rows.select("key", "h", F.count("*").over(meet).alias("c"), F.min("key").over(meet).alias("centre")).where("c > 1").drop("c"), "meetings")
 
     def checked(pairs):
-        known = pairs.join(about.toDF("a", "na", "xa"), "a").join(about.toDF("b", "nb", "xb"), "b")
-
-        def body(batches):
-            for t in batches:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), "<u8").reshape(t.num_rows, width) for c in ("xa", "xb"))
-                n, m = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-                yield t.select(["a", "b"]).filter(pa.array(may_share(n, m, x, y, similarity)))
-
-        pairs = saved(known.mapInArrow(body, "a long, b long"), "pairs")
-        members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(nodes, "key").select(F.col("node").alias("id")).distinct()
-        sets = saved(made(src.join(members, "id", "left_semi"), lambda sets: [pa.array(sets, longs)], {"shingles": ArrayType(LongType())}).drop("id"), "shingle-sets")
-        both = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return saved(both.where(common * (1 + similarity) >= similarity * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b").distinct(), "checked")
-
-    centres = rows.where("key <> centre").groupBy("key").agg(F.collect_set("centre").alias("all"))
-    linked = checked(centres.select(F.col("key").alias("a"), F.explode(F.slice(F.array_sort("all"), 1, 3)).alias("b")))
+        """The pairs (a, b) of texts that share `similarity`: first by fingerprints as long as the sets, then by the sets."""
+        wide = nodes.select("key", "n", "wide")
+        pairs = saved(pairs.join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9) for t in batches), "a long, b long"), "pairs")
+        slot = F.pmod(F.xxhash64("id", "t1", "t2"), F.lit(SLOTS))
+        members = pairs.select(F.explode(F.array("a", "b")).alias("key")).join(nodes, "key").select((slot + 1).alias("slot"))  # Spark's bitmaps begin at 1
+        marks = np.zeros(SLOTS // 8, np.uint8)
+        for r in members.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).collect():
+            marks[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+        marks = spark.sparkContext.broadcast(marks)
+
+        def wanted(batch):
+            at = batch.column("__slot__").to_numpy()
+            return batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+        known = src.where(F.col("id").isNotNull()).withColumn("__slot__", slot)
+        sets = saved(made(known, lambda sets: [pa.array(map(sorted_set, sets), pa.binary())], {"shingles": BinaryType()}, wanted).select("key", "n", "shingles"), "shingle-sets")
+        both = pairs.join(sets.toDF("a", "na", "xa"), "a").join(sets.toDF("b", "nb", "xb"), "b")
+        near = both.mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9) for t in batches), "a long, b long")
+        return saved(near.distinct(), "checked")
+
+    led = rows.where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("c"))
+    led = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "centre"))), 1, 2).alias("x"))
+    linked = checked(led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b")))
     roots = saved(components(linked), "roots").toDF("key", "root")
     apart = saved(rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "apart")
     mixed = saved(apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "mixed")
-    met = apart.join(mixed, "h").join(about, "key")
+    met = apart.join(mixed, "h").join(nodes.select("key", "n", "bits"), "key")
     linked = linked.union(checked(met_pairs(met, similarity).distinct()))
-    named = linked.join(nodes.toDF("a", "x"), "a").join(nodes.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    # an id that two different texts carry is one node in the components, as it should be
-    roots = saved(components(named), "roots")
-    groups = saved(nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component")), "groups")
-    return each.select("id", "key").join(groups, "key", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    roots = saved(components(linked), "roots")
+    groups = nodes.select("key", "id").join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = groups.groupBy("root").agg(F.min("id").alias("component"))
+    groups = saved(groups.join(names, "root").select("key", F.col("root").alias("cluster"), "component"), "groups")
+    own = lambda c: F.when(F.col("id").isNotNull(), F.col(c)).alias(c)
+    return each.select("id", "t1", "t2", "key").join(groups, "key", "left").select("id", "t1", "t2", own("cluster"), own("component"))
+
+
+def decided(t: pa.RecordBatch, similarity: float, fits) -> pa.RecordBatch:
+    """The rows a, b of a batch (a, b, na, xa, nb, xb) whose lengths and what `fits` says of (na, nb, xa, xb) allow them."""
+    n, m = (t.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+    fair = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9
+    x, y = t.column("xa"), t.column("xb")
+    keep = [bool(ok) and fits(int(n[i]), int(m[i]), x[i].as_py(), y[i].as_py()) for i, ok in enumerate(fair)]
+    return t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def may_share(n, m, x, y, similarity: float) -> np.ndarray:
-    """False where sets of n and m shingles, by their lengths and parity bitmaps, can't share `similarity`."""
+    """False where sets of n and m shingles, by their lengths and parity fingerprints, can't share `similarity`."""
     differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
     return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differ <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
 def met_pairs(met: DataFrame, similarity: float) -> DataFrame:
     """a, b (keys, a < b) of the rows (key, n, h, k, root, bits) that meet in h, have different roots, and
-    may share `similarity`. The rows of h are cut into k chunks, and every two chunks meet in a task."""
+    may share `similarity`. The rows of h are cut into k chunks, and every two chunks meet in a task.
+
+    In a group rows stand by n. Of a longer text at most n / similarity shingles can be met, which bounds
+    the distance from a row to all that follow it: this is the radius of the bit-sliced comparison."""
     met = met.withColumn("c", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
     others = F.when(F.col("k") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("k") - 1), lambda o: o != F.col("c")))
     met = met.withColumn("o", F.explode(others)).select("key", "n", "root", "bits", F.xxhash64("h", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
@@ -345,36 +384,27 @@ def met_pairs(met: DataFrame, similarity: float) -> DataFrame:
         group, key, n, root = (rows.column(c).to_numpy() for c in ("g", "key", "n", "root"))
         bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), "<u8").reshape(len(key), -1)
         n = n.astype(np.int64)
-        sizes = np.diff(np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)])
-        few, out = np.repeat(sizes <= 32, sizes), []
+        # rows end where lengths grow too far apart: what follows can't share enough
+        far = np.minimum(group_ends(group), end_of_lengths(group, n, similarity))
+        radius = np.minimum(np.floor(n * (1 - similarity) / similarity + 1e-9).astype(np.int64), BITS * bits.shape[1])
+        out = [np.zeros((0, 2), np.int64)]
+        for i, j in near_pairs(bits, far, radius):
+            at = (root[i] != root[j]) & may_share(n[i], n[j], bits[i], bits[j], similarity)
+            i, j = key[i[at]], key[j[at]]
+            out.append(np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        def keep(a, b):
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+    return met.repartition("g").sortWithinPartitions("g", "n").mapInArrow(lambda batches: map(found, whole_groups(batches)), "a long, b long")
 
-        some = np.flatnonzero(few)
-        for step in range(1, 32):
-            i, j = some[:-step], some[step:]
-            same = group[i] == group[j]
-            if not same.any():
-                break
-            i, j = i[same], j[same]
-            i, j = (x[root[i] != root[j]] for x in (i, j))
-            at = may_share(n[i], n[j], bits[i], bits[j], similarity)
-            keep(key[i[at]], key[j[at]])
-        ends = np.cumsum(sizes)
-        for begin, end in zip((ends - sizes)[sizes > 32], ends[sizes > 32]):
-            for i in range(begin, end - 1):
-                j = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
-                j = j[may_share(n[i], n[j], bits[i], bits[j], similarity)]
-                keep(np.full(len(j), key[i]), key[j])
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return met.repartition("g").sortWithinPartitions("g").mapInArrow(lambda batches: map(found, whole_groups(batches)), "a long, b long")
+def end_of_lengths(group: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Per row the first row after which lengths of its group exceed n / similarity; rows stand by group, then n."""
+    step = int(n.max(initial=0) / similarity) + 2
+    place = np.cumsum(np.r_[0, group[1:] != group[:-1]]) * step
+    return np.searchsorted(place + n, place + np.floor(n / similarity + 1e-9).astype(np.int64), side="right")
 
 
 def hex_digits(fp: str = "fp"):
     """The fingerprint as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-

@@ -31,15 +31,28 @@ def brute_components(rows):
     return fps, {i: find(i) for i in fps}
 
 
-@pytest.mark.parametrize("n", [1, 63, 64, 65, 300, 700])
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 300, 700])
 @pytest.mark.parametrize("radius", [0, 3, 6])
-def test_near_equals_brute_force(n, radius):
+@pytest.mark.parametrize("size", [1, 2])
+def test_bit_sliced_pairs_equal_brute_force(n, radius, size):
+    """Groups of one to many words of lanes, one radius or one per row, fingerprints of one or two words."""
     rng = np.random.default_rng(n)
-    base = rng.integers(0, 2**63, 7)
-    values = np.array([int(base[i % 7]) ^ sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 5))) for i in range(n)], np.int64)
-    got = np.unpackbits(simhash.near(values, radius).view(np.uint8), axis=1, bitorder="little")[:, :n]
-    want = np.bitwise_count(values[:, None].astype(np.uint64) ^ values[None, :].astype(np.uint64)) <= radius
-    assert (got.astype(bool) == want).all()
+    base = rng.integers(0, 2**63, (7, size))
+    values = np.array([base[i % 7] ^ [sum(1 << int(b) for b in rng.integers(0, 63, rng.integers(0, 5))) for _ in range(size)] for i in range(n)], np.int64)
+    group = np.sort(rng.integers(0, max(1, n // 90) + 1, n)) if n % 2 else np.repeat(np.arange(n), 3)[:n]
+    far = np.bitwise_count(values[:, None].astype(np.uint64) ^ values[None, :].astype(np.uint64)).sum(2)
+    for limit in (np.full(n, radius), np.arange(n) % (radius + 2)):
+        got = {(int(a), int(b)) for i, j in simhash.near_pairs(values, simhash.group_ends(group), limit, block=100) for a, b in zip(i, j)}
+        assert got == {(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j] and far[i, j] <= limit[i]}
+
+
+def test_every_link_is_decided_by_the_bit_sliced_comparison(spark, monkeypatch):
+    """Without what it finds nothing links."""
+    rows = [(i, " ".join(f"w{j}" for j in range(i // 2, i // 2 + 300))) for i in range(0, 8, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["component"] for r in simhash.near_duplicates(df, radius=12).collect()} != {r[0] for r in rows}
+    monkeypatch.setattr(simhash, "star", lambda values, nodes, ends, radius: (nodes[:0], nodes[:0]))
+    assert {r["component"] for r in simhash.near_duplicates(df, radius=12).collect()} == {r[0] for r in rows}
 
 
 def test_groups_equal_brute_force(spark):
@@ -119,7 +132,7 @@ def test_near_texts_in_a_hot_group(spark):
     rows = [(i, " ".join(edited(rng, base, 2))) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     small = {tuple(r) for r in simhash.near_texts(df, bucket_rows=32).collect()}
-    assert small == {tuple(r) for r in simhash.near_texts(df).collect()} and {c for _, c in small} == {0}
+    assert small == {tuple(r) for r in simhash.near_texts(df).collect()} and {r[-1] for r in small} == {0}
 
 
 def test_near_texts_of_nothing(spark):
@@ -162,8 +175,8 @@ def test_near_texts_equal_brute_force_on_planted_passages(spark):
     rows += [(2000 + i, " ".join(line[: rng.randrange(20, 31)])) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_groups(rows)
-    assert dict(map(tuple, simhash.near_texts(df, hot_texts=8, bucket_rows=16).collect())) == want
-    assert dict(map(tuple, simhash.near_texts(df).collect())) == want
+    for found in (simhash.near_texts(df, hot_texts=8, bucket_rows=16), simhash.near_texts(df)):
+        assert {r["id"]: r["component"] for r in found.collect()} == want
     repeated = [10 * i + 3 for i in range(60)]
     assert all(want[r] == r - 3 for r in repeated)
 

@@ -16,8 +16,8 @@ a spanning star per class leaves the task; none between classes is lost.
 `near_texts` groups texts by the similarity of their distinct word shingles instead, exactly: 0.8 of
 five words if not said otherwise. In any order of all shingles, two texts that share that much share
 one of the first n - ceil(0.8 n) + 1 of their n shingles; the order is by hash, with the shingles that
-many texts begin with moved to the end, and texts that share one of these first shingles meet. First
-each text is checked against the two texts that lead most of its meetings; then all that meet and aren't
+many texts begin with moved to the end, and texts that share one of these first shingles meet. First,
+in a few rounds, each text is checked against two texts that lead its meetings; then all that meet and aren't
 in one group yet are compared bit-sliced by parity fingerprints, whose distance is a lower bound of how
 many shingles differ. Every pair is checked by its whole shingle sets (64-bit hashes) before it links.
 
@@ -104,7 +104,7 @@ def parity(values: np.ndarray, width: int | None = None) -> bytes:
     """Bit i tells whether the hashes that fall to it are odd in number: sets differ in at least as many hashes as bits.
 
     `width` words; if not given, a power of two that grows with the set, so that it separates sets of any size."""
-    width = width or 4 << max(0, (len(values) - 1) // 256).bit_length()
+    width = width or 8 << max(0, (len(values) - 1) // 128).bit_length()
     ones = np.bincount((values.view(np.uint64) % np.uint64(BITS * width)).astype(np.int64), minlength=BITS * width)
     return np.packbits(ones & 1, bitorder="little").tobytes()
 
@@ -282,12 +282,13 @@ def identity(text_col: str = "text") -> list:
     return [F.xxhash64(text).alias("t1"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("t2")]
 
 
-def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000) -> DataFrame:
+def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000, rounds: int = 4) -> DataFrame:
     """id, t1, t2 (`identity` of the text), cluster (a number of the group of texts that are linked by sharing
     `similarity` of their distinct `words`-word shingles), component (its smallest id): one row per row of df.
 
     Shingles that over `hot_texts` texts begin with go last, at most `most_hot` of them; `width` words make
-    the parity fingerprint of the bit-sliced comparison. None of these three changes the result."""
+    the parity fingerprint of the bit-sliced comparison; in up to `rounds` rounds each text is checked against
+    two of those it meets before all pairs are compared. None of these four changes the result."""
     spark = df.sparkSession
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"), *identity(text_col))
     keep = [f for f in src.schema if f.name != "__text__"]
@@ -339,13 +340,32 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
         near = both.mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9) for t in batches), "a long, b long")
         return saved(near.distinct(), "checked")
 
-    led = rows.where("key <> centre").groupBy("key", "centre").agg(F.count("*").alias("c"))
-    led = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "centre"))), 1, 2).alias("x"))
-    linked = checked(led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b")))
-    roots = saved(components(linked), "roots").toDF("key", "root")
-    apart = saved(rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "apart")
-    mixed = saved(apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "mixed")
-    met = apart.join(mixed, "h").join(nodes.select("key", "n", "bits"), "key")
+    def two_of(met):
+        """a, b: each key of met (key, centre) with the two centres that it meets most."""
+        led = met.groupBy("key", "centre").agg(F.count("*").alias("c"))
+        led = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "centre"))), 1, 2).alias("x"))
+        return led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b"))
+
+    def still_apart(rows, linked):
+        """Of the rows (key, h) those in shingles where texts of several groups meet, with their roots."""
+        roots = saved(components(linked), "roots").toDF("key", "root")
+        apart = rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        meet = Window.partitionBy("h")
+        apart = apart.select("key", "h", "root", F.min("root").over(meet).alias("lo"), F.max("root").over(meet).alias("hi"), F.count("*").over(meet).alias("c"))
+        return saved(apart.where("lo <> hi").select("key", "h", "root", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "apart")
+
+    linked = checked(two_of(rows.where("key <> centre").select("key", "centre")))
+    apart, more = still_apart(rows, linked), linked
+    for turn in range(1, rounds):
+        # a large group may have missed its first centres: now its texts try one of the largest group that they meet
+        if more.isEmpty() or apart.isEmpty():
+            break
+        each_root = apart.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key"))["key"].alias("centre"))
+        largest = each_root.groupBy("h").agg(F.max(F.struct("c", "root", "centre")).alias("x")).where("x.c > 1").select("h", F.col("x.root").alias("other"), F.col("x.centre").alias("centre"))
+        more = checked(two_of(apart.join(largest, "h").where("root <> other").select("key", "centre")))
+        linked = saved(linked.union(more).distinct(), "linked")
+        apart = still_apart(apart, linked)
+    met = apart.join(nodes.select("key", "n", "bits"), "key")
     linked = linked.union(checked(met_pairs(met, similarity).distinct()))
     roots = saved(components(linked), "roots")
     groups = nodes.select("key", "id").join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))

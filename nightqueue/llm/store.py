@@ -1,32 +1,12 @@
-"""Tables cut from their lineage, kept where every executor can read them again."""
+"""The driver's tables, and tables cut from their lineage where every executor can read them again."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
-
+from ..sources.tables import saved, shared_dir
 
-def saved(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and returns a frame that reads the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["saved", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,6 +26,9 @@ BUILD_BEAM = 64
 BEAM = 200
 #: Candidates that every query expands in one step.
 STRIDE = 4
+#: Bytes of a shard's vectors at most, and of the marks of nodes that a walk has seen.
+SHARD_BYTES = 256 << 20
+SEEN_BYTES = 64 << 20
 
 
 class Graph:
@@ -205,7 +208,12 @@ def build(nodes: DataFrame, shards: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(one, INDEX)
 
 
-def search(index: DataFrame, blocks: DataFrame, k: int, beam: int) -> DataFrame:
+def rows_of_shards(nodes: int, length: int) -> int:
+    """Vectors of a shard: 32 times the square root of all, at least 8192, in at most SHARD_BYTES."""
+    return min(max(8192, 32 * math.isqrt(nodes)), max(1, SHARD_BYTES // (8 * max(1, length))))
+
+
+def search(index: DataFrame, shards: int, blocks: DataFrame, k: int, beam: int) -> DataFrame:
     """query_id, node, score: the k best nodes of every shard for every query."""
 
     def body(batches):
@@ -217,15 +225,15 @@ def search(index: DataFrame, blocks: DataFrame, k: int, beam: int) -> DataFrame:
                 g = Graph(x.astype(np.float32), levels=[np.frombuffer(t, np.int32).reshape(size, -1) for t in row["levels"]], entry=row["entry"])
                 queries = np.frombuffer(row["query_ids"], "<i8")
                 q = np.frombuffer(row["query_vectors"], "<f8").reshape(len(queries), -1)
-                for lo in range(0, len(queries), 512):
-                    part = q[lo : lo + 512]
+                step = max(1, min(512, SEEN_BYTES // (size + 1)))
+                for lo in range(0, len(queries), step):
+                    part = q[lo : lo + step]
                     found = g.search(part.astype(np.float32), k, beam)
                     score = np.einsum("qkd,qd->qk", x[np.maximum(found, 0)], part)
                     r, c = np.nonzero(found >= 0)
                     yield pa.RecordBatch.from_arrays([pa.array(queries[lo + r]), pa.array(ids[found[r, c]]), pa.array(score[r, c])], names=["query_id", "node", "score"])
 
-    n = index.count()
-    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))) if n else blocks.withColumn("shard", F.lit(0))
+    pairs = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = pairs.join(index, "shard").select("size", "entry", "ids", "vectors", "levels", "query_ids", "query_vectors")
     return met.mapInArrow(body, "query_id long, node long, score double")
 
@@ -244,14 +252,17 @@ def query_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(one, "block int, query_ids binary, query_vectors binary")
 
 
-def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 2048, beam: int = BEAM) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest by inner product among all rows but the query's own."""
+def nearest(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int | None = None, block_rows: int = 2048, beam: int = BEAM) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest by inner product among all rows but the query's own.
+
+    shard_rows: vectors of a shard; by default as many as `rows_of_shards` says."""
     rows = saved(usable(df, id_col, vec_col), "vectors")
     nodes = saved(distinct_vectors(rows, k + 1), "nodes")
-    shards = max(1, math.ceil(nodes.count() / shard_rows))
+    n, length = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    shards = max(1, math.ceil(n / (shard_rows or rows_of_shards(n, length))))
     index = saved(build(nodes, shards), "hnsw")
     blocks = saved(query_blocks(rows.where(is_query(F.col("id"))), block_rows), "query-blocks")
-    found = saved(search(index, blocks, k + 1, beam), "found")
+    found = saved(search(index, shards, blocks, k + 1, beam), "found")
     spread = found.join(nodes.select("node", "members"), "node").select("query_id", "score", F.explode("members").alias("vec_id")).where("vec_id <> query_id")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return spread.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

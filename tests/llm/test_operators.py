@@ -178,6 +178,18 @@ def test_neighbours_reach_brute_force(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_every_shard_is_asked_where_some_numbers_have_none(spark):
+    df = spark.createDataFrame([(i, [float(i + 1), float(i * i % 7)]) for i in range(12)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, lambda i: i % 20 == 0, k=20, shard_rows=1)
+    assert sorted(r["vec_id"] for r in got.collect()) == [*range(1, 12)]
+
+
+def test_shards_grow_so_that_a_search_asks_few():
+    assert ann.rows_of_shards(60_000, 64) == 8192
+    assert ann.rows_of_shards(10**8, 64) == 320_000
+    assert ann.rows_of_shards(10**12, 64) * 64 * 8 <= ann.SHARD_BYTES
+
+
 def test_language_model_counts_and_sums(spark, empty):
     random.seed(4)
     vocab = [f"w{int(random.paretovariate(0.7))}" for _ in range(500)]
@@ -195,26 +207,73 @@ def test_language_model_counts_and_sums(spark, empty):
 
 
 def test_language_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    keys = np.unique(rng.integers(0, 30, 200) * pitman_yor.CONTEXTS + rng.integers(0, 6, 200))
+    rng, classes = np.random.default_rng(0), 256
+    keys = np.unique(rng.integers(0, 30, 200) * classes + rng.integers(0, 6, 200))
     train = rng.integers(1, 200, len(keys))
-    r = pitman_yor.Restaurants({"bucket": 0, "keys": pitman_yor.pack(keys), "train": pitman_yor.pack(train)}, 30)
+    row = {"words": pitman_yor.pack(rng.integers(0, 1 << 62, 30)), "keys": pitman_yor.pack(keys), "train": pitman_yor.pack(train)}
+    r = pitman_yor.Restaurants(row, 30, classes)
+    customers = np.bincount(r.k2, r.c2, classes).astype(np.int64)
+    totals = lambda: np.r_[np.bincount(r.k2, r.t2, classes), r.t0.sum()].astype(np.int64)
     for _ in range(3):
-        r.sweep(r.totals())
+        r.sweep(customers, totals())
         assert (r.t2 >= 1).all() and (r.t2 <= r.c2).all()
-    p0, unknown, p1, p2, back1, back2 = r.predictive(r.totals())
-    assert p0.sum() + unknown * (31 - len(p0)) == pytest.approx(1)
+    p0, unknown, p2, back = r.predictive(customers, totals())
+    root = np.concatenate([p0, np.full(31 - len(p0), unknown)])
+    assert root.sum() == pytest.approx(1)
     for k in range(6):
-        inside = r.k2 == k
-        parent = back1[k % pitman_yor.PARENTS] * np.concatenate([p0, np.full(31 - len(p0), unknown)])
-        for i, w in zip(np.flatnonzero(r.k1 == k), r.word1[r.k1 == k]):
-            parent[np.searchsorted(r.words, w)] = p1[i]
-        whole = back2[k] * parent
-        for p, w in zip(p2[inside], r.word2[inside]):
-            whole[np.searchsorted(r.words, w)] = p
+        whole = back[k] * root
+        whole[r.up0[r.k2 == k]] = p2[r.k2 == k]
         assert whole.sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("n, base, discount, parent", [(2, 1.0, 0.8, 0.3), (40, 3.0, 0.8, 0.05), (3000, 2.0, 0.5, 0.2), (3000, 900.0, 0.8, 0.02), (700, 5.0, 0.8, 0.6)])
+def test_seating_is_that_of_a_plain_chinese_restaurant(n, base, discount, parent):
+    rng, many = np.random.default_rng(6), 3000
+    plain = np.ones(many, int)
+    for i in range(1, n):
+        a = (base + discount * plain) * parent
+        plain += rng.random(many) < a / (a + i - discount * plain)
+    keys = pitman_yor.mixed(np.arange(many, dtype=np.uint64))
+    args = np.full(many, n), np.full(many, base), discount, np.full(many, parent), keys
+    got = pitman_yor.seat(*args, 3)
+    assert (got >= 1).all() and (got <= n).all()
+    assert abs(got.mean() - plain.mean()) < 5 * math.hypot(got.std(), plain.std()) / math.sqrt(many) + 1e-9
+    assert got.std() == pytest.approx(plain.std(), rel=0.12, abs=0.02)
+    assert (pitman_yor.seat(*args, 3) == got).all() and (n < 9 or (pitman_yor.seat(*args, 4) != got).any())
+
+
+def test_language_model_learns_and_does_not_depend_on_settings(spark):
+    random.seed(14)
+    after = {w: [random.randint(0, 300) for _ in range(3)] for w in range(301)}
+
+    def text():
+        w, out = random.randint(0, 300), []
+        for _ in range(40):
+            w = random.choice(after[w])
+            out.append(f"w{w}")
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(500)], "doc_id long, text string")
+    held = lambda i: F.crc32(i.cast("string")) % 7 == 2
+    score = lambda d: {r["doc_id"]: (r["score"], r["base_score"], r["held_out"], r["n_tokens"]) for r in pitman_yor.lm_scores(d, held).collect()}
+    got = score(df)
+    own = [r for r in got.values() if r[2]]
+    # three ways on from each word: log10(3) = 0.48 a token, against log10(301) = 2.48 without context
+    assert sum(r[0] for r in own) / sum(r[3] for r in own) > -0.8 > -2.2 > sum(r[1] for r in own) / sum(r[3] for r in own)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        again = score(df.repartition(3))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(again[i][0] == pytest.approx(r[0], abs=1e-9) for i, r in got.items())
+
+
+def test_classes_of_contexts_grow_with_the_text():
+    sizes = [pitman_yor.n_classes(10**k) for k in range(15)]
+    assert sizes == sorted(sizes) and sizes[7] == 8192 and sizes[14] == 1 << 23
+
+
 def test_decontamination_equals_brute_force(spark, empty):
     random.seed(8)
     words = [f"v{i}" for i in range(6)]

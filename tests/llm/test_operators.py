@@ -204,13 +204,17 @@ def test_language_model_counts_and_sums(spark, empty):
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in got) == want
     assert all(r["train_tokens"] == n and r["score"] < 0 and r["held_out"] == held(r["doc_id"]) for r in got)
     assert pitman_yor.lm_scores(empty, lambda i: F.lit(False)).count() == 0
+    unlearnt = pitman_yor.lm_scores(df, lambda i: F.lit(True)).collect()
+    assert len(unlearnt) == len(rows) and all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == pytest.approx(0) for r in unlearnt)
+    few = pitman_yor.lm_scores(df.where("doc_id = 302 or text = 'w1 w1 w1'"), lambda i: i == 302).collect()
+    assert sorted((r["n_known"], r["train_tokens"]) for r in few) == [(1, 4), (4, 4)]
 
 
 def test_language_model_probabilities_sum_to_one():
     rng, classes = np.random.default_rng(0), 256
     keys = np.unique(rng.integers(0, 30, 200) * classes + rng.integers(0, 6, 200))
     train = rng.integers(1, 200, len(keys))
-    row = {"words": pitman_yor.pack(rng.integers(0, 1 << 62, 30)), "keys": pitman_yor.pack(keys), "train": pitman_yor.pack(train)}
+    row = {"words": pitman_yor.pack_sorted(np.sort(rng.integers(0, 1 << 62, 30))), "keys": pitman_yor.pack_sorted(keys), "train": pitman_yor.pack(train)}
     r = pitman_yor.Restaurants(row, 30, classes)
     customers = np.bincount(r.k2, r.c2, classes).astype(np.int64)
     totals = lambda: np.r_[np.bincount(r.k2, r.t2, classes), r.t0.sum()].astype(np.int64)

@@ -206,8 +206,8 @@ def test_language_model_counts_and_sums(spark, empty):
     assert pitman_yor.lm_scores(empty, lambda i: F.lit(False)).count() == 0
     unlearnt = pitman_yor.lm_scores(df, lambda i: F.lit(True)).collect()
     assert len(unlearnt) == len(rows) and all(r["n_known"] == r["train_tokens"] == 0 and r["score"] == pytest.approx(0) for r in unlearnt)
-    few = pitman_yor.lm_scores(df.where("doc_id = 302 or text = 'w1 w1 w1'"), lambda i: i == 302).collect()
-    assert sorted((r["n_known"], r["train_tokens"]) for r in few) == [(1, 4), (4, 4)]
+    few = pitman_yor.lm_scores(spark.createDataFrame([(7, "w1 w1 w1"), (302, "x y")], df.select("doc_id", "text").schema), lambda i: i == 302).collect()
+    assert sorted((r["n_known"], r["train_tokens"]) for r in few) == [(1, 4), (4, 4)]  # the end token, and three words with theirs
 
 
 def test_language_model_probabilities_sum_to_one():

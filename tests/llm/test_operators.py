@@ -246,7 +246,7 @@ def test_seating_is_that_of_a_plain_chinese_restaurant(n, base, discount, parent
     assert (pitman_yor.seat(*args, 3) == got).all() and (n < 9 or (pitman_yor.seat(*args, 4) != got).any())
 
 
-def test_language_model_learns_and_does_not_depend_on_settings(spark):
+def test_language_model_learns_and_does_not_depend_on_settings(spark, monkeypatch):
     random.seed(14)
     after = {w: [random.randint(0, 300) for _ in range(3)] for w in range(301)}
 
@@ -264,13 +264,19 @@ def test_language_model_learns_and_does_not_depend_on_settings(spark):
     own = [r for r in got.values() if r[2]]
     # three ways on from each word: log10(3) = 0.48 a token, against log10(301) = 2.48 without context
     assert sum(r[0] for r in own) / sum(r[3] for r in own) > -0.8 > -2.2 > sum(r[1] for r in own) / sum(r[3] for r in own)
+    same = lambda again: len(again) == len(got) and all(again[i] == (pytest.approx(r[0], abs=1e-9), *r[1:]) for i, r in got.items())
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "7")
         again = score(df.repartition(3))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert all(again[i][0] == pytest.approx(r[0], abs=1e-9) for i, r in got.items())
+    assert same(again)
+    # every bucket in several parts, each block in one of them
+    made = []
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 1500)
+    monkeypatch.setattr(pitman_yor, "saved", lambda df, name, saved=pitman_yor.saved, **options: made.append(name) or saved(df, name, **options))
+    assert same(score(df.repartition(9))) and made.count("lm-models") > 1
 
 
 def test_classes_of_contexts_grow_with_the_text():
@@ -281,13 +287,15 @@ def test_classes_of_contexts_grow_with_the_text():
 def test_decontamination_equals_brute_force(spark, empty):
     random.seed(8)
     words = [f"v{i}" for i in range(6)]
-    items = [(i, " ".join(random.choice(words) for _ in range(random.choice([0, 3, 9, 10, 14])))) for i in range(30)] + [(50, None), (3, "v1 v2"), (51, "Ä-ö v0"), (52, "Ä ö V0")]
-    texts = [" ".join(random.choice(words) for _ in range(60)) for _ in range(40)] + [None, "", "ä ö v0", "Ä Ö V0", items[2][1] or "x", "v1 " * 5000]
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, item_ids string")
+    items = [(i, " ".join(random.choice(words) for _ in range(random.choice([0, 3, 9, 10, 14])))) for i in range(30)] + [(50, None), (3, "v1 v2"), (51, "Ä-ö v0"), (52, "Ä ö V0"), (None, "nobody's own")]
+    texts = [" ".join(random.choice(words) for _ in range(60)) for _ in range(40)] + [None, "", "ä ö v0", "Ä Ö V0", items[2][1] or "x", "v1 " * 5000, "of nobody's own"]
+    df = spark.createDataFrame([(i, t, "clash", "own") for i, t in enumerate(texts)], "doc_id long, text string, item_ids string, words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     cut = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    for block in (2 << 20, 300):
-        for r in decontam.contamination(df, bench, block_bytes=block).collect():
+    for most in (2 << 20, 300):  # in every task, and by shuffled joins
+        rows = decontam.contamination(df, bench, most_bytes=most).collect()
+        assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
+        for r in rows:
             w, hit, found = cut(texts[r["doc_id"]]), set(), set()
             for item, t in items:
                 b = cut(t)
@@ -296,10 +304,11 @@ def test_decontamination_equals_brute_force(spark, empty):
                     for i in range(len(w) - len(win) + 1):
                         if w[i : i + len(win)] == win:
                             hit |= set(range(i, i + len(win)))
-                            found.add(str(item))
-            assert r["n_words"] == len(w) and r["item_ids"] == sorted(found)
+                            found |= {str(item)} - {"None"}
+            assert r["n_words"] == len(w) and r["item_ids"] == sorted(found) and r["words"] == "own"
             assert sum(b - a for a, b in zip(r["hit_starts"], r["hit_ends"])) == len(hit)
-    assert decontam.contamination(empty, bench).count() == 0
+        assert decontam.contamination(empty, bench, most_bytes=most).count() == 0
+    assert decontam.contamination(df.union(df), bench, most_bytes=300).count() == 2 * len(texts)
     assert decontam.contamination(df, bench.limit(0)).where(F.size("hit_starts") > 0).count() == 0
 
 

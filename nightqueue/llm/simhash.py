@@ -346,16 +346,19 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
         led = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "centre"))), 1, 2).alias("x"))
         return led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b"))
 
-    def still_apart(rows, linked):
+    def still_apart(rows, roots):
         """Of the rows (key, h) those in shingles where texts of several groups meet, with their roots."""
-        roots = saved(components(linked), "roots").toDF("key", "root")
         apart = rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         meet = Window.partitionBy("h")
         apart = apart.select("key", "h", "root", F.min("root").over(meet).alias("lo"), F.max("root").over(meet).alias("hi"), F.count("*").over(meet).alias("c"))
         return saved(apart.where("lo <> hi").select("key", "h", "root", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "apart")
 
-    linked = checked(two_of(rows.where("key <> centre").select("key", "centre")))
-    apart, more = still_apart(rows, linked), linked
+    def grouped(linked):
+        return saved(components(linked), "roots").toDF("key", "root")
+
+    more = checked(two_of(rows.where("key <> centre").select("key", "centre")))
+    roots = grouped(more)
+    apart = still_apart(rows, roots)
     for turn in range(1, rounds):
         # a large group may have missed its first centres: now its texts try one of the largest group that they meet
         if more.isEmpty() or apart.isEmpty():
@@ -363,12 +366,12 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
         each_root = apart.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("x"), "key"))["key"].alias("centre"))
         largest = each_root.groupBy("h").agg(F.max(F.struct("c", "root", "centre")).alias("x")).where("x.c > 1").select("h", F.col("x.root").alias("other"), F.col("x.centre").alias("centre"))
         more = checked(two_of(apart.join(largest, "h").where("root <> other").select("key", "centre")))
-        linked = saved(linked.union(more).distinct(), "linked")
-        apart = still_apart(apart, linked)
+        # what was linked before is known by its roots
+        roots = grouped(more.union(roots))
+        apart = still_apart(apart, roots)
     met = apart.join(nodes.select("key", "n", "bits"), "key")
-    linked = linked.union(checked(met_pairs(met, similarity).distinct()))
-    roots = saved(components(linked), "roots")
-    groups = nodes.select("key", "id").join(roots.toDF("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    roots = grouped(checked(met_pairs(met, similarity).distinct()).union(roots))
+    groups = nodes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = groups.groupBy("root").agg(F.min("id").alias("component"))
     groups = saved(groups.join(names, "root").select("key", F.col("root").alias("cluster"), "component"), "groups")
     own = lambda c: F.when(F.col("id").isNotNull(), F.col(c)).alias(c)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe_prefix, chat, decontam, pitman_yor, simhash, token_count, token_files, toxicity, warc
+from . import alignment, ann, bpe_prefix, chat, decontam, minhash, pitman_yor, simhash, token_count, token_files, toxicity, warc, whitening
 from .store import shared_dir, table
 
 
@@ -113,5 +113,31 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
 FROM p JOIN best USING (hex)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_chat_format, op4_toxicity, op5_nearest_neighbours, op6_lm_scores, op7_simhash_near_dedup, op8_token_files, op9_decontamination, op10_warc_archives)}
-ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_warc_archives": OP10_SQL}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+    return whitening.by_component(rows).select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_documents(table(spark, sf_dir, "documents"), words=5, similarity=0.85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (SELECT c.a, c.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) c
+  JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b WHERE 100 * c.k >= 85 * (p.n + q.n - c.k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) r USING (doc_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_chat_format, op4_toxicity, op5_nearest_neighbours, op6_lm_scores, op7_simhash_near_dedup, op8_token_files, op9_decontamination, op10_warc_archives, op11_embedding_whitening, op12_tokenizer_alignment, op13_minhash_near_dedup)}
+ORACLES: dict[str, str] = {"op3_chat_format": OP3_SQL, "op9_decontamination": OP9_SQL, "op10_warc_archives": OP10_SQL, "op13_minhash_near_dedup": OP13_SQL}

@@ -19,7 +19,7 @@ one of the first n - ceil(0.8 n) + 1 of their n shingles; the order is by hash,
 many texts begin with moved to the end, and texts that share one of these first shingles meet. First,
 in a few rounds, each text is checked against two texts that lead its meetings; then all that meet and aren't
 in one group yet are compared bit-sliced by parity fingerprints, whose distance is a lower bound of how
-many shingles differ. Every pair is checked by its whole shingle sets (64-bit hashes) before it links.
+many shingles differ. Every pair is checked by its whole shingle sets (48 bits of each hash) before it links.
 
 Texts without words have the fingerprint zero and link like others (in `near_texts` they are copies of
 each other). Rows without an id get a fingerprint, no component and take no part in links. Repeated rows
@@ -48,7 +48,8 @@ SEED = 42
 BITS = 64
 #: Hashes of a text that are counted at a time.
 HASHES = 65_536
-HASH40 = np.int64((1 << 40) - 1)
+#: A shingle set is kept by the low 48 bits of its hashes: two sets of 10,000 shingles share one by chance once in 3 million pairs.
+HASH48 = np.int64((1 << 48) - 1)
 #: Slots of the bitmap that tells tasks which texts to make whole shingle sets of: 2 MB in memory, at any size of the table.
 SLOTS = 1 << 24
 
@@ -116,8 +117,8 @@ def parity_distance(x: bytes, y: bytes) -> int:
 
 
 def sorted_set(values: np.ndarray) -> bytes:
-    """A shingle set by the low 40 bits of its hashes, packed as sorted differences."""
-    return pack(np.diff(np.sort(values & HASH40), prepend=0)) if len(values) else b""
+    """A shingle set by the low 48 bits of its hashes, packed as sorted differences."""
+    return pack(np.diff(np.sort(values & HASH48), prepend=0)) if len(values) else b""
 
 
 def common(x: bytes, y: bytes) -> int:
@@ -282,6 +283,40 @@ def identity(text_col: str = "text") -> list:
     return [F.xxhash64(text).alias("t1"), F.coalesce(F.crc32(text.cast("binary")), F.lit(-1)).alias("t2")]
 
 
+def mark_bits(slots: DataFrame) -> np.ndarray:
+    """A bitmap of SLOTS bits with those of a frame (slot: from 0 on) set; it is made on the executors, in pieces of one size."""
+    marks = np.zeros(SLOTS // 8, np.uint8)
+    slots = slots.select((F.col("slot") + 1).alias("slot"))  # Spark's bitmaps begin at 1
+    for r in slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).collect():
+        marks[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return marks
+
+
+def marked(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (marks[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def set_columns(docs: DataFrame, words: int, columns, types: dict, wanted=lambda batch: batch) -> DataFrame:
+    """id, t1, t2 of docs, key and n (of the shingle set), and more columns made from the sets of wanted rows."""
+    keep = [docs.schema[c] for c in ("id", "t1", "t2")]
+
+    def body(batches):
+        for whole in batches:
+            for batch in slices(wanted(whole), "__text__"):
+                sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
+                keys = pa.array([set_key(v) for v in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=[*(f.name for f in keep), "key", "n", *types])
+
+    return docs.mapInArrow(body, StructType([*keep, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
+
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"), *identity(text_col))
+
+
+LONGS = pa.list_(pa.int64())
+
+
 def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 8, bucket_rows: int = 1024, id_col: str = "doc_id", text_col: str = "text", hot_texts: int = 32, most_hot: int = 250_000, rounds: int = 4) -> DataFrame:
     """id, t1, t2 (`identity` of the text), cluster (a number of the group of texts that are linked by sharing
     `similarity` of their distinct `words`-word shingles), component (its smallest id): one row per row of df.
@@ -289,53 +324,38 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
     Shingles that over `hot_texts` texts begin with go last, at most `most_hot` of them; `width` words make
     the parity fingerprint of the bit-sliced comparison; in up to `rounds` rounds each text is checked against
     two of those it meets before all pairs are compared. None of these four changes the result."""
-    spark = df.sparkSession
-    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("__text__"), *identity(text_col))
-    keep = [f for f in src.schema if f.name != "__text__"]
-
-    def made(docs, columns, types, wanted=lambda batch: batch):
-        """id, t1, t2, key and n (of the shingle set), and more columns made from the sets of wanted rows."""
-        def body(batches):
-            for whole in batches:
-                for batch in slices(wanted(whole), "__text__"):
-                    sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
-                    keys = pa.array([set_key(v) for v in sets], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=[*(f.name for f in keep), "key", "n", *types])
-
-        return docs.mapInArrow(body, StructType([*keep, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
-
-    longs, none = pa.list_(pa.int64()), np.zeros(0, np.int64)
+    src = identified(df, id_col, text_col)
+    none = np.zeros(0, np.int64)
     # a quarter of the texts tells which shingles are hot; any choice gives an order that holds for all texts
-    quarter = made(src.where(F.col("id").isNotNull() & (F.pmod("t1", F.lit(4)) == 0)), lambda sets: [pa.array([first_shingles(v, similarity, none) for v in sets], longs)], {"first": ArrayType(LongType())})
+    quarter = set_columns(src.where(F.col("id").isNotNull() & (F.pmod("t1", F.lit(4)) == 0)), words, lambda sets: [pa.array([first_shingles(v, similarity, none) for v in sets], LONGS)], {"first": ArrayType(LongType())})
     often = saved(quarter.dropDuplicates(["key"]).select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4), "hot-shingles")
     hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(most_hot).collect()], np.int64))
-    sent = spark.sparkContext.broadcast(hot)
-    signs = {"first": ArrayType(LongType()), "bits": BinaryType(), "wide": BinaryType()}
-    each = saved(made(src, lambda sets: [pa.array([first_shingles(v, similarity, sent.value) for v in sets], longs), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], signs), "signs")
+    sent = df.sparkSession.sparkContext.broadcast(hot)
+    return linked_texts(src, lambda v: first_shingles(v, similarity, sent.value), words, similarity, width, bucket_rows, rounds).select("id", "t1", "t2", "cluster", "component")
+
+
+def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: int = 8, bucket_rows: int = 1024, rounds: int = 4) -> DataFrame:
+    """id, t1, t2, n (distinct shingles), cluster and component as in `near_texts`: one row per row of src
+    (`identified`). Texts meet where `signs`, numbers made from their shingle sets, are equal."""
+    spark = src.sparkSession
+    types = {"first": ArrayType(LongType()), "bits": BinaryType(), "wide": BinaryType()}
+    each = saved(set_columns(src, words, lambda sets: [pa.array([signs(v) for v in sets], LONGS), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], types), "signs")
     known = each.where("id IS NOT NULL")
     # one row of df for each key, whose text gives the shingle set again, and the key's fingerprints
     nodes = saved(known.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "n", "bits", "wide")).alias("x")).select("key", "x.*"), "nodes")
-    meet = Window.partitionBy("h")
-    rows = known.select("key", "first").dropDuplicates(["key"]).select("key", F.explode("first").alias("h"))
-    rows = saved(rows.select("key", "h", F.count("*").over(meet).alias("c"), F.min("key").over(meet).alias("centre")).where("c > 1").drop("c"), "meetings")
+    rows = meetings(known.select("key", "first").dropDuplicates(["key"]))
 
     def checked(pairs):
         """The pairs (a, b) of texts that share `similarity`: first by fingerprints as long as the sets, then by the sets."""
         wide = nodes.select("key", "n", "wide")
         pairs = saved(pairs.join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9) for t in batches), "a long, b long"), "pairs")
         slot = F.pmod(F.xxhash64("id", "t1", "t2"), F.lit(SLOTS))
-        members = pairs.select(F.explode(F.array("a", "b")).alias("key")).join(nodes, "key").select((slot + 1).alias("slot"))  # Spark's bitmaps begin at 1
-        marks = np.zeros(SLOTS // 8, np.uint8)
-        for r in members.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).collect():
-            marks[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-        marks = spark.sparkContext.broadcast(marks)
-
-        def wanted(batch):
-            at = batch.column("__slot__").to_numpy()
-            return batch.filter(pa.array((marks.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-
+        marks = spark.sparkContext.broadcast(mark_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")).join(nodes, "key").select(slot.alias("slot"))))
+        wanted = lambda batch: batch.filter(pa.array(marked(marks.value, batch.column("__slot__").to_numpy())))
         known = src.where(F.col("id").isNotNull()).withColumn("__slot__", slot)
-        sets = saved(made(known, lambda sets: [pa.array(map(sorted_set, sets), pa.binary())], {"shingles": BinaryType()}, wanted).select("key", "n", "shingles"), "shingle-sets")
+        # other texts may share a slot, and rows may be repeated: one row a key
+        sets = set_columns(known, words, lambda sets: [pa.array(map(sorted_set, sets), pa.binary())], {"shingles": BinaryType()}, wanted)
+        sets = saved(sets.dropDuplicates(["key"]).select("key", "n", "shingles"), "shingle-sets")
         both = pairs.join(sets.toDF("a", "na", "xa"), "a").join(sets.toDF("b", "nb", "xb"), "b")
         near = both.mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9) for t in batches), "a long, b long")
         return saved(near.distinct(), "checked")
@@ -347,11 +367,10 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
         return led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b"))
 
     def still_apart(rows, roots):
-        """Of the rows (key, h) those in shingles where texts of several groups meet, with their roots."""
+        """Of the rows (key, h) those of signs where texts of several groups meet, with their roots."""
         apart = rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        meet = Window.partitionBy("h")
-        apart = apart.select("key", "h", "root", F.min("root").over(meet).alias("lo"), F.max("root").over(meet).alias("hi"), F.count("*").over(meet).alias("c"))
-        return saved(apart.where("lo <> hi").select("key", "h", "root", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "apart")
+        lively = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
+        return saved(apart.join(lively.select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "h"), "apart")
 
     def grouped(linked):
         return saved(components(linked), "roots").toDF("key", "root")
@@ -375,7 +394,26 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
     names = groups.groupBy("root").agg(F.min("id").alias("component"))
     groups = saved(groups.join(names, "root").select("key", F.col("root").alias("cluster"), "component"), "groups")
     own = lambda c: F.when(F.col("id").isNotNull(), F.col(c)).alias(c)
-    return each.select("id", "t1", "t2", "key").join(groups, "key", "left").select("id", "t1", "t2", own("cluster"), own("component"))
+    return each.select("id", "t1", "t2", "key", "n").join(groups, "key", "left").select("id", "t1", "t2", "n", own("cluster"), own("component"))
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key, h, centre: the signs h (of `first`) that several keys have, and the smallest of these keys.
+
+    Smallest and largest keys are gathered before anything moves; of the signs only those go on whose bit
+    is set among the ones that meet. A hot sign is met in a join, which Spark can split."""
+    each = nodes.select("key", F.explode("first").alias("h"))
+    heads = saved(each.groupBy("h").agg(F.min("key").alias("centre"), F.max("key").alias("other")).where("centre <> other").select("h", "centre"), "heads")
+    marks = nodes.sparkSession.sparkContext.broadcast(mark_bits(heads.select(F.pmod("h", F.lit(SLOTS)).alias("slot"))))
+
+    def body(batches):
+        for batch in batches:
+            lists = batch.column("first")
+            signs, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            keep = marked(marks.value, signs & np.int64(SLOTS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("key").to_numpy(), ends)[keep]), pa.array(signs[keep])], names=["key", "h"])
+
+    return saved(nodes.mapInArrow(body, "key long, h long").join(heads, "h").select("key", "h", "centre"), "meetings")
 
 
 def decided(t: pa.RecordBatch, similarity: float, fits) -> pa.RecordBatch:

@@ -99,19 +99,44 @@ def outcome_histogram(log: DataFrame) -> DataFrame:
 
 
 def label_class(c: str = "outcome_class"):
-    """1, 0, or null with the reason in label_state."""
+    """1, 0, or null with the reason in with_labels."""
     return F.when(F.col(c) == "neo", 1).when((F.col(c) == "designated_other") | F.col(c).isin(*[r.replace(" ", "_") for r in REASONS]), 0)
 
 
-def label_state(features: DataFrame, resolved: DataFrame, epoch_days: int | None = None) -> DataFrame:
-    """Features with outcome and state: labeled, excluded or unresolved; optionally only outcomes near the discovery."""
-    met = features.join(resolved.withColumnRenamed("stamp", "outcome_stamp").drop("line_no"), "trksub", "left")
-    if epoch_days is not None:
-        near = F.abs(F.datediff("outcome_stamp", "discovered")) <= epoch_days
-        for c in ("outcome_class", "designation", "mpec"):
-            met = met.withColumn(c, F.when(near, F.col(c)))
-    y = label_class()
-    return met.withColumn("y", y).withColumn("state", F.when(F.col("outcome_class").isNull(), "unresolved").when(F.col("outcome_class").isin(*EXCLUDED) | F.col("y").isNull(), "excluded").otherwise("labeled"))
+def with_labels(met: DataFrame) -> DataFrame:
+    """Adds y and state (labeled, excluded or unresolved) to rows with an outcome_class."""
+    return met.withColumn("y", label_class()).withColumn("state", F.when(F.col("outcome_class").isNull(), "unresolved").when(F.col("outcome_class").isin(*EXCLUDED) | F.col("y").isNull(), "excluded").otherwise("labeled"))
+
+
+def label_state(features: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Features with the one outcome of their designation, and state: labeled, excluded or unresolved."""
+    return with_labels(features.join(resolved.withColumnRenamed("stamp", "outcome_stamp").drop("line_no"), "trksub", "left"))
+
+
+def day_number(c: str) -> Column:
+    return F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+
+
+def label_epochs(features: DataFrame, log: DataFrame, days: int = 60, order: tuple[str, ...] = ("stamp", "line_no")) -> DataFrame:
+    """Features (trksub, discovered) with the outcome of their own epoch: of the log's outcomes within `days` of
+    the discovery a definitive one beats linked and other, else the last wins. Designations are used again, so
+    two discoveries of one designation may have two outcomes; one without any near it is unresolved.
+
+    An interval join by buckets of 2 * days + 1 days: a discovery is in one, an outcome reaches at most two.
+    Both sides are reduced before they meet: to the days on which a designation was discovered, and to the
+    winning outcome of each of its days. So what meets in a bucket is bounded by days, however many rows share
+    a designation, and a designation that is used all the time falls apart into its buckets."""
+    width = 2 * days + 1
+    bucket = lambda day: F.floor(day / F.lit(width))
+    fields = ("outcome_class", "designation", "mpec")
+    firm = ~F.col("outcome_class").isin("linked", "other")
+    won = log.groupBy("trksub", day_number("stamp").alias("__day")).agg(F.max(F.struct(firm.alias("firm"), *order, *fields)).alias("__o"))
+    won = won.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("__day") - days), bucket(F.col("__day") + days)))))
+    asked = features.select("trksub", day_number("discovered").alias("__at")).distinct().withColumn("__bucket", bucket(F.col("__at")))
+    near = asked.join(won, ["trksub", "__bucket"]).where(F.abs(F.col("__at") - F.col("__day")) <= days)
+    best = near.groupBy("trksub", "__at").agg(F.max("__o").alias("__o"))
+    met = features.withColumn("__at", day_number("discovered")).join(best, ["trksub", "__at"], "left")
+    return with_labels(met.select(*features.columns, *[F.col(f"__o.{c}").alias(c) for c in fields], F.col("__o.stamp").alias("outcome_stamp")))
 
 
 def label_summary(states: DataFrame) -> DataFrame:

@@ -14,32 +14,68 @@ def _micros(c: str):
 FIELDS = ("score", "nobs", "arc", "unseen", "v", "h")
 
 
+def posting_parts(snap: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
+    """What first_posting has to know of some of an object's rows: its first row, last stamp and last values. Parts can be merged."""
+    o = F.struct(*order)
+    rest = [c for c in snap.columns if c != key]
+    last = F.struct(o.alias("o"), F.struct(*FIELDS).alias("x"))
+    return snap.groupBy(key).agg(F.min(F.struct(o.alias("o"), F.struct(*rest).alias("x"))).alias("first"), F.max("stamp").alias("last_stamp"), F.max(last).alias("last"))
+
+
+def merged_postings(parts: DataFrame, key: str = "trksub") -> DataFrame:
+    return parts.groupBy(key).agg(F.min("first").alias("first"), F.max("last_stamp").alias("last_stamp"), F.max("last").alias("last"))
+
+
+def postings(parts: DataFrame, key: str = "trksub") -> DataFrame:
+    """The result of first_posting from one part per object."""
+    rest = [f.name for f in parts.schema["first"].dataType["x"].dataType]
+    return parts.select(key, *[F.col(f"first.x.{c}").alias(c) for c in rest], "last_stamp", *[F.col(f"last.x.{c}").alias(f"latest_{c}") for c in FIELDS])
+
+
 def first_posting(snap: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
     """Each object's first posting, its last stamp and latest values; one shuffle."""
-    o = F.struct(*order)
+    return postings(posting_parts(snap, key, order), key)
+
+
+def discoveries(snap: DataFrame, gap_days: int = 60, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
+    """The first posting of each epoch of an object, with its number: an epoch ends when the object is unseen
+    for more than `gap_days` days. Rows are reduced to days first, so an object has at most one row a day to sort."""
     rest = [c for c in snap.columns if c != key]
-    first = F.min(F.struct(o.alias("o"), F.struct(*rest).alias("x")))["x"]
-    agg = snap.groupBy(key).agg(first.alias("f"), F.max("stamp").alias("last_stamp"), F.max(F.struct(o.alias("o"), F.struct(*FIELDS).alias("x")))["x"].alias("l"))
-    return agg.select(key, *[F.col(f"f.{c}").alias(c) for c in rest], "last_stamp", *[F.col(f"l.{c}").alias(f"latest_{c}") for c in FIELDS])
+    days = snap.groupBy(key, F.col("stamp").cast("date").alias("__day")).agg(F.min(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("x")))["x"].alias("f"))
+    w = Window.partitionBy(key).orderBy("__day")
+    begins = days.withColumn("__was", F.lag("__day").over(w)).where(F.col("__was").isNull() | (F.datediff("__day", "__was") > gap_days))
+    return begins.withColumn("epoch", F.row_number().over(w)).select(key, *[F.col(f"f.{c}").alias(c) for c in rest], "epoch")
 
 
-def _ends(c: str, order: tuple[str, ...]):
-    known = F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).cast("double").alias("x")))
-    return F.min(known)["x"], F.max(known)["x"]
+#: Fields whose change evolution follows.
+FOLLOWED = ("score", "arc", "nobs", "unseen", "v")
 
 
-def evolution_features(snap: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
-    """Change of each object's values from its first to its last snapshot; nulls are skipped per field."""
-    ends = {c: _ends(c, order) for c in ("score", "arc", "nobs", "unseen", "v")}
-    cols = [F.count("*").alias("n"), F.min("stamp").alias("t0"), F.max("stamp").alias("t1"), F.max("unseen").alias("unseen_max")]
-    for c, (a, b) in ends.items():
-        cols += [a.alias(f"{c}_a"), b.alias(f"{c}_b")]
-    g = snap.groupBy(key).agg(*cols).withColumn("span", (_micros("t1") - _micros("t0")) / 86400e6)
-    delta = lambda c: F.col(f"{c}_b") - F.col(f"{c}_a")
+def evolution_parts(snap: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
+    """What evolution has to know of some of an object's rows; parts can be merged."""
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).cast("double").alias("x")))
+    ends = [f(known(c)).alias(f"{c}_{n}") for c in FOLLOWED for n, f in (("a", F.min), ("b", F.max))]
+    return snap.groupBy(key).agg(F.count("*").alias("n"), F.min("stamp").alias("t0"), F.max("stamp").alias("t1"), F.max("unseen").alias("unseen_max"), *ends)
+
+
+def merged_evolution(parts: DataFrame, key: str = "trksub") -> DataFrame:
+    ends = [f(f"{c}_{n}").alias(f"{c}_{n}") for c in FOLLOWED for n, f in (("a", F.min), ("b", F.max))]
+    return parts.groupBy(key).agg(F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"), F.max("unseen_max").alias("unseen_max"), *ends)
+
+
+def evolution(parts: DataFrame, key: str = "trksub") -> DataFrame:
+    """Change of each object's values from its first to its last snapshot, from one part per object."""
+    g = parts.withColumn("span", (_micros("t1") - _micros("t0")) / 86400e6)
+    delta = lambda c: F.col(f"{c}_b")["x"] - F.col(f"{c}_a")["x"]
     slope = lambda c: F.when(delta(c).isNotNull(), F.when(F.col("span") > SLOPE_FLOOR, delta(c) / F.col("span")).otherwise(0.0))
     return g.select(key, F.col("n").alias("ts_n_snapshots"), F.round("span", 3).alias("ts_span_days"), delta("score").alias("ts_score_delta"), slope("score").alias("ts_score_slope"), delta("arc").alias("ts_arc_growth"), delta("nobs").alias("ts_nobs_growth"), slope("nobs").alias("ts_nobs_rate"), F.col("unseen_max").alias("ts_unseen_max"), delta("unseen").alias("ts_unseen_trend"), delta("v").alias("ts_v_faded"))
 
 
+def evolution_features(snap: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("stamp", "tie")) -> DataFrame:
+    """Change of each object's values from its first to its last snapshot; nulls are skipped per field."""
+    return evolution(evolution_parts(snap, key, order), key)
+
+
 def evolution_summary(ev: DataFrame) -> DataFrame:
     return ev.agg(F.count("*").alias("n_objects"), F.count_if(F.col("ts_n_snapshots") > 1).alias("n_repeated"), F.median("ts_nobs_growth").alias("median_nobs_growth"))
 

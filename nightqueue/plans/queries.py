@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import columns as C
 from ..operators import images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
 from ..sources import readers as R
-from ..streaming import streams as ST
+from ..sources.tables import shared_dir
+from ..streaming import logs as L, streams as ST
 from .views import VIEWS, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -398,9 +400,28 @@ def label_summary(spark, d):
     return O.label_summary(O.label_state(_features(spark, d), O.resolve_outcomes(_log(spark, d))))
 
 
-@query(f"WITH {FIRST}, {LOG}, {RES} SELECT f.trksub, CASE WHEN abs(datediff('day', CAST(f.stamp AS DATE), CAST(res.stamp AS DATE))) <= 9500 THEN outcome_class END AS outcome_class FROM first f LEFT JOIN res ON f.trksub = res.trksub")
+EPOCHS = """days AS (SELECT trksub, CAST(stamp AS DATE) AS day, arg_min(score, (stamp, tie)) AS score, min(stamp) AS discovered FROM snap GROUP BY ALL), disc AS (SELECT trksub, discovered, row_number() OVER (PARTITION BY trksub ORDER BY day) AS epoch FROM
+(SELECT *, lag(day) OVER (PARTITION BY trksub ORDER BY day) AS was FROM days) WHERE was IS NULL OR day - was > 1), log AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trksub, outcome_class, designation ORDER BY stamp, line_no) AS k FROM reported) WHERE k = 1)"""
+
+
+@query(f"""WITH {EPOCHS}, near AS (SELECT disc.*, outcome_class, row_number() OVER (PARTITION BY disc.trksub, epoch ORDER BY CASE WHEN outcome_class IN ('linked', 'other') THEN 1 ELSE 0 END, stamp DESC, line_no DESC) AS k
+FROM disc JOIN log ON disc.trksub = log.trksub AND abs(datediff('day', CAST(discovered AS DATE), stamp)) <= 3), won AS (SELECT * FROM near WHERE k = 1)
+SELECT d.trksub, CAST(d.epoch AS INT) AS epoch, d.discovered, w.outcome_class, {Y} AS y, CASE WHEN w.outcome_class IS NULL THEN 'unresolved' WHEN ({Y}) IS NULL THEN 'excluded' ELSE 'labeled' END AS state FROM disc d LEFT JOIN won w ON d.trksub = w.trksub AND d.epoch = w.epoch""")
 def epoch_guard(spark, d):
-    return O.label_state(_features(spark, d), O.resolve_outcomes(_log(spark, d)), epoch_days=9500).select("trksub", "outcome_class")
+    found = S.discoveries(view(spark, d, "snap"), gap_days=1).withColumnRenamed("stamp", "discovered")
+    labels = O.label_epochs(found, O.outcome_log(view(spark, d, "reported")), days=3)
+    return labels.select("trksub", "epoch", "discovered", "outcome_class", "y", "state")
+
+
+@query("""SELECT trksub, neo_at AS discovered, outcome_class, y FROM (VALUES ('neo', 5, 'neo', 1), ('was_not_confirmed', 735, 'was_not_confirmed', 0), ('none', 400, NULL, NULL)) t(k, after, outcome_class, y), (SELECT c_custkey AS trksub FROM customer), LATERAL (SELECT DATE '2024-01-05' + CAST(after + trksub % 50 - 5 AS INT) AS neo_at)""")
+def epoch_reuse(spark, d):
+    """Each customer number is a designation that is used again: a neo, two years later one that wasn't confirmed, and one between without an outcome near it."""
+    names = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("trksub"))
+    day = lambda n: F.date_add(F.lit("2024-01-05").cast("date"), (F.col("trksub") % 50 + n).cast("int"))
+    found = names.select("trksub", F.explode(F.array(day(0), day(395), day(730))).alias("discovered"))
+    told = names.select("trksub", F.explode(F.array(F.struct(F.lit("neo").alias("c"), day(5).alias("s")), F.struct(F.lit("linked").alias("c"), day(6).alias("s")), F.struct(F.lit("was_not_confirmed").alias("c"), day(735).alias("s")))).alias("o"))
+    log = told.select("trksub", F.col("o.c").alias("outcome_class"), F.lit("").alias("designation"), F.lit(None).cast("string").alias("mpec"), F.col("o.s").alias("stamp"), F.lit(1).alias("line_no"))
+    return O.label_epochs(found, log, days=60).select("trksub", "discovered", "outcome_class", "y")
 
 
 BACK = f"back AS (SELECT trksub, 1 AS y, d2_NEO_noid FROM d2 WHERE trksub % 2 = 0), tr AS (SELECT trksub, y, 'capture' AS source, NULL AS d2_NEO_noid FROM lab WHERE state = 'labeled' UNION ALL SELECT trksub, y, 'backfill', d2_NEO_noid FROM back WHERE trksub NOT IN (SELECT trksub FROM lab WHERE state = 'labeled'))"
@@ -652,15 +673,28 @@ def _snap_stream(spark, d) -> DataFrame:
     return _stream(spark, d, "events", VIEWS["snap"]).withColumn("stamp", F.col("stamp").cast("timestamp"))
 
 
+def _stream_path(spark) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @query(f"WITH {FIRST} SELECT trksub, stamp, tie, score FROM first")
 def stream_first_posting(spark, d):
-    out = ST.drain(ST.first_posting_stream(_snap_stream(spark, d)), "complete")
+    out = ST.first_postings(_snap_stream(spark, d), _stream_path(spark), days=5)
     return out.select("trksub", F.col("stamp").cast("timestamp_ntz").alias("stamp"), "tie", "score")
 
 
 @query(f"WITH {EV} {EV_OUT}")
 def stream_evolution(spark, d):
-    return rounded(ST.drain(ST.evolution_stream(_snap_stream(spark, d)), "complete"))
+    return rounded(ST.evolutions(_snap_stream(spark, d), _stream_path(spark), days=5))
+
+
+@query("SELECT DISTINCT trksub, outcome_class, designation FROM event")
+def stream_outcome_log(spark, d):
+    """A log that holds a third of the outcomes, and a stream of all of them."""
+    path, rows = _stream_path(spark), view(spark, d, "event").select(*O.KEY)
+    L.start_log(rows.where("trksub % 3 = 0"), f"{path}/log", O.KEY)
+    L.append_stream(_stream(spark, d, "orders", VIEWS["event"]).select(*O.KEY), f"{path}/log", O.KEY, "feed", f"{path}/state")
+    return L.read_log(spark, f"{path}/log", rows.schema, O.KEY)
 
 
 @query("SELECT DISTINCT trksub, outcome_class, designation FROM event")
@@ -675,9 +709,10 @@ def stream_enriched(spark, d):
     return out.select("trksub", "tie", "c_mktsegment", "followup_status", F.round("size_m", 3).alias("size_m"))
 
 
-@query("SELECT CAST(date_trunc('day', stamp) AS TIMESTAMP) AS day, count(*) AS n_rows, round(avg(unseen), 6) AS mean_unseen, max(score) AS top_score FROM snap GROUP BY 1 HAVING day + INTERVAL 1 DAY <= (SELECT max(stamp) - INTERVAL 2 DAY FROM snap)")
+@query("""WITH g AS (SELECT CAST(date_trunc('day', stamp) AS TIMESTAMP) AS day, count(*) AS n_rows, round(avg(unseen), 6) AS mean_unseen, max(score) AS top_score FROM snap GROUP BY 1), f AS (SELECT CAST(date_trunc('day', t) AS TIMESTAMP) AS day, count(*) AS n_new FROM (SELECT min(stamp) AS t FROM snap GROUP BY trksub) GROUP BY 1)
+SELECT g.*, coalesce(n_new, 0) AS n_new FROM g LEFT JOIN f USING (day) WHERE day + INTERVAL 1 DAY <= (SELECT max(stamp) - INTERVAL 2 DAY FROM snap)""")
 def stream_daily_window(spark, d):
-    out = ST.drain(ST.daily_stream(_snap_stream(spark, d)))
+    out = ST.drain(ST.daily_stream(_snap_stream(spark, d), key="trksub"))
     return rounded(out.withColumn("day", F.col("day").cast("timestamp_ntz")))
 
 

@@ -22,6 +22,8 @@ VIEWS = {
     "event": """SELECT o_custkey AS trksub, CASE o_orderkey % 9 WHEN 0 THEN 'neo' WHEN 1 THEN 'designated_other' WHEN 2 THEN 'was_not_confirmed' WHEN 3 THEN 'linked' WHEN 4 THEN 'comet'
       WHEN 5 THEN 'other' WHEN 6 THEN 'does_not_exist' WHEN 7 THEN 'was_a_star' ELSE 'neo' END AS outcome_class, CASE WHEN o_orderkey % 9 IN (0, 1, 8) THEN concat('D', o_orderkey % 50) ELSE '' END AS designation,
       CASE WHEN o_orderkey % 9 IN (0, 8) THEN concat('M', o_orderkey % 40) END AS mpec, o_orderdate AS stamp, o_orderkey AS line_no FROM orders""",
+    "reported": """SELECT o_custkey AS trksub, CASE o_orderkey % 9 WHEN 0 THEN 'neo' WHEN 1 THEN 'designated_other' WHEN 2 THEN 'was_not_confirmed' WHEN 3 THEN 'linked' WHEN 4 THEN 'comet'
+      WHEN 5 THEN 'other' WHEN 6 THEN 'does_not_exist' WHEN 7 THEN 'was_a_star' ELSE 'neo' END AS outcome_class, concat('R', o_orderkey % 700) AS designation, CAST(NULL AS VARCHAR(9)) AS mpec, DATE '2024-01-01' + CAST(o_orderkey % 40 AS INT) AS stamp, o_orderkey AS line_no FROM orders""",
     "scored": """SELECT d.doc_id AS id, CAST(l.quality AS BIGINT) AS y, (d.n_chars % 997) / CAST(997 AS DOUBLE) AS p, d.doc_id * 7 % 1000 AS disc, d.lang AS tag FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "d2": """SELECT p_partkey AS trksub, """ + ", ".join(f"CAST(p_partkey * {7 + 3 * i} % 101 AS INT) AS d2_{c}_raw, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(p_partkey * {11 + 5 * i} % 101 AS INT) END AS d2_{c}_noid" for i, c in enumerate("Int NEO MC Hun Pho Han MB1 Pal MB2 MB3 Hil JTr JFC".split()))
     + """, CASE p_partkey % 6 WHEN 0 THEN 'G96' WHEN 1 THEN '703' WHEN 2 THEN 'F51' WHEN 3 THEN 'I41' WHEN 4 THEN 'ZZZ' END AS obscode_first FROM part""",

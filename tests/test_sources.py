@@ -23,7 +23,7 @@ def test_snapshots_by_file_and_stream(spark, tmp_path):
     assert df.count() == 3 and df.where("trksub = 'B'").first()["ra_h"] == 21.7739
     rows = S.first_posting(df.withColumn("tie", F.lit(0))).collect()
     assert {r["trksub"]: (r["nobs"], r["latest_nobs"]) for r in rows} == {"XAaiiXA": (3, 5), "B": (3, 3)}
-    out = ST.drain(ST.first_posting_stream(R.stream_snapshots(spark, str(tmp_path)).withColumn("tie", F.lit(0))), "complete")
+    out = ST.first_postings(R.stream_snapshots(spark, str(tmp_path)).withColumn("tie", F.lit(0)), str(tmp_path / "rolled"))
     assert {r["trksub"]: r["nobs"] for r in out.collect()} == {"XAaiiXA": 3, "B": 3}
 
 

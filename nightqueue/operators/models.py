@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import MAIN_BELT, SITES
 from ..sources.tables import saved
+from .boosting import Options, boosted_scores, fit_boosted
+from .images import alignment_guard
 from .metrics import conformal_repeated, stratified_folds, stratified_holdout
 
 #: Rows below which the logistic pipeline is used, not trees.
@@ -117,12 +119,22 @@ def score_queue(features: DataFrame, model: PipelineModel | None = None, cols: l
     return model.transform(missing_flags(features, cols)).withColumn("p", vector_to_array("probability")[1]).select(*features.columns, "p")
 
 
-def late_fusion(scores: DataFrame, feats: DataFrame, cols: list[str], key: str = "id", small: bool = True, zero_is_missing: tuple[str, ...] = ()) -> DataFrame:
-    """A model over an image logit, the feed score, magnitude and motion, joined by subject; 0 in `zero_is_missing` means none."""
+def late_fusion(scores: DataFrame, feats: DataFrame, cols: list[str], key: str = "id", small: bool = True, zero_is_missing: tuple[str, ...] = (), share: float = 0.25, boosted: Options | None = None) -> DataFrame:
+    """p of held-out rows by a model over an image logit, the feed score, magnitude and motion, joined by subject;
+    0 in `zero_is_missing` means none. The model is fitted on the other rows: boosted trees with options `boosted`, else
+    `fit_vetting`. Where `scores` carries labels, both sides must have the same subjects and labels, or nothing is fused: no rows."""
+    if "y" in scores.columns:
+        aligned = alignment_guard(scores, feats, key).first()["aligned"]
+        scores = scores.drop("y") if aligned else scores.drop("y").limit(0)
     rows = feats.join(scores, key)
     for c in zero_is_missing:
         rows = rows.withColumn(c, F.nullif(F.col(c).cast("double"), F.lit(0.0)))
-    return scored(rows, fit_vetting(rows, cols, small), cols)
+    cut = saved(stratified_holdout(rows.withColumnRenamed(key, "id"), share), "fusion-holdout")
+    train, test = cut.where(~F.col("is_test")), cut.where("is_test")
+    if train.isEmpty():
+        return test.select(F.col("id").alias(key), "y", F.lit(None).cast("double").alias("p"))
+    found = boosted_scores(test, fit_boosted(train, cols, boosted)) if boosted else scored(test, fit_vetting(train, cols, small), cols)
+    return found.withColumnRenamed("id", key)
 
 
 def compare_models(df: DataFrame, sets: dict[str, list[str]], k: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
-from ..operators import images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
+from ..operators import boosting as B, images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
 from ..sources import readers as R
 from ..sources.tables import shared_dir
 from ..streaming import logs as L, streams as ST
@@ -744,8 +744,9 @@ def oof_conformal(spark, d):
 
 @query()
 def queue_by_model(spark, d):
-    rows = _model_rows(spark, d)
-    return rounded(ML.score_queue(rows, ML.fit_vetting(rows, COLS, small=True), COLS).select("id", "p"))
+    """The later quarter of rows as the queue, by a model of the rows before it."""
+    rows = M.time_split(_model_rows(spark, d).withColumn("disc", F.col("id")))
+    return rounded(ML.score_queue(rows.where("NOT is_train"), ML.fit_vetting(rows.where("is_train"), COLS, small=True), COLS).select("id", "p"))
 
 
 COLS = ["a", "b", "c"]
@@ -758,8 +759,15 @@ def _model_rows(spark, d) -> DataFrame:
 
 @query()
 def logistic_scores(spark, d):
-    rows = _model_rows(spark, d)
-    return rounded(ML.scored(rows, ML.fit_vetting(rows, COLS, small=True), COLS))
+    rows = M.time_split(_model_rows(spark, d).withColumn("disc", F.col("id")))
+    return rounded(ML.scored(rows.where("NOT is_train"), ML.fit_vetting(rows.where("is_train"), COLS, small=True), COLS))
+
+
+@query()
+def dropout_boosting_scores(spark, d):
+    rows = M.time_split(_model_rows(spark, d).withColumn("disc", F.col("id")))
+    model = B.fit_boosted(rows.where("is_train"), COLS, B.Options(rounds=24, rate=0.2))
+    return rounded(B.boosted_scores(rows.where("NOT is_train"), model))
 
 
 @query()
@@ -774,10 +782,20 @@ def oof_scores(spark, d):
     return rounded(ML.oof_scores(_model_rows(spark, d), COLS))
 
 
+def _fused(spark, d, **how) -> DataFrame:
+    own = _model_rows(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 100 / 100.0).alias("logit"))
+    return rounded(ML.late_fusion(docs.join(own.select("id", "y"), "id"), own, [*COLS, "logit"], zero_is_missing=("a",), **how))
+
+
 @query()
 def fusion_scores(spark, d):
-    logits = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), (F.col("n_chars") % 100 / 100.0).alias("logit"))
-    return rounded(ML.late_fusion(logits, _model_rows(spark, d), [*COLS, "logit"], zero_is_missing=("a",)))
+    return _fused(spark, d)
+
+
+@query()
+def fusion_boosted(spark, d):
+    return _fused(spark, d, boosted=B.Options(rounds=12, rate=0.2, depth=3, leaves=8, l2=1.0, columns=1.0, dropout=0.0))
 
 
 @query()

@@ -124,7 +124,7 @@ def test_boosting_edge_cases(spark):
     assert dataclasses.asdict(twice) == dataclasses.asdict(B.fit_boosted(df, COLS, o))
 
 
-@pytest.mark.parametrize("boosted", [None, B.Options(rounds=5, rate=0.3)])
+@pytest.mark.parametrize("boosted", [None, B.Options(rounds=25, rate=0.3)])
 def test_fusion_scores_rows_that_it_was_not_fitted_on(spark, boosted):
     rows = spark.createDataFrame(rows_of(400), SCHEMA)
     logit = rows.select("id", (F.col("b") / 2).alias("logit"), "y")

@@ -41,6 +41,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .arrow_rows import slices
 from .components import components
+from .memos import take
 from .packed import pack, unpack
 from .store import saved
 
@@ -48,6 +49,8 @@ SEED = 42
 BITS = 64
 #: Hashes of a text that are counted at a time.
 HASHES = 65_536
+#: Bytes of text whose shingle sets a task holds at a time, about.
+SET_BYTES = 2_000_000
 #: A shingle set is kept by the low 48 bits of its hashes: two sets of 10,000 shingles share one by chance once in 3 million pairs.
 HASH48 = np.int64((1 << 48) - 1)
 #: Slots of the bitmap that tells tasks which texts to make whole shingle sets of: 2 MB in memory, at any size of the table.
@@ -301,8 +304,9 @@ def set_columns(docs: DataFrame, words: int, columns, types: dict, wanted=lambda
     keep = [docs.schema[c] for c in ("id", "t1", "t2")]
 
     def body(batches):
+        take("simhash", lambda: None)  # it remembers nothing itself
         for whole in batches:
-            for batch in slices(wanted(whole), "__text__"):
+            for batch in slices(wanted(whole), "__text__", SET_BYTES):
                 sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
                 keys = pa.array([set_key(v) for v in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=[*(f.name for f in keep), "key", "n", *types])

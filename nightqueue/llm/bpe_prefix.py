@@ -31,9 +31,9 @@ from .words import GLUED, SPACE, Cutter, Memo, classes, encoded
 #: Marks the last symbol of a word where the vocabulary has word ends.
 _END = 0x10000
 #: Words that a worker remembers before it starts anew: bounds its memory.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Pairs of tokens whose border it remembers.
-MEMO_PAIRS = 400_000
+MEMO_PAIRS = 200_000
 
 
 class PrefixCoder:

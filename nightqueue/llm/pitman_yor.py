@@ -2,10 +2,11 @@
 
 Restaurants stand in a tree: one for each class of the previous word, all sharing the root of all words as
 parent, and a uniform base over the V known words and one unknown. The number of classes grows with the
-corpus (`n_classes`). A customer of a restaurant is a token (or, in the root, a table of a child); `t`
-tables serve its dish. A sweep reseats the customers of every dish in every restaurant one by one by the
-Chinese-restaurant rule, given the other dishes' tables and the parent's predictive probabilities of the
-sweep before, bottom up. Probabilities are averaged over the last `keep` sweeps.
+training text (`n_classes`). A customer of a restaurant is a token (or, in the root, a table of a child); `t`
+tables serve its dish. A Gibbs sweep draws the tables of every dish in every restaurant, bottom up, from
+their distribution given its customers and all other tables (`seat`): the law that removing and reseating
+its customers one by one would reach. Dishes of one sweep are drawn at the same time, given the others' tables
+of the sweep before. Probabilities are averaged over the last `keep` sweeps.
 
 How it runs: tasks turn runs of documents into blocks: a type number for each token, where a type is a
 context class and a word; plus, for each bucket of words, the block's words, types and training counts.
@@ -26,6 +27,7 @@ gives no rows; without training tokens every word is unknown.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,9 @@ BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 8
 #: Packed requests to a bucket that one task takes, about.
 PART_BYTES = 64 << 20
 BLOCK_TOKENS = 1_000_000
+#: Customers of a dish up to which tables are weighed by a table of Stirling numbers; cells of a matrix of weights;
+#: points of a grid of tables above.
+EXACT, CELLS, GRID = 1024, 1 << 20, 256
 END = xxhash.xxh64_intdigest(b" ") & (1 << 63) - 1
 
 REQUESTS = "array<struct<bucket:int,words:binary,sizes:binary,classes:binary,train:binary>>"
@@ -193,34 +198,97 @@ def uniforms(keys: np.ndarray, stream: int, draw: int) -> np.ndarray:
     return ((mixed(keys + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def seat(customers: np.ndarray, base: np.ndarray, discount: float, parent: np.ndarray, keys: np.ndarray, stream: int) -> np.ndarray:
-    """Tables after seating all customers of each dish one after another; base: strength + discount * other tables.
-
-    The i-th customer opens a table with probability a / (a + i - discount * t), a = (base + discount * t) * parent.
-    From the 64th on, the wait for the next table is drawn instead of each customer: none opens among i to n - 1
-    with probability G(n) / G(i), where G(n) = Gamma(n - discount * t) / Gamma(n - discount * t + a), which is
-    (n - discount * t + (a - 1) / 2) ** -a but for terms of order (a / n) squared."""
+def rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log(Gamma(x + n) / Gamma(x)) for x > 0, without the cancellation of two large logarithms."""
+    y = x + 7.0
+    tail = lambda v: (1 / 12 - (1 / 360 - 1 / (1260 * v * v)) / (v * v)) / v
+    first = 1 + n / x
+    for i in range(1, 7):
+        first = first * (1 + n / (x + i))
+    return (y - 0.5) * np.log1p(n / y) + n * (np.log(y + n) - 1) + tail(y + n) - tail(y) - np.log(first)
+
+
+@lru_cache(4)
+def stirling_table(discount: float) -> np.ndarray:
+    """[n, t]: log of the generalized Stirling number, the weight of all seatings of n customers at t tables, up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, EXACT + 1)
+    for n in range(1, EXACT):
+        stay = np.log(np.maximum(n - discount * t[:n], 0)) + out[n, 1 : n + 1]
+        out[n + 1, 1 : n + 2] = np.logaddexp(np.r_[stay, -np.inf], out[n, : n + 1])
+    return out
+
+
+def log_stirling(n: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """The same for n above EXACT and any t between 1 and n, but for a constant of n.
+
+    n! / (t! discount^t) times a(n, t) = [z^n] (1 - (1 - z)^discount)^t. For a discount of 1/2 the coefficient is a
+    ballot number. Otherwise log(a / t), as a function of t / n^discount, hardly changes with n while t is far below
+    n, and its slope depends on t / n alone where t is not: both parts are read from the table's last row."""
+    known = -rising(np.ones_like(t), t) - t * np.log(discount)
+    if discount == 0.5:
+        return known + np.log(t / (2 * n - t)) + rising(n - t + 1, n + 0 * t) + t * np.log(2)
+    s = np.arange(1, EXACT + 1)
+    row = stirling_table(discount)[EXACT, 1:] + s * np.log(discount) + rising(np.ones(EXACT), s) - np.log(s)
+    shape = lambda at: np.where(at < 1, row[0] + (at - 1) * (row[1] - row[0]), np.interp(at, s, row))
+    edge = 0.4 * EXACT * (n / EXACT) ** discount
+    near = shape(np.minimum(t, edge) * (EXACT / n) ** discount)
+    far = n / EXACT * (shape(np.maximum(t, edge) * EXACT / n) - shape(edge * EXACT / n))
+    return known + np.log(t) + near + far
+
+
+def drawn(weights: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The place in each row that its number u falls on; weights: logarithms."""
+    total = np.cumsum(np.exp(weights - weights.max(1, keepdims=True)), axis=1)
+    return (total < (u * total[:, -1])[:, None]).sum(1)
+
+
+def seat(customers, base, discount: float, own, everyone, step: int, keys: np.ndarray, stream: int) -> np.ndarray:
+    """Tables of each dish, drawn from their conditional distribution given all other dishes' tables: a Gibbs step.
+
+    base: strength + discount * tables of other dishes; a table after the first sends its dish to the parent, which
+    takes the j-th such one with probability (own + step * j) / (everyone + step * j). t tables have weight
+    S(customers, t) times the product over j < t of (base + discount * j) and that probability, where S is the
+    generalized Stirling number: from a table up to EXACT customers; above, log_stirling on grids that close in on
+    the weight within e^-40 of the largest, so that work doesn't grow with the customers."""
     t = (customers > 0).astype(np.int64)
-    live = np.flatnonzero(customers > 1)
-    for i in range(1, 64):
-        if not len(live):
-            return t
-        own = discount * t[live]
-        new = (base[live] + own) * parent[live]
-        t[live] += uniforms(keys[live], stream, i) * (new + i - own) < new
-        live = live[customers[live] > i + 1]
-    at, draw = np.full(len(live), 64.0), 64
-    with np.errstate(over="ignore"):
-        while len(live):
-            own = discount * t[live]
-            new = (base[live] + own) * parent[live]
-            shift = (new - 1) / 2 - own
-            after = np.floor((at + shift) * uniforms(keys[live], stream, draw) ** (-1 / new) - shift) + 1
-            opens = after <= customers[live]
-            live, at = live[opens], np.maximum(after[opens], at[opens] + 1)
-            t[live] += 1
-            more = customers[live] > at
-            live, at, draw = live[more], at[more], draw + 1
+    u = uniforms(keys, stream, 0)
+    order = np.argsort(customers, kind="stable")
+    at = customers[order]
+    ends = np.flatnonzero(np.r_[at[1:] != at[:-1], True]) + 1 if len(at) else []
+    lo = 0
+    for hi in ends:
+        n = int(at[lo])
+        for i in range(lo, hi if 1 < n <= EXACT else lo, max(1, CELLS // n) if n else 1):
+            rows = order[i : min(hi, i + max(1, CELLS // n))]
+            j = np.arange(1, n)
+            new = (base[rows, None] + discount * j) * (own[rows, None] + step * j) / (everyone[rows, None] + step * j)
+            weights = np.zeros((len(rows), n))
+            np.cumsum(np.log(new), axis=1, out=weights[:, 1:])
+            t[rows] = 1 + drawn(weights + stirling_table(discount)[n, 1 : n + 1], u[rows])
+        lo = hi
+    many = order[np.searchsorted(at, EXACT, "right") :]
+    for i in range(0, len(many), 64):
+        rows = many[i : i + 64]
+        n, b, o, e = (x[rows, None].astype(np.float64) for x in (customers, base, own, everyone))
+
+        def weight(at):
+            sent = rising(o + 1, at - 1) - rising(e + 1, at - 1) if step else (at - 1) * np.log(o / e)
+            return log_stirling(n, at, discount) + rising(b / discount + 1, at - 1) + at * np.log(discount) + sent
+
+        first, last = np.ones_like(n), n
+        for zoom in range(3):
+            part = np.linspace(0, 1, GRID)
+            grid = np.clip(np.round(first * (last / first) ** part if zoom == 0 else first + (last - first) * part), 1, n)
+            w = weight(grid)
+            near = w > w.max(1, keepdims=True) - 40
+            to = GRID - 1 - np.argmax(near[:, ::-1], axis=1)
+            pick = lambda k: np.take_along_axis(grid, np.clip(k, 0, GRID - 1)[:, None], 1)
+            first, last = pick(np.argmax(near, axis=1) - 1), pick(to + 1)
+        grid = first + np.arange(GRID) * np.maximum(1, (last - first) / (GRID - 1))
+        w = np.where(grid <= last + 0.5, weight(np.minimum(grid, n)), -np.inf)
+        t[rows] = np.round(np.take_along_axis(np.minimum(grid, n), drawn(w, u[rows])[:, None], 1)[:, 0]).astype(np.int64)
     return t
 
 
@@ -253,12 +321,14 @@ class Restaurants:
         return p0, rest * self.uniform / all0, p2, back
 
     def sweep(self, customers: np.ndarray, tables: np.ndarray) -> None:
-        p0, *_ = self.predictive(customers, tables)
-        others = STRENGTH[0] + DISCOUNT[0] * np.maximum(tables[self.k2] - self.t2, 0)
-        t2 = seat(self.c2, others, DISCOUNT[0], p0[self.up0], self.seed2, 2 * self.sweeps)
+        rest, all0 = STRENGTH[1] + DISCOUNT[1] * tables[-1], tables[:-1].sum() + STRENGTH[1]
+        others = self.c0[self.up0] - self.t2  # what other classes send to the root
+        own = others - DISCOUNT[1] * np.minimum(self.t0[self.up0], others + 1) + rest * self.uniform
+        base = STRENGTH[0] + DISCOUNT[0] * np.maximum(tables[self.k2] - self.t2, 0)
+        t2 = seat(self.c2, base, DISCOUNT[0], own, all0 - self.t2, 1, self.seed2, 2 * self.sweeps)
         c0 = np.bincount(self.up0, t2, len(self.words)).astype(np.int64)
-        others = STRENGTH[1] + DISCOUNT[1] * np.maximum(tables[-1] - self.t0, 0)
-        t0 = seat(c0, others, DISCOUNT[1], np.full(len(c0), self.uniform), self.seed0, 2 * self.sweeps + 1)
+        base = STRENGTH[1] + DISCOUNT[1] * np.maximum(tables[-1] - self.t0, 0)
+        t0 = seat(c0, base, DISCOUNT[1], np.full(len(c0), self.uniform), np.ones(len(c0)), 0, self.seed0, 2 * self.sweeps + 1)
         self._seated(t2, t0)
         self.sweeps += 1
 
@@ -332,11 +402,11 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def lm_scores(df: DataFrame, is_held, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 3, keep: int = 2) -> DataFrame:
+def lm_scores(df: DataFrame, is_held, id_col: str = "doc_id", text_col: str = "text", sweeps: int = 5, keep: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score (log10), train_tokens, perplexity: one row per row of df."""
     src = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_held(F.col(id_col)), F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    n_bytes = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets, classes = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES)), n_classes(n_bytes)
+    n_bytes, n_taught = src.agg(*[F.coalesce(F.sum(F.when(rows, F.octet_length("text"))), F.lit(0)) for rows in (F.lit(True), ~F.col("held"))]).first()
+    buckets, classes = max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES)), n_classes(n_taught)
     made = saved(blocks(src, buckets, classes), "lm-blocks", compression="zstd")
     asked = made.select("block", F.explode("requests").alias("r")).select("r.bucket", "block", "r.words", "r.sizes", "r.classes", "r.train")
     models, merged = merged_buckets(asked, classes)

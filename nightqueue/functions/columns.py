@@ -117,6 +117,12 @@ def subject_label(md) -> Column:
     return F.struct(real.alias("is_real"), source.alias("label_source"))
 
 
+def vetted_label(is_real, keyword) -> Column:
+    """1 or 0 of a cached subject: its own label, or else the survey's verdict in its keyword, or else null."""
+    word = col(keyword)
+    return F.coalesce(col(is_real), F.when(word == "normal", True).when(word == "rjct", False)).cast("int")
+
+
 def cutout_url(base, stamp, field, ccd, quadrant, band, ra, dec) -> Column:
     """The archive path of a difference image for a 14-digit exposure stamp."""
     s, f, c = col(stamp), F.lpad(col(field).cast("string"), 6, "0"), F.lpad(col(ccd).cast("string"), 2, "0")

@@ -45,10 +45,10 @@ def outcome_forms(lines: DataFrame, line_col: str = "line") -> DataFrame:
     rows = lines.select(*lines.columns, step(text=whole, mpec=circular(line)).alias("__a"))
     text, mpec = F.col("__a.text"), F.col("__a.mpec")
     timed = text.endswith(")")
-    # designation = object (time): the sign is the first that has such a right side, or else the last
-    sides = [(F.substring_index(text, "=", 1), F.substring(text, F.instr(text, "=") + 1, F.length(text))), (F.substring(text, F.lit(1), F.length(text) - F.length(F.substring_index(text, "=", -1)) - 1), F.substring_index(text, "=", -1))]
-    fits = [timed & text.contains("=") & (F.trim(a) != "") & F.ltrim(b).rlike(r"^\S+\s+\(.") for a, b in sides]
-    side = F.when(fits[0], F.struct(F.trim(sides[0][0]).alias("desig"), F.trim(sides[0][1]).alias("rest"))).when(fits[1], F.struct(F.trim(sides[1][0]).alias("desig"), F.trim(sides[1][1]).alias("rest")))
+    # designation = object (time): the sign is the first that has such a right side
+    parts = F.split(text, "=")
+    cuts = F.transform(parts, lambda _, i: F.struct(F.trim(F.array_join(F.slice(parts, F.lit(1), i), "=")).alias("desig"), F.trim(F.array_join(F.slice(parts, i + 1, F.size(parts)), "=")).alias("rest")))
+    side = F.when(timed, F.get(F.filter(cuts, lambda c: (c["desig"] != "") & c["rest"].rlike(r"^\S+\s+\(.")), F.lit(0)))
     # object reason (time)
     token = F.get(F.split(text, r"\s+", 2), F.lit(0))
     said = F.get(F.split(text, r"\s+", 2), F.lit(1))

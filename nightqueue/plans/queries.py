@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
-from ..operators import boosting as B, images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
+from ..operators import boosting as B, calibration as K, images as I, metrics as M, models as ML, outcomes as O, snapshots as S, tracklets as T
 from ..sources import readers as R
 from ..sources.tables import shared_dir
 from ..streaming import logs as L, streams as ST
@@ -512,6 +512,22 @@ def roc_auc(spark, d):
     return rounded(M.roc_auc(view(spark, d, "scored")))
 
 
+#: The best rising step function at a score: over all runs of scores around it, the largest of the least means.
+ISOTONIC = """g AS (SELECT p, sum(y) AS total, count(*) AS w, row_number() OVER (ORDER BY p) AS i FROM scored GROUP BY p), c AS (SELECT *, sum(total) OVER (ORDER BY i) AS st, sum(w) OVER (ORDER BY i) AS sw FROM g),
+means AS (SELECT a.i AS a, b.i AS b, (b.st - a.st + a.total) / CAST(b.sw - a.sw + a.w AS DOUBLE) AS mean FROM c a JOIN c b ON a.i <= b.i), least AS (SELECT a, b AS i, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means), iso AS (SELECT i, max(m) AS value FROM least GROUP BY i)"""
+
+
+@query(f"WITH {ISOTONIC} SELECT s.id, s.y, s.p, round(iso.value, 6) AS calibrated FROM scored s JOIN g ON s.p = g.p JOIN iso ON g.i = iso.i")
+def isotonic_calibration(spark, d):
+    rows = view(spark, d, "scored").select("id", "y", "p")
+    return K.isotonic_apply(rows, K.isotonic_fit(rows)).select("id", "y", "p", F.round("calibrated", 6).alias("calibrated"))
+
+
+@query(f"WITH {ISOTONIC}, t AS (SELECT round(iso.value, 6) AS value, g.* FROM g JOIN iso ON g.i = iso.i) SELECT value, min(p) AS lo, max(p) AS hi, CAST(sum(w) AS DOUBLE) AS weight FROM t GROUP BY value")
+def isotonic_blocks(spark, d):
+    return K.isotonic_fit(view(spark, d, "scored")).select(F.round("value", 6).alias("value"), "lo", "hi", "weight")
+
+
 @query(f"WITH {TH} SELECT round(sum(pos * tp / (tp + fp)) / sum(pos), 6) AS average_precision FROM th")
 def average_precision(spark, d):
     return rounded(M.average_precision(view(spark, d, "scored")))

@@ -33,7 +33,7 @@ def stream_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def recover_feed(texts: DataFrame, keys: list[str], file_col: str = "file", text_col: str = "value", first_key: str = "Temp_Desig") -> DataFrame:
     """Records of malformed feeds: all quoted keys with a value; every `first_key` begins a record; a repeated key's last value holds."""
-    pattern = r'"([^"]+)"\s*:\s*("[^"]*"|-?[0-9.eE+]+|null)'
+    pattern = r'"([^"]+)"\s*:\s*("[^"]*"|null|[-+]?[\d.]+(?:[eE][-+]?\d+)?)'
     pairs = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("x"))
     rows = texts.select(file_col, F.posexplode(pairs).alias("pos", "p")).select(file_col, "pos", F.col("p.k").alias("k"), F.nullif(F.regexp_replace("p.x", '^"|"$', ""), F.lit("null")).alias("x"))
     record = Window.partitionBy(file_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -54,6 +54,18 @@ def parse_feed_text(lines: DataFrame, line_col: str = "line", keep: tuple[str, .
     return out.where("score IS NOT NULL AND nobs IS NOT NULL AND unseen IS NOT NULL")
 
 
+def parse_feed_positions(lines: DataFrame, line_col: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Plain feed lines as positions for a sky map, right ascension in degrees; lines with any field that isn't a number go."""
+    a = F.split(F.trim(line_col), r"\s+")
+    rows = lines.select(*keep, a.alias("a")).where(F.size("a") >= 12)
+    at = lambda k: F.element_at("a", k)
+    out = rows.select(
+        *keep, at(1).alias("trksub"), at(2).try_cast("int").alias("score"), (at(6).try_cast("double") * 15).alias("ra_deg"), at(7).try_cast("double").alias("dec_deg"), at(8).try_cast("double").alias("v"),
+        at(-4).try_cast("int").alias("nobs"), at(-3).try_cast("double").alias("arc"), at(-2).try_cast("double").alias("h"), at(-1).try_cast("double").alias("unseen"),
+    )
+    return out.dropna(subset=["score", "ra_deg", "dec_deg", "v", "nobs", "arc", "h", "unseen"])
+
+
 def read_obs_lines(spark: SparkSession, path: str, source: str) -> DataFrame:
     """trksub (file stem), source, line_no and raw line of observation files."""
     raw = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("trksub"), "value")

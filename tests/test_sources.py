@@ -167,3 +167,28 @@ def test_out_of_fold_scores_and_artifacts(spark, tmp_path):
     ML.save_artifact(str(tmp_path / "m"), ML.fit_vetting(rows, ["a", "b"]), ["a", "b"], M.site_frequency(rows), 90, "small")
     model, cols, freq = ML.load_artifact(spark, str(tmp_path / "m"))
     assert ML.score_queue(rows, model, cols).where("p BETWEEN 0 AND 1").count() == 90 and freq.first()["site_freq"] == 1.0
+
+
+def test_recovered_numbers_keep_their_exponents(spark):
+    text = '{"Temp_Desig": "P1", "Score": 1e-5, "V": -2.5E+3, "Arc": null} {"Temp_Desig": "P2", "Score": 7, "V": 1.5e2'
+    got = R.recover_feed(spark.createDataFrame([("f", text)], "file string, value string"), ["Temp_Desig", "Score", "V", "Arc"]).orderBy("Temp_Desig").collect()
+    assert [tuple(r)[-4:] for r in got] == [("P1", "1e-5", "-2.5E+3", None), ("P2", "7", "1.5e2", None)]
+
+
+def test_positions_of_plain_feeds(spark):
+    good = "P1 99 2024 01 05.3 10.5 -4.25 20.1 Added Jan. 6 UT 4 0.5 22.1 1.25"
+    lines = [good, good.replace("-4.25", "south"), good.replace(" 4 0.5", " four 0.5"), "P2 too short", "", None]
+    got = R.parse_feed_positions(spark.createDataFrame([(x,) for x in lines], "line string")).collect()
+    assert [tuple(r) for r in got] == [("P1", 99, 157.5, -4.25, 20.1, 4, 0.5, 22.1, 1.25)]
+
+
+def test_keyword_is_a_label_where_there_is_no_other(spark):
+    rows = [(True, "rjct"), (None, "normal"), (None, "rjct"), (None, "odd"), (None, None), (False, None)]
+    df = spark.createDataFrame(rows, "is_real boolean, keyword string")
+    assert [r[0] for r in df.select(C.vetted_label("is_real", "keyword")).collect()] == [1, 1, 0, None, None, 0]
+
+
+def test_the_first_fitting_sign_parts_designation_and_object(spark):
+    lines = ["2024 AB = P1 (Jan. 5.1 UT)", "A = B = P2 (Jan. 5.1 UT) = x", "A = B = P3 (that)", "A = B = P4 (one = two)"]
+    got = O.classify_outcomes(spark.createDataFrame([(x,) for x in lines], "line string")).select("trksub", "designation").collect()
+    assert [tuple(r) for r in got] == [("P1", "2024 AB"), ("P3", "A = B"), ("P4", "A = B")]

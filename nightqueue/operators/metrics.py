@@ -55,16 +55,20 @@ def thresholds(scored: DataFrame, by: Keys = None) -> DataFrame:
     return running(g, [F.col("p").desc()], {"tp": F.col("pos"), "fp": F.col("neg")}, by)
 
 
+def ranking(scored: DataFrame, by: Keys = None) -> DataFrame:
+    """roc_auc and average_precision from one table of thresholds; null where a class that they need is absent."""
+    tp, fp = F.col("tp"), F.col("fp")
+    sums = thresholds(scored, by).groupBy(*_keys(by)).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("neg") * (tp - F.col("pos") / 2)).alias("u"), F.sum(F.col("pos") * tp / (tp + fp)).alias("s"))
+    auc = F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("u") / F.col("n_pos") / F.col("n_neg"))
+    return sums.select(*_keys(by), auc.alias("roc_auc"), F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")).alias("average_precision"))
+
+
 def roc_auc(scored: DataFrame, by: Keys = None) -> DataFrame:
-    t = thresholds(scored, by)
-    g = t.groupBy(*_keys(by)).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("u"))
-    return g.select(*_keys(by), F.when(F.col("n_pos") * F.col("n_neg") > 0, F.col("u") / F.col("n_pos") / F.col("n_neg")).alias("roc_auc"))
+    return ranking(scored, by).select(*_keys(by), "roc_auc")
 
 
 def average_precision(scored: DataFrame, by: Keys = None) -> DataFrame:
-    t = thresholds(scored, by)
-    g = t.groupBy(*_keys(by)).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"))
-    return g.select(*_keys(by), F.when(F.col("n_pos") > 0, F.col("s") / F.col("n_pos")).alias("average_precision"))
+    return ranking(scored, by).select(*_keys(by), "average_precision")
 
 
 def recall_point(scored: DataFrame, target: float = 0.99, by: Keys = None, weight: Column | None = None) -> DataFrame:
@@ -93,7 +97,7 @@ def prior_shift(scored: DataFrame, share: float = 0.08, target: float = 0.99) ->
 def evaluate(scored: DataFrame, by: str = "tag", target: float = 0.99) -> DataFrame:
     """One record per tag with both classes: n, n_pos, roc_auc, average_precision and the recall point."""
     n = scored.groupBy(by).agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long")).alias("n_pos")).where("n_pos > 0 AND n_pos < n")
-    return n.join(roc_auc(scored, by), by).join(average_precision(scored, by), by).join(recall_point(scored, target, by), by)
+    return n.join(ranking(scored, by), by).join(recall_point(scored, target, by), by)
 
 
 def conformal_threshold(scored: DataFrame, alpha: float, by: Keys = None) -> DataFrame:

@@ -14,7 +14,7 @@ Buckets, whose number follows the bytes of text, merge these; a word lies whole
 frequent words make the blocks' requests to a bucket larger than `PART_BYTES`, the blocks are dealt to parts
 of the bucket: parts are merged in rounds to the bucket's model, and each answers its blocks with a copy of
 it. So no row grows with the number of blocks. Only the tables' totals per restaurant join the buckets between sweeps; random
-numbers are hashes of word, class, sweep and draw, so that nothing depends on how rows are dealt, no state
+numbers are hashes of word, class and sweep, so that nothing depends on how rows are dealt, no state
 is kept, and a lost task repeats exactly. At last each bucket answers each block with the probability of
 its types and the count of its words, and blocks add up their documents.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import ecliptic_lat, ecliptic_lon, elongation, opposition_distance, solar_longitude, wrap180
+from ..functions.sky import sky_cell, with_cells
 
 
 def tracklet_features(obs: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("t", "line_no")) -> DataFrame:
@@ -64,11 +65,10 @@ def by_source(rows: DataFrame, priority: list[str], least: int = 1, key: str = "
 def match_exposures(obs: DataFrame, exposures: DataFrame, radius: float, key: str = "trksub") -> DataFrame:
     """For each position the first exposure (by id) of the same date within `radius` degrees that has a stamp.
 
-    Declination bands of the radius's width bound what meets."""
-    band = lambda c: F.floor(F.col(c) / radius).cast("long")
-    left = obs.withColumn("__b", F.explode(F.array(band("dec") - 1, band("dec"), band("dec") + 1)))
-    right = exposures.where("coalesce(stamp, '') <> ''").select(F.col("date"), F.col("ra").alias("era"), F.col("dec").alias("edec"), "exposure", "stamp", band("dec").alias("__b"))
-    met = left.join(right, ["date", "__b"])
+    Exposures of one date and place are one before they meet anything, and are dealt to the cells of the sky
+    that they reach; a position lies in one cell. Rows without a date or a place match nothing."""
+    places = exposures.where("coalesce(stamp, '') <> ''").groupBy("date", F.col("ra").alias("era"), F.col("dec").alias("edec")).agg(F.min(F.struct("exposure", "stamp")).alias("__first"))
+    met = obs.select(key, "date", "ra", "dec", sky_cell("ra", "dec", radius).alias("__cell")).join(with_cells(places, "era", "edec", radius, "__cell"), ["date", "__cell"])
     d = F.pow(F.sin(F.radians(F.col("dec") - F.col("edec")) / 2), 2) + F.cos(F.radians("dec")) * F.cos(F.radians("edec")) * F.pow(F.sin(F.radians(F.col("ra") - F.col("era")) / 2), 2)
     near = met.where(F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), d)))) <= radius)
-    return near.groupBy(key).agg(F.min(F.struct("exposure", "stamp")).alias("m")).select(key, "m.exposure", "m.stamp")
+    return near.groupBy(key).agg(F.min("__first").alias("m")).select(key, "m.exposure", "m.stamp")

@@ -1,7 +1,7 @@
 """Exact ranking metrics, conformal thresholds and deterministic splits.
 
 Global orders, and orders within classes or tags, run as two-phase prefix sums over range partitions,
-not in one task. Splits order rows by an integer hash of (id, rep), so that any engine can repeat them."""
+not in one task; single ranks are found by counting. Splits order rows by an integer hash of (id, rep), so that any engine can repeat them."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.tables import saved
+from .selection import select_ranks
 
 #: Fixed choices of the split hash.
 HASH_MUL, HASH_REP, HASH_MOD = 2654435761, 40503, 1000003
@@ -17,7 +18,8 @@ HASH_MUL, HASH_REP, HASH_MOD = 2654435761, 40503, 1000003
 
 def split_hash(idc: str = "id", rep=None) -> Column:
     r = F.lit(0) if rep is None else F.col(rep)
-    return F.pmod(F.col(idc).cast("long") * F.lit(HASH_MUL) + r.cast("long") * F.lit(HASH_REP), F.lit(HASH_MOD))
+    # the id's remainder first: the product of a large id would overflow
+    return F.pmod(F.pmod(F.col(idc).cast("long"), F.lit(HASH_MOD)) * F.lit(HASH_MUL) + r.cast("long") * F.lit(HASH_REP), F.lit(HASH_MOD))
 
 
 Keys = str | list[str] | None
@@ -100,23 +102,44 @@ def evaluate(scored: DataFrame, by: str = "tag", target: float = 0.99) -> DataFr
     return n.join(ranking(scored, by), by).join(recall_point(scored, target, by), by)
 
 
+def hash_places(rows: DataFrame, reps: int) -> DataFrame:
+    """Adds rep and place: the row's rank (from 1) among those of its class y in the order of (split_hash, id), a row per rep.
+
+    The hash of a repetition is that of the first, turned by a fixed step. So rows are ranked once, and the
+    place in another repetition follows from how many of the class lie before the turn: copies are never sorted."""
+    steps = [(rep, HASH_MOD - rep * HASH_REP % HASH_MOD) for rep in range(reps)]
+    before = lambda cut: F.count_if(split_hash("id") < cut)
+    turns = F.array(*[F.struct(F.lit(rep).alias("rep"), F.lit(cut).alias("cut"), before(cut).alias("before")) for rep, cut in steps])
+    once = saved(running(rows, [split_hash("id"), F.col("id")], {"__k": F.lit(1)}, "y"), "places")
+    classes = F.broadcast(saved(once.groupBy(F.col("y").alias("__y")).agg(F.count("*").alias("__n"), turns.alias("__turns")), "classes"))  # one row per class
+    each = once.join(classes, F.col("y").eqNullSafe(F.col("__y"))).withColumn("__t", F.explode("__turns"))
+    place = F.col("__k") - F.col("__t.before") + F.when(split_hash("id") < F.col("__t.cut"), F.col("__n")).otherwise(0)
+    return each.select(*rows.columns, F.col("__t.rep").alias("rep"), place.alias("place"))
+
+
+def _rank(n: Column, alpha: float) -> Column:
+    return F.greatest(F.floor((n + 1) * F.lit(alpha)) - 1, F.lit(0)) + 1
+
+
 def conformal_threshold(scored: DataFrame, alpha: float, by: Keys = None) -> DataFrame:
-    """The positive score of rank max(floor((n + 1) alpha) - 1, 0) from below; 0 without positives."""
-    pos = scored.where("y = 1")
-    tot = scored.groupBy(*_keys(by)).agg(F.sum(F.col("y").cast("long")).alias("n"))
-    r = running(pos, [F.col("p").asc(), F.col("id")], {"k": F.lit(1)}, by)
-    rank = F.greatest(F.floor((F.col("n") + 1) * F.lit(alpha)) - 1, F.lit(0)) + 1
-    met = tot.join(r, _keys(by), "left") if by else r.crossJoin(F.broadcast(tot))  # one row of totals
-    return met.groupBy(*_keys(by)).agg(F.coalesce(F.max(F.when(F.col("k") == rank, F.col("p"))), F.lit(0.0)).alias("threshold"))
+    """The positive score of rank max(floor((n + 1) alpha) - 1, 0) from below; 0 without positives.
+
+    Scores that are null or not a number take no part; null keys are a group."""
+    keys = _keys(by)
+    tot = scored.groupBy(*keys).agg(F.count("*").alias("__n"))
+    got = select_ranks(scored.where("y = 1"), _rank(F.col("n"), alpha), keys).withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = tot.join(got if keys else F.broadcast(got), same, "left")  # without groups: one row at most
+    return met.select(*keys, F.coalesce("p", F.lit(0.0)).alias("threshold"))
 
 
 def conformal_repeated(scored: DataFrame, alpha: float, n_splits: int = 40, least: int = 5) -> DataFrame:
     """Mean and deviation over stratified halves: threshold from one, recall and exclusion on the other."""
-    rep = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
-    rep = running(rep, [split_hash("id", "rep"), F.col("id")], {"half": F.lit(1)}, ["rep", "y"]).withColumn("half", F.col("half") % 2)
-    cal = rep.where("half = 0")
-    enough = cal.groupBy("rep").agg(F.sum(F.col("y").cast("long")).alias("np")).where(F.col("np") >= least).select("rep")
-    thr = conformal_threshold(cal.join(enough, "rep", "left_semi"), alpha, "rep")
+    rep = hash_places(scored.select("id", "y", "p"), n_splits).withColumn("half", F.col("place") % 2)
+    rank = F.when(F.col("n") >= least, _rank(F.col("n"), alpha))
+    thr = select_ranks(rep.where("half = 0 AND y = 1"), rank, ["rep"]).withColumnRenamed("p", "threshold")
     test = rep.where("half = 1").join(F.broadcast(thr), "rep")  # one row per split
     each = test.groupBy("rep").agg(F.avg(F.when(F.col("y") == 1, (F.col("p") >= F.col("threshold")).cast("double"))).alias("recall"), F.avg(F.when(F.col("y") == 0, (F.col("p") < F.col("threshold")).cast("double"))).alias("excluded"), F.max("threshold").alias("threshold"))
     return each.agg(F.count("*").alias("n_splits"), *[f(c).alias(f"{c}_{n}") for c in ("recall", "excluded", "threshold") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
@@ -131,9 +154,7 @@ def time_split(rows: DataFrame, share: float = 0.75, order: tuple[str, ...] = ("
 def stratified_folds(rows: DataFrame, k: int = 5, reps: int = 6) -> DataFrame:
     """rep and fold of each row; k is at most the smaller class's size."""
     small = rows.groupBy("y").count().agg(F.min("count")).first()[0] or 1
-    rep = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    rows = running(rep, [split_hash("id", "rep"), F.col("id")], {"fold": F.lit(1)}, ["rep", "y"])
-    return rows.withColumn("fold", ((F.col("fold") - 1) % max(1, min(k, small))).cast("int"))
+    return hash_places(rows, reps).withColumn("fold", ((F.col("place") - 1) % max(1, min(k, small))).cast("int")).drop("place")
 
 
 def stratified_holdout(rows: DataFrame, share: float) -> DataFrame:

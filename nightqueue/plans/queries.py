@@ -158,14 +158,26 @@ def feed_text_parse(spark, d):
     return R.parse_feed_text(s.select(line.alias("line"))).select("trksub", "score", "year", "month", "day", "updated", "nobs")
 
 
-@query("SELECT CAST(trksub AS VARCHAR) AS Temp_Desig, CAST(score AS VARCHAR) AS Score, CAST(nobs AS VARCHAR) AS NObs FROM snap")
+RECORDS = "SELECT CAST(trksub AS VARCHAR) AS Temp_Desig, CAST(score AS VARCHAR) AS Score, CAST(nobs AS VARCHAR) AS NObs FROM snap"
+
+
+def _broken_record():
+    return F.format_string('{"Temp_Desig": "%d", "Score": %s, "NObs": 1, "NObs": %d', F.col("trksub"), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.col("nobs"))
+
+
+@query(RECORDS)
 def feed_recover(spark, d):
-    s = view(spark, d, "snap")
-    one = F.format_string('{"Temp_Desig": "%d", "Score": %s, "NObs": 1, "NObs": %d', F.col("trksub"), F.coalesce(F.col("score").cast("string"), F.lit("null")), F.col("nobs"))
-    files = s.groupBy((F.col("tie") / 200).cast("long").alias("file")).agg(F.array_join(F.collect_list(one), ", ").alias("value"))
+    files = view(spark, d, "snap").groupBy((F.col("tie") / 200).cast("long").alias("file")).agg(F.array_join(F.collect_list(_broken_record()), ", ").alias("value"))
     return R.recover_feed(files, ["Temp_Desig", "Score", "NObs"]).select("Temp_Desig", "Score", "NObs")
 
 
+@query(RECORDS)
+def feed_recover_files(spark, d):
+    path = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    view(spark, d, "snap").select(_broken_record()).write.text(path)
+    return R.recover_files(spark, path, ["Temp_Desig", "Score", "NObs"]).select("Temp_Desig", "Score", "NObs")
+
+
 def _obs_lines(obs: DataFrame) -> DataFrame:
     """Observations as 80-column lines, every third one in the 75-column form."""
     s = F.abs("dec")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.columns import ORBIT_CLASSES, num
@@ -10,6 +12,10 @@ FIELDS = [("Temp_Desig", "string"), ("Score", "int"), ("Discovery_year", "int"),
 RENAMED = {"Temp_Desig": "trksub", "Score": "score", "R.A.": "ra_h", "Decl.": "dec_deg", "V": "v", "H": "h", "Arc": "arc", "NObs": "nobs", "Not_Seen_dys": "unseen"}
 
 
+#: What may stand around the colon of a key.
+BLANKS = " \t\r\n\f\x0b"
+
+
 def snapshot_schema() -> T.StructType:
     kinds = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType()}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in FIELDS])
@@ -32,13 +38,51 @@ def stream_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def recover_feed(texts: DataFrame, keys: list[str], file_col: str = "file", text_col: str = "value", first_key: str = "Temp_Desig") -> DataFrame:
-    """Records of malformed feeds: all quoted keys with a value; every `first_key` begins a record; a repeated key's last value holds."""
-    pattern = r'"([^"]+)"\s*:\s*("[^"]*"|null|[-+]?[\d.]+(?:[eE][-+]?\d+)?)'
-    pairs = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("x"))
-    rows = texts.select(file_col, F.posexplode(pairs).alias("pos", "p")).select(file_col, "pos", F.col("p.k").alias("k"), F.nullif(F.regexp_replace("p.x", '^"|"$', ""), F.lit("null")).alias("x"))
-    record = Window.partitionBy(file_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("rec", F.sum((F.col("k") == first_key).cast("int")).over(record)).where("rec > 0")
-    return rows.groupBy(file_col, "rec").agg(*[F.max(F.when(F.col("k") == k, F.struct("pos", "x")))["x"].alias(k) for k in keys])
+    """Records of malformed feeds, one whole feed a row: a value of `first_key` begins a record, a repeated key's last value holds.
+
+    What stands before the first record is a record of its own (rec 0), if any key has a value there.
+    `recover_files` does the same for files of any size."""
+    parts = F.split(text_col, f'"{re.escape(first_key)}"(?=\\s*:\\s*(?:"|null|[-+]?[0-9.]))')
+    pieces = texts.select(file_col, F.posexplode(parts).alias("rec", "__t"))
+    return _records(pieces, [file_col, "rec"], "__t", F.col("rec") > 0, keys, first_key)
+
+
+def recover_files(spark: SparkSession, path: str, keys: list[str], first_key: str = "Temp_Desig") -> DataFrame:
+    """As recover_feed for files, which are read in splits: the name of `first_key` ends a line of the text source,
+    so the reader of a split carries on to the end of the record that it began, and no file is ever one row.
+
+    The name must not stand in a feed as a value. Columns: file, start (of the split), and the keys."""
+    pieces = spark.read.option("lineSep", f'"{first_key}"').text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+    begun = F.ltrim("value", F.lit(BLANKS)).startswith(":")
+    return _records(pieces, ["file", "start"], "value", begun, keys, first_key)
+
+
+def _records(pieces: DataFrame, keep: list[str], text: str, begun: Column, keys: list[str], first_key: str) -> DataFrame:
+    """A row per piece of text with the last value of each key; a begun piece lacks the name of its first key.
+
+    The text is cut at quotes. What is quoted is a key where a colon follows; its value is what is quoted
+    next, if only blanks lie between, or else a bare number or null."""
+    whole = F.when(begun, F.concat(F.lit(f'"{first_key}"'), text)).otherwise(F.col(text))
+    # arrays keep the optimizer from copying the cuts into every use
+    rows = pieces.select(*keep, F.explode(F.array(F.split(whole, '"'))).alias("__s"))
+    tail = lambda i: F.get("__s", i + 1)
+    after = lambda i: F.ltrim(F.substring(F.ltrim(tail(i), F.lit(BLANKS)), F.lit(2), F.length(tail(i))), F.lit(BLANKS))
+
+    def cut(i: Column) -> Column:
+        closed = i + 3 < F.size("__s")  # a quote must close a quoted value
+        return F.struct(F.get("__s", i).alias("k"), after(i).alias("a"), F.when(closed, F.get("__s", i + 2)).alias("q"))
+
+    def value(c: Column) -> Column:
+        bare = F.regexp_extract(c["a"], r"^[^,\]}\s]+", 0)
+        number = bare.try_cast("double").isNotNull() & bare.rlike("[0-9]")
+        x = F.when(c["a"] == "", c["q"]).when(number, bare)
+        return F.struct(c["k"].alias("k"), x.alias("x"), (x.isNotNull() | (bare == "null")).alias("ok"))
+
+    colon = lambda i: F.startswith(F.ltrim(tail(i), F.lit(BLANKS)), F.lit(":"))
+    places = F.when(F.size("__s") > 1, F.filter(F.sequence(F.lit(0), F.size("__s") - 2), colon))
+    pairs = rows.select(*keep, F.explode(F.array(F.filter(F.transform(F.transform(places, cut), value), lambda p: p["ok"]))).alias("__p")).where(F.size("__p") > 0)
+    last = lambda k: F.get(F.reverse(F.filter("__p", lambda p: p["k"] == k)), F.lit(0))["x"]
+    return pairs.select(*keep, *[last(k).alias(k) for k in keys])
 
 
 def parse_feed_text(lines: DataFrame, line_col: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -192,3 +192,27 @@ def test_the_first_fitting_sign_parts_designation_and_object(spark):
     lines = ["2024 AB = P1 (Jan. 5.1 UT)", "A = B = P2 (Jan. 5.1 UT) = x", "A = B = P3 (that)", "A = B = P4 (one = two)"]
     got = O.classify_outcomes(spark.createDataFrame([(x,) for x in lines], "line string")).select("trksub", "designation").collect()
     assert [tuple(r) for r in got] == [("P1", "2024 AB"), ("P3", "A = B"), ("P4", "A = B")]
+
+
+def test_feeds_in_splits_equal_feeds_in_one_cell(spark, tmp_path):
+    """Records across the borders of splits, keys before the first record, repeated keys, no closing quote at the end."""
+    record = lambda i: f'{{"Temp_Desig"\n: "P{i:05d}", "Score":\r\n\t{i % 101},\n "Note" :\t"{"x" * (i % 37)}", "NObs": 1, "NObs": {"null" if i % 13 == 0 else i}, "V": -1.5e-{i % 9}}},'
+    texts = {"a.json": '{"Score": 5, "NObs": 7} ' + "".join(map(record, range(700))), "b.json": "[" + "".join(map(record, range(900, 1000))) + '{"Temp_Desig": "open', "c.json": "", "d.json": '"NObs" "V": true'}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    keys = ["Temp_Desig", "Score", "Note", "NObs", "V"]
+    one = R.recover_feed(spark.createDataFrame(list(texts.items()), "file string, value string"), keys)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (1000, 997, 64 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            files = R.recover_files(spark, str(tmp_path), keys)
+            got = sorted((tuple(r) for r in files.drop("start").collect()), key=str)
+            assert got == sorted((tuple(r) for r in one.drop("rec").collect()), key=str)
+            assert size > 1000 or files.select("file", "start").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ("a.json", None, "5", None, "7", None) in got and ("a.json", "P00014", "14", "x" * 14, "14", "-1.5e-5") in got
+    assert len(got) == 801 and ("a.json", "P00013", "13", "x" * 13, None, "-1.5e-4") in got

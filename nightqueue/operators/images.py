@@ -38,9 +38,9 @@ def window_pixels(pixels: DataFrame, search: int) -> DataFrame:
 def box_smooth(pixels: DataFrame) -> DataFrame:
     """3 x 3 means with zeros outside, for the cells that exist: each pixel is added to its neighbours."""
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    spread = pixels.withColumn("s", F.explode(steps)).select(*FRAME, (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), "v", ((F.col("s.a") == 0) & (F.col("s.b") == 0)).alias("own"))
-    # dealt by frame, so that the sums and what callers then do by frame need no other exchange
-    g = spread.repartition(*FRAME).groupBy(*FRAME, "r", "c").agg((F.sum("v") / 9.0).alias("sm"), F.max(F.when(F.col("own"), F.col("v"))).alias("v"), F.max("own").alias("own"))
+    # dealt by frame before pixels are copied, so that the sums and what callers then do by frame need no other exchange
+    spread = pixels.repartition(*FRAME).withColumn("s", F.explode(steps)).select(*FRAME, (F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c"), "v", ((F.col("s.a") == 0) & (F.col("s.b") == 0)).alias("own"))
+    g = spread.groupBy(*FRAME, "r", "c").agg((F.sum("v") / 9.0).alias("sm"), F.max(F.when(F.col("own"), F.col("v"))).alias("v"), F.max("own").alias("own"))
     return g.where("own").drop("own")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import ecliptic_lat, ecliptic_lon, elongation, opposition_distance, solar_longitude, wrap180
-from ..functions.sky import sky_cell, with_cells
+from ..functions.sky import FINE, sky_cell, with_cells
 
 
 def tracklet_features(obs: DataFrame, key: str = "trksub", order: tuple[str, ...] = ("t", "line_no")) -> DataFrame:
@@ -62,13 +62,37 @@ def by_source(rows: DataFrame, priority: list[str], least: int = 1, key: str = "
     return rows.join(best, [key, "source"], "left_semi")
 
 
+#: Exposures of a date whose cells are known before the others'. Any number gives the same result.
+HEAD = 256
+
+
 def match_exposures(obs: DataFrame, exposures: DataFrame, radius: float, key: str = "trksub") -> DataFrame:
     """For each position the first exposure (by id) of the same date within `radius` degrees that has a stamp.
 
     Exposures of one date and place are one before they meet anything, and are dealt to the cells of the sky
-    that they reach; a position lies in one cell. Rows without a date or a place match nothing."""
-    places = exposures.where("coalesce(stamp, '') <> ''").groupBy("date", F.col("ra").alias("era"), F.col("dec").alias("edec")).agg(F.min(F.struct("exposure", "stamp")).alias("__first"))
-    met = obs.select(key, "date", "ra", "dec", sky_cell("ra", "dec", radius).alias("__cell")).join(with_cells(places, "era", "edec", radius, "__cell"), ["date", "__cell"])
-    d = F.pow(F.sin(F.radians(F.col("dec") - F.col("edec")) / 2), 2) + F.cos(F.radians("dec")) * F.cos(F.radians("edec")) * F.pow(F.sin(F.radians(F.col("ra") - F.col("era")) / 2), 2)
-    near = met.where(F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), d)))) <= radius)
-    return near.groupBy(key).agg(F.min("__first").alias("m")).select(key, "m.exposure", "m.stamp")
+    that they reach; a position lies in one cell. Of a cell's exposures those go that come after one which
+    holds the whole cell: they are first nowhere in it. So what a position meets doesn't grow with the
+    exposures of its date. Nor does what is shuffled: cells that the first HEAD exposures of a date hold are
+    known before the others of that date are dealt to cells. Ids are aggregated as numbers, which needs no sort; a stamp is looked up where the
+    id was first. Rows without a date or a place match nothing."""
+    stamped = exposures.where("coalesce(stamp, '') <> ''")
+    places = stamped.groupBy("date", F.col("ra").alias("era"), F.col("dec").alias("edec")).agg(F.min("exposure").alias("exposure"))
+    deal = lambda rows: with_cells(rows, "era", "edec", radius, "__cell", FINE, "__whole")
+    head = places.withColumn("__k", F.row_number().over(Window.partitionBy("date").orderBy("exposure"))).where(F.col("__k") <= HEAD).drop("__k")
+    held = deal(head).where("__whole").groupBy("date").agg(F.max("exposure").alias("__last"), F.collect_set("__cell").alias("__held"))
+    reached = deal(places.join(held, "date", "left")).where("__held IS NULL OR exposure <= __last OR NOT array_contains(__held, __cell)").drop("__held", "__last")
+    first = reached.where("__whole").groupBy("date", "__cell").agg(F.min("exposure").alias("__least"))
+    reached = reached.drop("__whole").join(first, ["date", "__cell"], "left").where("__least IS NULL OR exposure <= __least").drop("__least")
+    seen = obs.select(key, "date", "ra", "dec")
+    met = seen.withColumn("__cell", sky_cell("ra", "dec", radius, FINE)).join(reached, ["date", "__cell"]).where(_within("era", "edec", radius))
+    won = met.groupBy(key).agg(F.min("exposure").alias("exposure"))
+    # an id may stand in several rows, with other stamps: of those that match, the least stamp
+    same = stamped.select("exposure", "date", F.col("ra").alias("era"), F.col("dec").alias("edec"), "stamp")
+    near = seen.join(won, key).join(same, ["date", "exposure"]).where(_within("era", "edec", radius))
+    return near.groupBy(key).agg(F.min(F.struct("exposure", "stamp")).alias("m")).select(key, "m.exposure", "m.stamp")
+
+
+def _within(ra: str, dec: str, radius: float) -> Column:
+    """Whether the position (ra, dec) lies within `radius` degrees of another."""
+    d = F.pow(F.sin(F.radians(F.col("dec") - F.col(dec)) / 2), 2) + F.cos(F.radians("dec")) * F.cos(F.radians(dec)) * F.pow(F.sin(F.radians(F.col("ra") - F.col(ra)) / 2), 2)
+    return F.degrees(2 * F.asin(F.sqrt(F.least(F.lit(1.0), d)))) <= radius

@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
-from nightqueue.functions.sky import sky_cell, with_cells
+from nightqueue.functions.sky import FINE, sky_cell, with_cells
 from nightqueue.operators import tracklets as T
+from pyspark.sql import functions as F
 
 
 def apart(a, b):
@@ -54,3 +55,20 @@ def test_circles_reach_few_cells_and_each_once(spark):
         near.setdefault((r["id"], r["own"]), []).append(r["cell"])
     assert len(near) == len(rows)
     assert all(own in cells and len(set(cells)) == len(cells) <= 24 for (_, own), cells in near.items())
+
+
+def test_positions_meet_few_exposures_however_many_there_are(spark):
+    rng = random.Random(11)
+    near = lambda n: [(rng.uniform(0, 360), math.degrees(math.asin(rng.uniform(-1, 1)))) for _ in range(n)]
+    places = spark.createDataFrame([(i, "2024-01-01", *p) for i, p in enumerate(near(4000))], "exposure long, date string, ra double, dec double")
+    cells = with_cells(places, "ra", "dec", 25.0, "cell", FINE, "whole")
+    least = {r["cell"]: r["e"] for r in cells.where("whole").groupBy("cell").agg(F.min("exposure").alias("e")).collect()}
+    left = [r for r in cells.collect() if r["exposure"] <= least.get(r["cell"], 1 << 40)]
+    # 4,000 exposures reach 90,000 cells; some ten a cell can be the first of a position
+    assert len(left) < 15 * cells.select("cell").distinct().count() < cells.count() / 10
+    # a circle that covers a cell holds every position of it
+    spots = {}
+    for r in spark.createDataFrame(near(3000), "ra double, dec double").withColumn("cell", sky_cell("ra", "dec", 25.0, FINE)).collect():
+        spots.setdefault(r["cell"], []).append((r["ra"], r["dec"]))
+    whole = [r for r in cells.where("whole AND exposure % 20 = 0").collect()]
+    assert len(whole) > 100 and all(apart((r["ra"], r["dec"]), s) <= 25 for r in whole for s in spots.get(r["cell"], []))

@@ -41,9 +41,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .arrow_rows import slices
 from .components import components
-from .memos import take
+from .memos import give_back, take
 from .packed import pack, unpack
-from .store import saved
+from .store import rows_a_batch, saved
 
 SEED = 42
 BITS = 64
@@ -51,6 +51,8 @@ BITS = 64
 HASHES = 65_536
 #: Bytes of text whose shingle sets a task holds at a time, about.
 SET_BYTES = 2_000_000
+#: Rows with texts or shingle sets that are in a batch on its way to Python, at most.
+WIDE_ROWS = 500
 #: A shingle set is kept by the low 48 bits of its hashes: two sets of 10,000 shingles share one by chance once in 3 million pairs.
 HASH48 = np.int64((1 << 48) - 1)
 #: Slots of the bitmap that tells tasks which texts to make whole shingle sets of: 2 MB in memory, at any size of the table.
@@ -299,6 +301,12 @@ def marked(marks: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (marks[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def saved_wide(df: DataFrame, name: str) -> DataFrame:
+    """`saved` for rows that hold texts or whole sets: few of them go to Python at a time."""
+    with rows_a_batch(df.sparkSession, WIDE_ROWS):
+        return saved(df, name)
+
+
 def set_columns(docs: DataFrame, words: int, columns, types: dict, wanted=lambda batch: batch) -> DataFrame:
     """id, t1, t2 of docs, key and n (of the shingle set), and more columns made from the sets of wanted rows."""
     keep = [docs.schema[c] for c in ("id", "t1", "t2")]
@@ -310,6 +318,7 @@ def set_columns(docs: DataFrame, words: int, columns, types: dict, wanted=lambda
                 sets = [shingle_set(split(t), words) for t in batch.column("__text__").to_pylist()]
                 keys = pa.array([set_key(v) for v in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), keys, pa.array([len(v) for v in sets], pa.int32()), *columns(sets)], names=[*(f.name for f in keep), "key", "n", *types])
+        give_back()
 
     return docs.mapInArrow(body, StructType([*keep, StructField("key", LongType()), StructField("n", IntegerType()), *(StructField(k, t) for k, t in types.items())]))
 
@@ -332,7 +341,7 @@ def near_texts(df: DataFrame, words: int = 5, similarity: float = 0.8, width: in
     none = np.zeros(0, np.int64)
     # a quarter of the texts tells which shingles are hot; any choice gives an order that holds for all texts
     quarter = set_columns(src.where(F.col("id").isNotNull() & (F.pmod("t1", F.lit(4)) == 0)), words, lambda sets: [pa.array([first_shingles(v, similarity, none) for v in sets], LONGS)], {"first": ArrayType(LongType())})
-    often = saved(quarter.dropDuplicates(["key"]).select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4), "hot-shingles")
+    often = saved_wide(quarter.dropDuplicates(["key"]).select(F.explode("first").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > hot_texts // 4), "hot-shingles")
     hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(most_hot).collect()], np.int64))
     sent = df.sparkSession.sparkContext.broadcast(hot)
     return linked_texts(src, lambda v: first_shingles(v, similarity, sent.value), words, similarity, width, bucket_rows, rounds).select("id", "t1", "t2", "cluster", "component")
@@ -343,7 +352,7 @@ def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: in
     (`identified`). Texts meet where `signs`, numbers made from their shingle sets, are equal."""
     spark = src.sparkSession
     types = {"first": ArrayType(LongType()), "bits": BinaryType(), "wide": BinaryType()}
-    each = saved(set_columns(src, words, lambda sets: [pa.array([signs(v) for v in sets], LONGS), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], types), "signs")
+    each = saved_wide(set_columns(src, words, lambda sets: [pa.array([signs(v) for v in sets], LONGS), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], types), "signs")
     known = each.where("id IS NOT NULL")
     # one row of df for each key, whose text gives the shingle set again, and the key's fingerprints
     nodes = saved(known.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "n", "bits", "wide")).alias("x")).select("key", "x.*"), "nodes")
@@ -352,17 +361,17 @@ def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: in
     def checked(pairs):
         """The pairs (a, b) of texts that share `similarity`: first by fingerprints as long as the sets, then by the sets."""
         wide = nodes.select("key", "n", "wide")
-        pairs = saved(pairs.join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9) for t in batches), "a long, b long"), "pairs")
+        pairs = saved_wide(pairs.join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9), "a long, b long"), "pairs")
         slot = F.pmod(F.xxhash64("id", "t1", "t2"), F.lit(SLOTS))
         marks = spark.sparkContext.broadcast(mark_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")).join(nodes, "key").select(slot.alias("slot"))))
         wanted = lambda batch: batch.filter(pa.array(marked(marks.value, batch.column("__slot__").to_numpy())))
         known = src.where(F.col("id").isNotNull()).withColumn("__slot__", slot)
         # other texts may share a slot, and rows may be repeated: one row a key
         sets = set_columns(known, words, lambda sets: [pa.array(map(sorted_set, sets), pa.binary())], {"shingles": BinaryType()}, wanted)
-        sets = saved(sets.dropDuplicates(["key"]).select("key", "n", "shingles"), "shingle-sets")
+        sets = saved_wide(sets.dropDuplicates(["key"]).select("key", "n", "shingles"), "shingle-sets")
         both = pairs.join(sets.toDF("a", "na", "xa"), "a").join(sets.toDF("b", "nb", "xb"), "b")
-        near = both.mapInArrow(lambda batches: (decided(t, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9) for t in batches), "a long, b long")
-        return saved(near.distinct(), "checked")
+        near = both.mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9), "a long, b long")
+        return saved_wide(near.distinct(), "checked")
 
     def two_of(met):
         """a, b: each key of met (key, centre) with the two centres that it meets most."""
@@ -429,6 +438,12 @@ def decided(t: pa.RecordBatch, similarity: float, fits) -> pa.RecordBatch:
     return t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def all_decided(batches, similarity: float, fits):
+    for t in batches:
+        yield decided(t, similarity, fits)
+    give_back()
+
+
 def may_share(n, m, x, y, similarity: float) -> np.ndarray:
     """False where sets of n and m shingles, by their lengths and parity fingerprints, can't share `similarity`."""
     differ = np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
@@ -460,7 +475,11 @@ def met_pairs(met: DataFrame, similarity: float) -> DataFrame:
         pairs = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return met.repartition("g").sortWithinPartitions("g", "n").mapInArrow(lambda batches: map(found, whole_groups(batches)), "a long, b long")
+    def body(batches):
+        yield from map(found, whole_groups(batches))
+        give_back()
+
+    return met.repartition("g").sortWithinPartitions("g", "n").mapInArrow(body, "a long, b long")
 
 
 def end_of_lengths(group: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:

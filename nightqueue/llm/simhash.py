@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .arrow_rows import slices
-from .components import components
+from .components import classes, components
 from .memos import give_back, take
 from .packed import pack, unpack
 from .store import rows_a_batch, saved
@@ -57,6 +57,13 @@ WIDE_ROWS = 500
 HASH48 = np.int64((1 << 48) - 1)
 #: Slots of the bitmap that tells tasks which texts to make whole shingle sets of: 2 MB in memory, at any size of the table.
 SLOTS = 1 << 24
+#: Tasks that end its making: it has 512 pieces of 4 kB.
+MARK_TASKS = 16
+#: Pairs that are sent to the rows of their ends, at most: some 5 MB. More are joined with them.
+FEW_PAIRS = 100_000
+#: Pairs with the sets of both, and rows of signs that meet, that a task gets where there are few in all: it needn't have more tasks.
+PAIRS_A_TASK = 500
+ROWS_A_TASK = 5_000
 
 
 def split(text: str | None) -> list[bytes]:
@@ -212,21 +219,6 @@ def group_ends(group: np.ndarray) -> np.ndarray:
     return np.repeat(heads + sizes, sizes)
 
 
-def classes(n: int, pairs) -> np.ndarray:
-    """The smallest row that each of n rows reaches over the pairs."""
-    label = np.arange(n)
-    for i, j in pairs:
-        while True:
-            low = np.minimum(label[i], label[j])
-            if (label[i] == low).all() and (label[j] == low).all():
-                break
-            # the roots of both sides take the lower label, then all rows follow their roots
-            np.minimum.at(label, np.concatenate([label[i], label[j], i, j]), np.concatenate([low, low, low, low]))
-            while (label[label] != label).any():
-                label = label[label]
-    return label
-
-
 def star(values: np.ndarray, nodes: np.ndarray, ends: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (node, the first node of its class) among fingerprints of a group within the radius."""
     label = classes(len(values), near_pairs(values, ends, radius))
@@ -292,7 +284,7 @@ def mark_bits(slots: DataFrame) -> np.ndarray:
     """A bitmap of SLOTS bits with those of a frame (slot: from 0 on) set; it is made on the executors, in pieces of one size."""
     marks = np.zeros(SLOTS // 8, np.uint8)
     slots = slots.select((F.col("slot") + 1).alias("slot"))  # Spark's bitmaps begin at 1
-    for r in slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).collect():
+    for r in slots.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("m")).coalesce(MARK_TASKS).collect():
         marks[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
     return marks
 
@@ -355,35 +347,49 @@ def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: in
     each = saved_wide(set_columns(src, words, lambda sets: [pa.array([signs(v) for v in sets], LONGS), pa.array([parity(v, width) for v in sets], pa.binary()), pa.array([parity(v) for v in sets], pa.binary())], types), "signs")
     known = each.where("id IS NOT NULL")
     # one row of df for each key, whose text gives the shingle set again, and the key's fingerprints
-    nodes = saved(known.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "n", "bits", "wide")).alias("x")).select("key", "x.*"), "nodes")
-    rows = meetings(known.select("key", "first").dropDuplicates(["key"]))
+    nodes = saved(known.groupBy("key").agg(F.min(F.struct("id", "t1", "t2", "n", "bits", "wide", "first")).alias("x")).select("key", "x.*"), "nodes")
+    rows = meetings(nodes.select("key", "first"))
+    n_rows = rows.count()
+
+    def ends_of(pairs):
+        """a, b, key: both ends of each pair; of few pairs they are sent to what they meet. And the number of pairs."""
+        ends, n = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("key")), pairs.count()
+        return F.broadcast(ends) if n <= FEW_PAIRS else ends, n
+
+    def both(ends, n, sides):
+        """The pairs (a, b) with n and x of both their keys, from sides (key, n, x)."""
+        own = lambda c: F.max(F.when(F.col("key") == F.col(c), F.struct("n", "x"))).alias(f"__{c}")
+        met = ends.join(sides, "key").groupBy("a", "b").agg(own("a"), own("b")).where("__a IS NOT NULL AND __b IS NOT NULL")
+        met = met.select("a", "b", F.col("__a.n").alias("na"), F.col("__a.x").alias("xa"), F.col("__b.n").alias("nb"), F.col("__b.x").alias("xb"))
+        return in_tasks(met, n, PAIRS_A_TASK)
 
     def checked(pairs):
         """The pairs (a, b) of texts that share `similarity`: first by fingerprints as long as the sets, then by the sets."""
-        wide = nodes.select("key", "n", "wide")
-        pairs = saved_wide(pairs.join(wide.toDF("a", "na", "xa"), "a").join(wide.toDF("b", "nb", "xb"), "b").mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9), "a long, b long"), "pairs")
+        ends, n = ends_of(saved_wide(pairs, "candidates"))
+        wide = nodes.select("key", "n", F.col("wide").alias("x"))
+        pairs = saved_wide(both(ends, n, wide).mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: parity_distance(x, y) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-9), "a long, b long"), "pairs")
+        ends, n = ends_of(pairs)
         slot = F.pmod(F.xxhash64("id", "t1", "t2"), F.lit(SLOTS))
-        marks = spark.sparkContext.broadcast(mark_bits(pairs.select(F.explode(F.array("a", "b")).alias("key")).join(nodes, "key").select(slot.alias("slot"))))
+        marks = spark.sparkContext.broadcast(mark_bits(ends.join(nodes, "key").select(slot.alias("slot"))))
         wanted = lambda batch: batch.filter(pa.array(marked(marks.value, batch.column("__slot__").to_numpy())))
         known = src.where(F.col("id").isNotNull()).withColumn("__slot__", slot)
         # other texts may share a slot, and rows may be repeated: one row a key
         sets = set_columns(known, words, lambda sets: [pa.array(map(sorted_set, sets), pa.binary())], {"shingles": BinaryType()}, wanted)
-        sets = saved_wide(sets.dropDuplicates(["key"]).select("key", "n", "shingles"), "shingle-sets")
-        both = pairs.join(sets.toDF("a", "na", "xa"), "a").join(sets.toDF("b", "nb", "xb"), "b")
-        near = both.mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9), "a long, b long")
-        return saved_wide(near.distinct(), "checked")
+        sets = saved_wide(in_tasks(sets.dropDuplicates(["key"]).select("key", "n", F.col("shingles").alias("x")), 2 * n, PAIRS_A_TASK), "shingle-sets")
+        return saved_wide(both(ends, n, sets).mapInArrow(lambda batches: all_decided(batches, similarity, lambda n, m, x, y: common(x, y) * (1 + similarity) >= similarity * (n + m) - 1e-9), "a long, b long"), "checked")
 
     def two_of(met):
         """a, b: each key of met (key, centre) with the two centres that it meets most."""
-        led = met.groupBy("key", "centre").agg(F.count("*").alias("c"))
+        led = met.repartition("key").groupBy("key", "centre").agg(F.count("*").alias("c"))
         led = led.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "centre"))), 1, 2).alias("x"))
-        return led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b"))
+        return in_tasks(led.select(F.col("key").alias("a"), F.explode("x.centre").alias("b")), n_rows, ROWS_A_TASK)
 
     def still_apart(rows, roots):
         """Of the rows (key, h) those of signs where texts of several groups meet, with their roots."""
         apart = rows.select("key", "h").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         lively = apart.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-        return saved(apart.join(lively.select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "h"), "apart")
+        met = apart.join(lively.select("h", F.ceil(F.col("c") / bucket_rows).cast("int").alias("k")), "h")
+        return saved(in_tasks(met, n_rows, ROWS_A_TASK), "apart")
 
     def grouped(linked):
         return saved(components(linked), "roots").toDF("key", "root")
@@ -401,8 +407,9 @@ def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: in
         # what was linked before is known by its roots
         roots = grouped(more.union(roots))
         apart = still_apart(apart, roots)
-    met = apart.join(nodes.select("key", "n", "bits"), "key")
-    roots = grouped(checked(met_pairs(met, similarity).distinct()).union(roots))
+    if not apart.isEmpty():
+        met = apart.join(nodes.select("key", "n", "bits"), "key")
+        roots = grouped(checked(met_pairs(met, similarity).distinct()).union(roots))
     groups = nodes.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = groups.groupBy("root").agg(F.min("id").alias("component"))
     groups = saved(groups.join(names, "root").select("key", F.col("root").alias("cluster"), "component"), "groups")
@@ -410,6 +417,11 @@ def linked_texts(src: DataFrame, signs, words: int, similarity: float, width: in
     return each.select("id", "t1", "t2", "key", "n").join(groups, "key", "left").select("id", "t1", "t2", "n", own("cluster"), own("component"))
 
 
+def in_tasks(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """df of at most so many rows, in no more tasks than `most` rows for each ask for: near-empty ones cost a job its time."""
+    return df.coalesce(max(1, -(-rows // most)))
+
+
 def meetings(nodes: DataFrame) -> DataFrame:
     """key, h, centre: the signs h (of `first`) that several keys have, and the smallest of these keys.
 
@@ -439,9 +451,12 @@ def decided(t: pa.RecordBatch, similarity: float, fits) -> pa.RecordBatch:
 
 
 def all_decided(batches, similarity: float, fits):
+    rows = 0
     for t in batches:
+        rows += t.num_rows
         yield decided(t, similarity, fits)
-    give_back()
+    if rows > WIDE_ROWS:  # few rows leave little behind
+        give_back()
 
 
 def may_share(n, m, x, y, similarity: float) -> np.ndarray:

@@ -21,6 +21,8 @@ BARE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points that are cut at once, about, and distinct words that a worker remembers.
 GROUP_CHARS = 2_000_000
+#: Code points whose classes are asked for at once.
+CLASSES_AT_ONCE = 1 << 14
 MEMO_WORDS = 800_000
 #: A blank between two Latin letters: both patterns end a word there, so a long text can be parted.
 _SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
@@ -31,11 +33,13 @@ def classes() -> np.ndarray:
     """The class of every code point, as the tokenizers library has them: Unicode versions differ."""
     from tokenizers import Regex, normalizers
 
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     out = np.zeros(0x110000, np.uint8)
     for kind, others in ((LETTER, r"[^\p{L}]+"), (NUMBER, r"[^\p{N}]+"), (SPACE, r"\S+")):
-        own = normalizers.Replace(Regex(others), "").normalize_str(every)
-        out[np.frombuffer(own.encode("utf-32-le"), "<u4")] = kind
+        only = normalizers.Replace(Regex(others), "")
+        # the library keeps some 100 bytes for each code point that it is given at once
+        for first in range(0, 0x110000, CLASSES_AT_ONCE):
+            own = only.normalize_str("".join(chr(c) for c in range(first, first + CLASSES_AT_ONCE) if not 0xD800 <= c < 0xE000))
+            out[np.frombuffer(own.encode("utf-32-le"), "<u4")] = kind
     return out
 
 

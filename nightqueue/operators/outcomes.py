@@ -125,7 +125,8 @@ def label_epochs(features: DataFrame, log: DataFrame, days: int = 60, order: tup
     An interval join by buckets of 2 * days + 1 days: a discovery is in one, an outcome reaches at most two.
     Both sides are reduced before they meet: to the days on which a designation was discovered, and to the
     winning outcome of each of its days. So what meets in a bucket is bounded by days, however many rows share
-    a designation, and a designation that is used all the time falls apart into its buckets."""
+    a designation, and a designation that is used all the time falls apart into its buckets. Both joins are
+    merges: Spark takes the size of what was exploded from a file for that of the file, and would send it whole."""
     width = 2 * days + 1
     bucket = lambda day: F.floor(day / F.lit(width))
     fields = ("outcome_class", "designation", "mpec")
@@ -133,9 +134,9 @@ def label_epochs(features: DataFrame, log: DataFrame, days: int = 60, order: tup
     won = log.groupBy("trksub", day_number("stamp").alias("__day")).agg(F.max(F.struct(firm.alias("firm"), *order, *fields)).alias("__o"))
     won = won.withColumn("__bucket", F.explode(F.array_distinct(F.array(bucket(F.col("__day") - days), bucket(F.col("__day") + days)))))
     asked = features.select("trksub", day_number("discovered").alias("__at")).distinct().withColumn("__bucket", bucket(F.col("__at")))
-    near = asked.join(won, ["trksub", "__bucket"]).where(F.abs(F.col("__at") - F.col("__day")) <= days)
+    near = asked.join(won.hint("merge"), ["trksub", "__bucket"]).where(F.abs(F.col("__at") - F.col("__day")) <= days)
     best = near.groupBy("trksub", "__at").agg(F.max("__o").alias("__o"))
-    met = features.withColumn("__at", day_number("discovered")).join(best, ["trksub", "__at"], "left")
+    met = features.withColumn("__at", day_number("discovered")).join(best.hint("merge"), ["trksub", "__at"], "left")
     return with_labels(met.select(*features.columns, *[F.col(f"__o.{c}").alias(c) for c in fields], F.col("__o.stamp").alias("outcome_stamp")))
 
 

@@ -183,11 +183,14 @@ def _obs_lines(obs: DataFrame) -> DataFrame:
     s = F.abs("dec")
     ra = F.col("ra") / 15
     h, m = F.floor(ra), F.floor((ra - F.floor(ra)) * 60)
-    sec = F.format_string("%06.3f", F.lit(0.0) + F.col("line_no") % 60)
     dd, dm = F.floor(s), F.floor((s - F.floor(s)) * 60)
-    day = F.format_string("%09.6f", F.dayofmonth("date") + (F.col("line_no") % 10) / 10.0)
-    head = F.format_string("     %-7s  C%04d %02d ", F.concat(F.lit("K"), F.col("trksub") % 100000), F.year("date"), F.month("date"))
-    line = F.concat(head, day, F.format_string("%02d %02d ", h, m), sec, F.when(F.col("dec") < 0, "-").otherwise("+"), F.format_string("%02d %02d %05.2f", dd, dm, F.lit(0.0) + F.col("line_no") % 50), F.lit("         "), F.coalesce(F.format_string("%5.1f", F.col("mag")), F.lit("     ")), F.lit("  NEOCP"), F.rpad(F.col("obscode"), 3, " "))
+    # whole numbers are padded as text: format_string took most of the time of a line
+    wide = lambda x, n=2: F.lpad(x.cast("string"), n, "0")
+    tenth = (F.col("line_no") % 10).cast("string")
+    head = [F.lit("     "), F.rpad(F.concat(F.lit("K"), F.col("trksub") % 100000), 7, " "), F.lit("  C"), wide(F.year("date"), 4), F.lit(" "), wide(F.month("date")), F.lit(" ")]
+    day = [wide(F.dayofmonth("date")), F.lit("."), tenth, F.lit("00000")]
+    place = [wide(h), F.lit(" "), wide(m), F.lit(" "), wide(F.col("line_no") % 60), F.lit(".000"), F.when(F.col("dec") < 0, "-").otherwise("+"), wide(dd), F.lit(" "), wide(dm), F.lit(" "), wide(F.col("line_no") % 50), F.lit(".00         ")]
+    line = F.concat(*head, *day, *place, F.coalesce(F.lpad(F.round("mag", 1).cast("string"), 5, " "), F.lit("     ")), F.lit("  NEOCP"), F.rpad(F.col("obscode"), 3, " "))
     return obs.select("trksub", "line_no", F.when(F.col("line_no") % 3 == 0, F.substring(line, 6, 75)).otherwise(line).alias("raw"))
 
 

@@ -125,9 +125,9 @@ def parse_obs80(lines: DataFrame, raw: str = "raw", keep: tuple[str, ...] = ())
 
     Fields are cut and cast once, in a step of their own; later steps only see numbers."""
     full = F.when(F.col(raw).rlike(r"^\S"), F.concat(F.lit("     "), F.col(raw))).otherwise(F.col(raw))
-    cut = F.struct(*[F.trim(F.substring("__l", a, n)).alias(c) for c, (a, n) in PLACES.items()])
-    # the array keeps the optimizer from copying the cuts into every use
-    rows = lines.where(F.length(raw) >= 70).select(*keep, full.alias("__l")).select(*keep, F.explode(F.array(cut)).alias("f"))
+    cut = F.struct("__n", *[F.trim(F.substring("__l", a, n)).alias(c) for c, (a, n) in PLACES.items()])
+    # the array keeps the optimizer from copying the cuts into every use, and what makes the line into the filter
+    rows = lines.select(*keep, full.alias("__l"), F.length(raw).alias("__n")).select(*keep, F.explode(F.array(cut)).alias("f")).where("f.__n >= 70")
     whole = lambda c: F.when(F.col(f"f.{c}").rlike("^[0-9]+$"), F.col(f"f.{c}").try_cast("int"))
     numbers = F.struct(*[whole(c).alias(c) for c in ("y", "mo", "rh", "rm", "dd", "dm")], *[num(F.col(f"f.{c}")).alias(c) for c in ("d", "rs", "ds", "mag")])
     rows = rows.select(*keep, "f.desig", "f.obscode", "f.sign", F.explode(F.array(numbers)).alias("x"))

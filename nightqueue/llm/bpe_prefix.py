@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import unicodedata
+from array import array
 from functools import cached_property
 
 import ahocorasick
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .arrow_rows import slices, texts
-from .memos import take
+from .memos import hand_back_large, take
 from .vocab import MergeTable, read_tokenizer, unknown_here
 from .words import GLUED, SPACE, Cutter, Memo, classes, encoded
 
@@ -32,8 +33,8 @@ from .words import GLUED, SPACE, Cutter, Memo, classes, encoded
 _END = 0x10000
 #: Words that a worker remembers before it starts anew: bounds its memory.
 MEMO_WORDS = 250_000
-#: Pairs of tokens whose border it remembers.
-MEMO_PAIRS = 200_000
+#: Places for pairs of tokens whose border it remembers, 8 bytes each; a prime. Of pairs that fall to one place the last stays.
+MEMO_PAIRS = 524_287
 
 
 class PrefixCoder:
@@ -54,7 +55,7 @@ class PrefixCoder:
         self.to_symbol = {b: c for b, c in enumerate(t.alphabet)}
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits = array("q", [-(1 << 62)]) * MEMO_PAIRS  # a pair, or what ~ makes of it if it doesn't fit
 
     @cached_property
     def normalizer(self):
@@ -99,24 +100,27 @@ class PrefixCoder:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a then b stay two tokens: no merge across their border comes before both edges are used up."""
-        found = self._fits.get((a, b))
-        if found is None:
-            left, right, i, j, found = self._edge(a, 1, self._right), self._edge(b, 0, self._left), 0, 0, True
-            while True:
-                (x, x_used), (y, y_used) = left[i], right[j]
-                rank = self.table.pair_rank.get((x, y), (math.inf, 0))[0]
-                if rank < x_used and rank <= y_used and rank < math.inf:
-                    found = False
-                    break
-                if x_used == y_used == math.inf:
-                    break
-                if x_used <= y_used:
-                    i += 1
-                else:
-                    j += 1
-            if len(self._fits) > MEMO_PAIRS:
-                self._fits.clear()
-            self._fits[a, b] = found
+        pair = a << 32 | b
+        place = pair % MEMO_PAIRS
+        known = self._fits[place]
+        if known == pair:
+            return True
+        if known == ~pair:
+            return False
+        left, right, i, j, found = self._edge(a, 1, self._right), self._edge(b, 0, self._left), 0, 0, True
+        while True:
+            (x, x_used), (y, y_used) = left[i], right[j]
+            rank = self.table.pair_rank.get((x, y), (math.inf, 0))[0]
+            if rank < x_used and rank <= y_used and rank < math.inf:
+                found = False
+                break
+            if x_used == y_used == math.inf:
+                break
+            if x_used <= y_used:
+                i += 1
+            else:
+                j += 1
+        self._fits[place] = pair if found else ~pair
         return found
 
     def word_ids(self, word: str) -> list[int]:
@@ -171,6 +175,7 @@ _CODERS: dict[str, PrefixCoder] = {}
 def coder(raw: bytes) -> PrefixCoder:
     """The worker's coder of a tokenizer file, made once per Python worker."""
     take("bpe_prefix", _CODERS.clear)
+    hand_back_large()
     key = hashlib.sha1(raw).hexdigest()
     if key not in _CODERS:
         _CODERS[key] = PrefixCoder(raw)

@@ -34,6 +34,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ADDED = "n_words long, hit_starts array<int>, hit_ends array<int>, item_ids array<string>"
 #: Bits that tell tasks which words are prefixes of windows: 2 MB at any size of the benchmark.
 SLOTS = 1 << 24
+#: Bytes of text that stand as words in a task at a time, about; as words they take several times that.
+SLICE_BYTES = 1_000_000
 #: Rows of windows or candidates that leave a task at a time.
 ROWS = 10_000
 
@@ -105,7 +107,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, size: int = 10, text_col:
     def body(batches):
         index = PrefixIndex(sent.value, size)
         for whole in batches:
-            for batch in slices(whole, "__text__"):
+            for batch in slices(whole, "__text__", SLICE_BYTES):
                 texts = [words(t) for t in batch.column("__text__").to_pylist()]
                 yield with_hits(batch, schema.names, [len(t) for t in texts], *zip(*(index.search(t) for t in texts)))
 

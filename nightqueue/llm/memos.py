@@ -9,9 +9,13 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable
+from functools import lru_cache
 
 import pyarrow as pa
 
+#: glibc's number of that setting, and bytes.
+M_MMAP_THRESHOLD, LARGE = -3, 1 << 18
+
 _LAST: list[tuple[str, Callable[[], None]]] = []
 
 
@@ -30,3 +34,12 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only glibc has it
         ctypes.CDLL(None).malloc_trim(0)
+
+
+@lru_cache(1)
+def hand_back_large() -> None:
+    """From now on arrays of over LARGE bytes go back to the system when they are freed, each on its own.
+
+    glibc raises that size by itself, up to 32 MB, after which a batch's arrays stay with the worker between others that live on."""
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, LARGE)

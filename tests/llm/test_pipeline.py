@@ -5,7 +5,8 @@ import re
 
 import corpus_pipeline
 import pytest
-from nightqueue.llm import toxicity
+from nightqueue.llm import simhash, toxicity
+from nightqueue.llm.store import BATCH
 from test_simhash import brute_groups, edited, planted
 
 STAGES = dict(corpus_pipeline.STAGES)
@@ -133,3 +134,21 @@ def test_edits_of_a_hot_text(spark):
     docs = [(i, " ".join(edited(rng, base, 1)), "en") for i in range(200)] + [(900 + i, " ".join(base[i : i + 60] + [f"q{i}r{j}" for j in range(60)]), "en") for i in range(40)]
     got = {r["doc_id"] for r in STAGES["near_duplicates"](spark, table_of(spark, docs), "").collect()}
     assert got == {0, *range(900, 940)}
+
+
+def test_few_texts_go_to_python_at_a_time(spark, sf, monkeypatch):
+    asked = {}
+
+    def wrote(df, name, saved=simhash.saved, **options):
+        asked[name] = int(spark.conf.get(BATCH))
+        return saved(df, name, **options)
+
+    monkeypatch.setattr(simhash, "saved", wrote)
+    monkeypatch.setattr(toxicity, "saved", wrote)
+    before = spark.conf.get(BATCH)
+    path = sf[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name in ("toxicity", "decontamination", "token_ids"):
+        STAGES[name](spark, docs, path)
+    assert spark.conf.get(BATCH) == before
+    assert {k: asked.get(k) for k in ("labelled", "not-toxic", "not-hit", "token-ids")} == dict.fromkeys(("labelled", "not-toxic", "not-hit", "token-ids"), simhash.WIDE_ROWS)
